@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .mix_flow import mix_sources
 from .repair_tokens import token_output
 from .shared import documents
+from .winnow import decontaminate
 
 
 def op1_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,13 +19,25 @@ def op1_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mix_sources(documents(spark, sf_dir), F.array("source"), weights=(5, 2, 1), share=1.5, copies=2)
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 QUERIES = {
     "op1_repair_tokens": op1_repair_tokens,
+    "op2_source_mix": op2_source_mix,
     "op3_exact_dedup": op3_exact_dedup,
+    "op9_benchmark_leaks": op9_benchmark_leaks,
 }
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
