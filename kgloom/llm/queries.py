@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .minhash_tensor import near_duplicates
 from .mix_flow import mix_sources
 from .repair_tokens import token_output
 from .shared import documents
@@ -33,11 +34,17 @@ def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(documents(spark, sf_dir), k=4, num=80, den=100)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES = {
     "op1_repair_tokens": op1_repair_tokens,
     "op2_source_mix": op2_source_mix,
     "op3_exact_dedup": op3_exact_dedup,
     "op9_benchmark_leaks": op9_benchmark_leaks,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
