@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .fm_quality import fit_quality, score_quality
 from .minhash_tensor import near_duplicates
 from .mix_flow import mix_sources
 from .repair_tokens import token_output
 from .shared import documents
+from .toxicity_chain import fit_chain, score_chain
 from .winnow import decontaminate
 
 
@@ -29,6 +31,23 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op6_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    found = score_quality(docs, fit_quality(docs, labels, usable=~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+#: Order of the chain: the marks that labelled rows carry, the general one first.
+CATEGORIES = ("quality", "toxic")
+
+
+def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = score_chain(docs, fit_chain(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), CATEGORIES))
+    return found.select("doc_id", "p_quality", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
+
+
 def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -43,6 +62,8 @@ QUERIES = {
     "op1_repair_tokens": op1_repair_tokens,
     "op2_source_mix": op2_source_mix,
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_quality_machine": op6_quality_machine,
+    "op7_toxicity_chain": op7_toxicity_chain,
     "op9_benchmark_leaks": op9_benchmark_leaks,
     "op10_near_duplicates": op10_near_duplicates,
 }
