@@ -122,6 +122,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64(out)
 
 
+def prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the first ``size`` bytes of each span; of all of it where it is shorter."""
+    return span_hashes(data, starts, np.minimum(ends, starts + size))
+
+
 def words(column, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased (A-Z) bytes, word starts and ends, and each row's first word (n + 1 values)."""
     data, offsets = string_buffers(column)

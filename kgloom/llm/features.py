@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import ALNUM, LOWER, NON_SPACE, U, span_bounds, span_hashes, string_buffers
+from .bytewords import ALNUM, LOWER, NON_SPACE, U, counter_hash, prefix_hashes, span_bounds, span_hashes, string_buffers
 
 
 def sample_rows(labels: DataFrame, columns: list[str], max_rows: int, seed: int = 5) -> DataFrame:
@@ -25,6 +25,55 @@ def unique_words(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _unique(span_hashes(LOWER[data], starts, ends), rows)
 
 
+#: Bytes of a word that stand for its stem.
+STEMS = (4, 5, 6, 7, 8)
+_STEM = counter_hash(0x57E3, max(STEMS) + 1)
+
+
+def stems(column) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of every word and of its stems of each length, and the rows' first words (n + 1 values).
+
+    A-Z and the two-byte capitals of Latin-1 are lower-cased; a stem that is the whole word counts too.
+    """
+    data, offsets = string_buffers(column)
+    data = LOWER[data]
+    capital = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+    data[capital] += 0x20
+    starts, ends, rows = span_bounds(ALNUM[data], offsets)
+    return [span_hashes(data, starts, ends), *(prefix_hashes(data, starts, ends, n) ^ _STEM[n] for n in STEMS)], rows
+
+
+def unique_stems(column) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's distinct words and stems, and the rows' offsets (n + 1 values)."""
+    hashes, rows = stems(column)
+    found = [np.unique(np.concatenate([h[a:b] for h in hashes])) for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
+    return np.concatenate([np.zeros(0, U), *found]), np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
+
+
+class StemIndex:
+    """Finds which of some words and stems each row has."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = hashes
+        self.often = np.zeros(1 << 20, bool)
+        self.often[(hashes >> U(44)).astype(np.int64)] = True
+
+    def hits(self, column) -> list[np.ndarray]:
+        hashes, rows = stems(column)
+        row, place = [], []
+        for h in hashes if len(self.hashes) else ():
+            at = np.flatnonzero(self.often[(h >> U(44)).astype(np.int64)])
+            p = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+            same = self.hashes[p] == h[at]
+            row.append(np.searchsorted(rows, at[same], "right") - 1)
+            place.append(p[same])
+        if not row:
+            return [np.zeros(0, np.int64)] * (len(rows) - 1)
+        pairs = np.unique(np.concatenate(row) * np.int64(len(self.hashes)) + np.concatenate(place))
+        row, place = pairs // len(self.hashes), pairs % len(self.hashes)
+        return np.split(place, np.searchsorted(row, np.arange(1, len(rows) - 1))) if len(rows) > 1 else []
+
+
 def _unique(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     found, counts = [np.zeros(0, U)], [np.zeros(0, np.int64)]
     for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):

@@ -78,7 +78,7 @@ def _fixed(rows: list[np.ndarray], n: int) -> pa.Array:
 
 
 def signatures(docs: DataFrame, k: int, m: int, r: int) -> DataFrame:
-    """doc_id, n (set size), cid (of the set), keys (2 m), bits."""
+    """doc_id, text_hash, n (set size), cid (of the set), keys (2 m), bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, none = Tensored(m, r), np.zeros(2 * m, U)
@@ -89,9 +89,9 @@ def signatures(docs: DataFrame, k: int, m: int, r: int) -> DataFrame:
                 cid.append(set_id(s))
                 keys.append(tables.keys(s) if len(s) else none)
                 bits.append(image(s))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), _fixed(keys, 2 * m), _fixed(bits, BITS)], names=["doc_id", "n", "cid", "keys", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), _fixed(keys, 2 * m), _fixed(bits, BITS)], names=["doc_id", "text_hash", "n", "cid", "keys", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, cid binary, keys array<long>, bits array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n long, cid binary, keys array<long>, bits array<long>")
 
 
 def _may_link(n: str, o: str, x: str, y: str, num: int, den: int) -> Column:
@@ -133,7 +133,7 @@ def _confirm(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, num:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, m: int = 10, r: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, class_id (of the shingle set), n_links (of the class): a row for each row of ``docs``."""
+    """doc_id, n_shingles, component_id, kept, class_id (of the shingle set), n_links (of the class), text_hash: a row for each row of ``docs``."""
     signed = stored(signatures(docs, k, m, r), "near-signatures")
     # any row of a class has the same keys and bits: the first is enough
     grouped = signed.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"))
@@ -175,6 +175,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     named = classes.select("cid", "doc_id").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     known = named.join(least.hint("merge"), "root").join(number, "cid", "left").select("cid", "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    out = signed.select("doc_id", "n", "cid").join(known.hint("merge"), "cid", "left")
+    out = signed.select("doc_id", "text_hash", "n", "cid").join(known.hint("merge"), "cid", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.hex("cid").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.hex("cid").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "text_hash")
+
+
+def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+    """``docs`` with one row of each group: that of the least doc_id; of rows equal in id and text, one."""
+    found = stored(near_duplicates(docs, **settings).select("doc_id", "text_hash", "kept"), "near-kept")
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("doc_id").isNull(), F.xxhash64("text")]
+    marks = found.groupBy("doc_id", "text_hash").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("c"))
+    odd = stored(marks.filter("not kept or c > 1").select(F.coalesce("doc_id", F.lit(-1)).alias("k0"), F.col("doc_id").isNull().alias("k1"), F.col("text_hash").alias("k2"), "kept"), "near-odd")
+    small = odd.count() <= MAX_SENT
+    named = docs.select("*", *(k.alias(f"near_key_{i}") for i, k in enumerate(key)))
+    same = [F.col(f"near_key_{i}") == F.col(f"k{i}") for i in range(3)]
+    dropped = F.broadcast(odd) if small else odd
+    once = named.join(dropped, same, "left_anti").select(*docs.columns)
+    again = odd.filter("kept")
+    if not again.isEmpty():
+        repeated = named.join(F.broadcast(again) if small else again, same, "left_semi").dropDuplicates([f"near_key_{i}" for i in range(3)])
+        once = once.unionByName(repeated.select(*docs.columns))
+    return once

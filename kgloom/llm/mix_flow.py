@@ -126,6 +126,15 @@ def components(members: Sequence[Sequence[int]]) -> list[list[int]]:
     return list(groups.values())
 
 
+def _labelled(docs: DataFrame, sources: Column, seed: int) -> DataFrame:
+    """``docs`` with mix_size, mix_pattern, mix_own (the sources) and mix_o, the place in the seeded order."""
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    own = F.array_distinct(sources)
+    label = F.transform(F.array_sort(own), lambda s: F.coalesce(F.concat(F.length(s).cast("string"), F.lit(":"), s), F.lit("-")))
+    order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.sha1(F.coalesce("text", F.lit(""))))
+    return docs.select("*", size.alias("mix_size"), F.array_join(label, ",").alias("mix_pattern"), own.alias("mix_own"), order.alias("mix_o"))
+
+
 def mix_sources(
     docs: DataFrame,
     sources: Column,
@@ -134,22 +143,15 @@ def mix_sources(
     copies: int = 2,
     seed: int = 17,
     max_patterns: int = 100_000,
-    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken, went (the source of each copy) and ``keep``.
+    """doc_id, size, source_size, target, copies, taken, spans (source, copy) and the document's place.
 
     ``sources`` is an array of source names; ``weights`` repeat over the sources in code point order.
     source_size and target are sums over the document's sources.
     """
     spark = docs.sparkSession
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    label = F.transform(F.array_sort(F.array_distinct(sources)), lambda s: F.coalesce(F.concat(F.length(s).cast("string"), F.lit(":"), s), F.lit("-")))
-    order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.sha1(F.coalesce("text", F.lit(""))))
-    kept = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
-    narrow = stored(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.array_join(label, ",").alias("pattern"), F.array_distinct(sources).alias("own"), order.alias("o"), *kept),
-        "mix-sizes",
-    )
+    labelled = _labelled(docs, sources, seed)
+    narrow = stored(labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("mix_size").alias("size"), F.col("mix_pattern").alias("pattern"), F.col("mix_own").alias("own"), F.col("mix_o").alias("o")), "mix-sizes")
     patterns = narrow.groupBy("pattern").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"), F.any_value("own").alias("own"))
     found = patterns.limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
@@ -183,10 +185,21 @@ def mix_sources(
     inside = F.sum("size").over(Window.partitionBy("pattern", "bucket").orderBy("o", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     middle = F.col("bucket_start") + F.col("inside") - F.col("size") / 2
     laid = placed.withColumn("inside", inside).join(starts, ["pattern", "bucket"]).withColumn("middle", middle)
-    went = F.filter("spans", lambda x: (x["lo"] <= F.col("middle")) & (F.col("middle") < x["hi"]))
-    chosen = laid.join(F.broadcast(plan), "pattern").withColumn("went", F.transform(went, lambda x: x["source"]))
-    number_of = F.when(F.col("size") > 0, F.size("went")).otherwise(0)
-    return chosen.select(
-        "doc_id", "size", "source_size", "target", number_of.alias("copies"), (F.col("size") * number_of).alias("taken"), "went",
-        *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)),
-    )
+    went = F.filter("spans", lambda x: (x["lo"] <= F.col("middle")) & (F.col("middle") < x["hi"]) & (F.col("size") > 0))
+    chosen = laid.join(F.broadcast(plan), "pattern").withColumn("went", went)
+    return chosen.select("doc_id", "size", "source_size", "target", F.size("went").alias("copies"), (F.col("size") * F.size("went")).alias("taken"), "went", "pattern", F.struct("bucket", "o", "doc_id").alias("place"), F.lit(buckets).alias("buckets"))
+
+
+def mixed(docs: DataFrame, sources: Column, seed: int = 17, **settings) -> DataFrame:
+    """``docs`` as the mix takes them: a row for each copy.
+
+    What a copy takes of a pattern is a run of the seeded order, so the runs' ends (a few for each pattern) decide
+    for every document where it is read, and no text moves.
+    """
+    found = mix_sources(docs, sources, seed=seed, **settings)
+    runs = found.select("pattern", "place", "buckets", F.explode("went").alias("w")).groupBy("pattern", "w.copy", "w.source", "buckets").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    plan = stored(runs.groupBy("pattern", "buckets").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "mix-runs")
+    place = F.struct(F.expr("shiftrightunsigned(mix_o, cast(64 - round(log2(buckets)) as int))").alias("bucket"), F.col("mix_o").alias("o"), F.col("doc_id").cast("long").alias("doc_id"))
+    taken = F.filter("runs", lambda x: (x["first"] <= place) & (place <= x["last"]) & (F.col("mix_size") > 0))
+    joined = _labelled(docs, sources, seed).join(F.broadcast(plan.withColumnRenamed("pattern", "mix_pattern")), "mix_pattern")
+    return joined.withColumn("mix_copy", F.explode(taken)).select(*docs.columns)

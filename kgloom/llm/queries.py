@@ -15,15 +15,23 @@ from .toxicity_chain import fit_chain, score_chain
 from .winnow import decontaminate
 
 
-def op1_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public vocabulary file; the files are not part of this package."""
     import public_tokenizers
 
-    found = token_output(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return public_tokenizers.path(name)
+
+
+def op1_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_output(documents(spark, sf_dir), tokenizer_path(TOKENIZER), end_id=0)
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mix_sources(documents(spark, sf_dir), F.array("source"), weights=(5, 2, 1), share=1.5, copies=2)
+    found = mix_sources(documents(spark, sf_dir), F.array("source"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 

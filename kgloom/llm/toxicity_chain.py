@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain of linear models.
 
-Categories are predicted in a given order.  Each has a logistic model over the presence of selected words and the
-logits of the categories before it; those inputs are out-of-fold predictions while fitting, so a later
+Categories are predicted in a given order.  Each has a logistic model over the presence of selected words and
+word stems (leading bytes) and the logits of the categories before it; those inputs are out-of-fold predictions while fitting, so a later
 model sees earlier ones as good as they are on new texts.  A category's words are those whose presence in the sampled
 texts is associated with it beyond chance (G statistic), kept by their whole 64-bit hash, so no other word takes
 their place.  Fitted on at most ``max_rows`` labelled rows; counts are aggregated by Spark, and the driver
@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import U
-from .features import sample_rows, sigmoid, unique_words
+from .features import StemIndex, sample_rows, sigmoid, unique_stems
 from .shared import stored
 
 
-def fit_linear(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n: int, l2: float = 0.3, steps: int = 300) -> tuple[float, np.ndarray, np.ndarray]:
+def fit_linear(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n: int, l2: float = 0.2, steps: int = 100) -> tuple[float, np.ndarray, np.ndarray]:
     """Logistic regression (bias, word weights, extra weights) on sets of present columns, by accelerated descent."""
     share = y.mean() if len(y) else 0.0
     if not 0 < share < 1:
@@ -62,13 +62,12 @@ class ClassifierChain:
     bias: list[float] = field(default_factory=list)
     weights: list[np.ndarray] = field(default_factory=list)
     earlier: list[np.ndarray] = field(default_factory=list)
+    _index: StemIndex | None = None
 
     def hits(self, column) -> list[np.ndarray]:
-        found, _, at = unique_words(column)
-        place = np.minimum(np.searchsorted(self.words, found), max(0, len(self.words) - 1))
-        hit = self.words[place] == found if len(self.words) else np.zeros(len(found), bool)
-        bounds = np.searchsorted(np.flatnonzero(hit), at)
-        return np.split(place[hit], bounds[1:-1]) if len(at) > 1 else []
+        if self._index is None:
+            self._index = StemIndex(self.words)
+        return self._index.hits(column)
 
     def logits(self, hits: list[np.ndarray]) -> np.ndarray:
         out = np.zeros((len(hits), len(self.names)))
@@ -96,7 +95,7 @@ class ClassifierChain:
         return self
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max_rows: int = 16_000, max_words: int = 2_000, least_g: float = 18.0) -> ClassifierChain:
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max_rows: int = 16_000, max_words: int = 1500, least_g: float = 11.0) -> ClassifierChain:
     """Fit the categories, columns of ``labels`` with 0 or 1, in the given order."""
     names = list(categories)
     chosen = F.broadcast(sample_rows(labels, names, max_rows))
@@ -104,7 +103,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, _, at = unique_words(batch.column("text"))
+            found, at = unique_stems(batch.column("text"))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *names)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found.view(np.int64)))], names=["doc_id", *names, "words"])
 
     kind = ", ".join(f"`{c}` int" for c in names)
@@ -151,3 +150,14 @@ def score_chain(docs: DataFrame, chain: ClassifierChain, keep: Sequence[str] = (
     kind = ", ".join([f"{k} {rows.schema[k].dataType.simpleString()}" for k in inside] + [f"p{i} double" for i in range(len(chain.names))])
     found = rows.mapInArrow(run, kind)
     return found.select(*(F.col(k).alias(c) for c, k in zip(keep, inside, strict=True)), *(F.col(f"p{i}").alias(f"p_{c}") for i, c in enumerate(chain.names)))
+
+
+def drop_toxic(docs: DataFrame, chain: ClassifierChain, category: str = "toxic", threshold: float = 0.5) -> DataFrame:
+    """``docs`` without the rows whose probability of ``category`` reaches ``threshold``; no row moves."""
+    sent, c = docs.sparkSession.sparkContext.broadcast(chain), chain.names.index(category)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(sent.value.probabilities(batch.column("text"))[:, c] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

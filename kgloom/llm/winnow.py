@@ -184,3 +184,19 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
         "doc_id", "n_words", covered().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), "spans", "items",
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, max_item_words: int = 1 << 20) -> DataFrame:
+    """``docs`` without the rows that hold a window of an item; no row moves."""
+    for ids, texts in _portions(items, max_item_words):
+        sent = docs.sparkSession.sparkContext.broadcast((ids, texts))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index = ItemIndex(*sent.value)
+            for batch in batches:
+                h, rows = word_hashes(batch.column("text"), ALNUM)
+                clean = [not len(index.spans(h[a:b])[0]) for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
