@@ -10,7 +10,9 @@ from .fm_quality import fit_quality, score_quality
 from .minhash_tensor import near_duplicates
 from .mix_flow import mix_sources
 from .repair_tokens import token_output
+from .secret_forest import example_findings, fit_secrets, scan_secrets
 from .shared import documents
+from .surrogates import replace_pii
 from .toxicity_chain import fit_chain, score_chain
 from .winnow import decontaminate
 
@@ -39,6 +41,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = replace_pii(documents(spark, sf_dir), key=b"kgloom surrogate key for tests and benchmarks")
+    return found.select("doc_id", "n_entities", F.concat_ws(",", F.array_sort(F.array_distinct("entities.kind"))).alias("kinds"), "text")
+
+
 def op6_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
@@ -56,6 +63,10 @@ def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "p_quality", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
 
 
+def op8_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(documents(spark, sf_dir), fit_secrets(example_findings()))
+
+
 def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -70,8 +81,10 @@ QUERIES = {
     "op1_repair_tokens": op1_repair_tokens,
     "op2_source_mix": op2_source_mix,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_pii_surrogates": op4_pii_surrogates,
     "op6_quality_machine": op6_quality_machine,
     "op7_toxicity_chain": op7_toxicity_chain,
+    "op8_secret_forest": op8_secret_forest,
     "op9_benchmark_leaks": op9_benchmark_leaks,
     "op10_near_duplicates": op10_near_duplicates,
 }
