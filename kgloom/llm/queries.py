@@ -12,6 +12,7 @@ from .mix_flow import mix_sources
 from .repair_tokens import token_output
 from .secret_forest import example_findings, fit_secrets, scan_secrets
 from .shared import documents
+from .substring_chains import shared_passages
 from .surrogates import replace_pii
 from .toxicity_chain import fit_chain, score_chain
 from .winnow import decontaminate
@@ -46,6 +47,10 @@ def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_entities", F.concat_ws(",", F.array_sort(F.array_distinct("entities.kind"))).alias("kinds"), "text")
 
 
+def op5_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_passages(documents(spark, sf_dir))
+
+
 def op6_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
@@ -82,6 +87,7 @@ QUERIES = {
     "op2_source_mix": op2_source_mix,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_pii_surrogates": op4_pii_surrogates,
+    "op5_shared_passages": op5_shared_passages,
     "op6_quality_machine": op6_quality_machine,
     "op7_toxicity_chain": op7_toxicity_chain,
     "op8_secret_forest": op8_secret_forest,
