@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,12 +29,15 @@ class Phrase:
             last = i == len(self.words) - 1
             return token.startswith(self.words[i]) if last and self.prefix else token == self.words[i]
 
+        def at_offset(k: int) -> Callable[[Column], Column]:
+            return lambda i: equal(F.get(t, i - 1 + k), k)
+
         if len(self.words) == 1:
             return F.size(F.filter(t, lambda x: equal(x, 0)))
         at = F.sequence(F.lit(1), F.size(t) - len(self.words) + 1)
-        starts = F.filter(at, lambda i: equal(F.get(t, i - 1), 0))  # the rest is looked at where the first word is
+        starts = F.filter(at, at_offset(0))  # the rest is looked at where the first word is
         for k in range(1, len(self.words)):
-            starts = F.filter(starts, lambda i, k=k: equal(F.get(t, i - 1 + k), k))
+            starts = F.filter(starts, at_offset(k))
         return F.when(F.size(t) >= len(self.words), F.size(starts)).otherwise(0)
 
 
@@ -120,13 +124,19 @@ def parse(text: str) -> Query | None:
         return None
 
 
+def _tokenized(rows: DataFrame, key: str, text: str) -> DataFrame:
+    # a generator keeps the tokens from being computed anew for each use of them
+    found = F.explode(F.array(F.coalesce(tokens(text), F.array().cast("array<string>"))))
+    return rows.select(F.col(key).alias("entity_id"), found.alias("t"))
+
+
 def name_documents(kg: KG) -> DataFrame:
     """entity_id, t (tokens) of the names."""
-    return kg.entities.select(F.col("id").alias("entity_id"), tokens("name").alias("t"))
+    return _tokenized(kg.entities, "id", "name")
 
 
 def observation_documents(kg: KG) -> DataFrame:
-    return kg.observations.select("entity_id", tokens("body").alias("t"))
+    return _tokenized(kg.observations, "entity_id", "body")
 
 
 def postings(docs: DataFrame) -> DataFrame:

@@ -31,6 +31,17 @@ EDGES = (
 )
 
 
+_READ: dict[tuple[str, str], DataFrame] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table; its schema is looked up once a session."""
+    key = (f"{spark.sparkContext.applicationId} {id(spark)}", f"{sf_dir}/{name}.parquet")
+    if key not in _READ:
+        _READ[key] = spark.read.parquet(key[1])
+    return _READ[key]
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -42,31 +53,31 @@ def _id(key: str, offset: int) -> Column:
 def canonical(spark: SparkSession, sf_dir: str, tables: set[str] | None = None) -> KG:
     """The graph of all tables, or of those in ``tables`` (nodes and edges that they hold)."""
 
-    def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    def own(name: str) -> DataFrame:
+        return table(spark, sf_dir, name)
 
     nodes = [n for n in NODES if tables is None or n[0] in tables]
-    e = [table(t).select(_id(k, o).alias("id"), F.concat(F.lit(p), F.col(k).cast("string")).alias("name"), F.expr(kind.replace("varchar(9)", "string")).alias("type")) for t, k, o, p, kind, _ in nodes]
-    o = [table(t).select(_id(k, off).alias("entity_id"), F.lit(i).cast("long").alias("idx"), F.col(c).alias("body")) for t, k, off, _, _, cs in nodes for i, c in enumerate(cs)]
+    e = [own(t).select(_id(k, o).alias("id"), F.concat(F.lit(p), F.col(k).cast("string")).alias("name"), F.expr(kind.replace("varchar(9)", "string")).alias("type")) for t, k, o, p, kind, _ in nodes]
+    o = [own(t).select(_id(k, off).alias("entity_id"), F.lit(i).cast("long").alias("idx"), F.col(c).alias("body")) for t, k, off, _, _, cs in nodes for i, c in enumerate(cs)]
     r = []
     for t, a, x, b, y, kind, repeats in EDGES:
         if tables is None or t in tables:
-            rows = table(t).select(_id(a, x).alias("from_id"), _id(b, y).alias("to_id"), F.lit(kind).alias("type"))
+            rows = own(t).select(_id(a, x).alias("from_id"), _id(b, y).alias("to_id"), F.lit(kind).alias("type"))
             r.append(rows.distinct() if repeats else rows)
-    v = table("embeddings").select(_id("vec_id", 60_000_000).alias("entity_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.lit("").alias("model"))
+    v = own("embeddings").select(_id("vec_id", 60_000_000).alias("entity_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.lit("").alias("model"))
     none = spark.createDataFrame([], "entity_id long, idx long, body string")
-    return KG(_union(e), _union(o) if o else none, _union(r), v)
+    return KG(_union(e), _union(o) if o else none, _union(r) if r else spark.createDataFrame([], "from_id long, to_id long, type string"), v)
 
 
 def document_graph(spark: SparkSession, sf_dir: str) -> KG:
     """Documents with the vector of the same number, each citing the ones at half and a third of its number."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    kg = canonical(spark, sf_dir, {"documents"} | {t for t, *_ in EDGES})
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").join(docs, F.col("vec_id") == F.col("doc_id"), "left_semi")
+    docs = table(spark, sf_dir, "documents")
+    kg = canonical(spark, sf_dir, {"documents"})
+    vectors = table(spark, sf_dir, "embeddings").join(docs, F.col("vec_id") == F.col("doc_id"), "left_semi")
     key = F.col("doc_id").cast("long")
     cites = _union([docs.filter(key >= d).select((key + 50_000_000).alias("from_id"), (F.floor(key / d) + 50_000_000).alias("to_id"), F.lit("cites").alias("type")) for d in (2, 3)])
     return kg.with_(
-        entities=kg.entities.filter(F.col("id").between(50_000_000, 59_999_999)), relations=cites,
+        relations=cites,
         embeddings=vectors.select((F.col("vec_id").cast("long") + 50_000_000).alias("entity_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.lit("").alias("model")),
     )
 
