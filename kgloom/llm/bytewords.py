@@ -8,6 +8,8 @@ batch.  All delimiters used here are ASCII, so cutting UTF-8 at byte level is ex
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -141,6 +143,29 @@ def word_hashes(column, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(data, starts, ends), rows
 
 
+def slices(column, most: int = 1 << 21) -> Iterator[pa.Array]:
+    """The column a few rows at a time: at most ``most`` bytes of text, or one row.
+
+    An Arrow batch is bounded in rows only; work arrays are many times its text, so they follow these slices.
+    """
+    if isinstance(column, pa.ChunkedArray):
+        for chunk in column.chunks:
+            yield from slices(chunk, most)
+        return
+    _, offsets = string_buffers(column)
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
+        yield column.slice(i, j - i)
+        i = j
+
+
+def word_slices(column, table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``word_hashes`` of each slice."""
+    for part in slices(column):
+        yield word_hashes(part, table)
+
+
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of ``k`` consecutive word hashes (len(h) - k + 1 values)."""
     if len(h) < k:

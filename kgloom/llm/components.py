@@ -12,13 +12,13 @@ def _large(edges: DataFrame) -> DataFrame:
     """Every node hangs its larger neighbours on the least of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Every node hangs itself and its smaller neighbours on the least of those."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least.hint("merge"), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -31,5 +31,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if mark == seen or not mark[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = mark
-        now = stored(_small(_large(now)), "edges")
+        now = stored(_small(_large(now)).coalesce(max(6, mark[0] >> 18)), "edges")  # as many files as the edges need
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -6,8 +6,8 @@ of ``r`` minhashes each, and ``m * m`` table keys, one for each pair of a key of
 (1 - (1 - s**r)**m)**2, which is 0.99993 at 0.8 for m = 10, r = 2.
 
 Of each table key the least class is linked to the others (a star, not all pairs).  After the links are
-confirmed and grouped, keys that still hold several groups are gone through again, and every pair of
-members of different groups is tested once, at the first table the two share.  Both times two exact bounds come
+confirmed and grouped, keys that still hold several groups are gone through again (of keys with the same
+members, one), and every pair of members of different groups is tested once, at the least key it shares.  Both times two exact bounds come
 first: sizes, and the bits in which two 1024-bit images of the sets differ, which is at most what the
 sets differ in.  What passes is confirmed by intersecting the full sets.
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import NON_SPACE, U, counter_hash, gram_hashes, mix64, word_hashes
+from .bytewords import NON_SPACE, U, counter_hash, gram_hashes, mix64, word_slices
 from .components import components
 from .shared import stored
 
@@ -36,10 +36,10 @@ BITS = 16  # 64-bit words of a set's image
 
 def shingle_sets(column, k: int) -> Iterator[np.ndarray]:
     """Each row's distinct ``k``-word shingles, ascending; fewer words are one shingle, none are none."""
-    h, rows = word_hashes(column, NON_SPACE)
-    grams = gram_hashes(h, k)
-    for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
-        yield np.unique(grams[a : b - k + 1]) if b - a >= k else gram_hashes(h[a:b], b - a) if b > a else np.zeros(0, U)
+    for h, rows in word_slices(column, NON_SPACE):
+        grams = gram_hashes(h, k)
+        for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
+            yield np.unique(grams[a : b - k + 1]) if b - a >= k else gram_hashes(h[a:b], b - a) if b > a else np.zeros(0, U)
 
 
 class Tensored:
@@ -104,8 +104,8 @@ def _may_link(n: str, o: str, x: str, y: str, num: int, den: int) -> Column:
 def _confirm(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of classes whose full sets are similar enough."""
     pairs = stored(pairs, "near-pairs")
-    own = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    wanted = stored(classes.join(own, "cid", "left_semi").select("doc_id").distinct(), "near-docs")
+    own = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    wanted = stored(classes.join(own, "c", "left_semi").select("doc_id").distinct(), "near-docs")
     few = wanted.count() <= MAX_SENT
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").alias("d")
     chosen = texts.join((F.broadcast(wanted) if few else wanted).alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
@@ -126,56 +126,54 @@ def _confirm(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, num:
                 keep.append(den * shared >= num * (len(both) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    found = stored(chosen.select("text").mapInArrow(sets, "cid binary, members binary").join(own, "cid", "left_semi"), "near-sets")
-    left = pairs.join(found.select(F.col("cid").alias("a"), F.col("members").alias("x")).hint("merge"), "a")
-    whole = left.join(found.select(F.col("cid").alias("b"), F.col("members").alias("y")).hint("merge"), "b")
-    return stored(whole.select("a", "b", "x", "y").mapInArrow(similar, "a binary, b binary").distinct(), "near-links")
+    read = chosen.select("text").mapInArrow(sets, "cid binary, members binary").select(F.xxhash64("cid").alias("c"), "members")
+    found = stored(read.join(own, "c", "left_semi"), "near-sets")
+    left = pairs.join(found.select(F.col("c").alias("a"), F.col("members").alias("x")), "a")
+    whole = left.join(found.select(F.col("c").alias("b"), F.col("members").alias("y")), "b")
+    return stored(whole.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long").distinct(), "near-links")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, m: int = 10, r: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id (of the shingle set), n_links (of the class), text_hash: a row for each row of ``docs``."""
     signed = stored(signatures(docs, k, m, r), "near-signatures")
-    # any row of a class has the same keys and bits: the first is enough
+    # any row of a class has the same keys and bits
     grouped = signed.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"))
-    rows = signed.filter("n > 0").select("cid", "keys", "bits", F.xxhash64("doc_id").alias("o"))
-    shapes = rows.groupBy("cid").agg(F.min_by(F.struct("keys", "bits"), "o").alias("s")).select("cid", "s.keys", "s.bits")
-    classes = stored(grouped.join(shapes, "cid"), "near-classes")
+    shapes = signed.filter("n > 0").groupBy("cid").agg(F.any_value(F.struct("keys", "bits")).alias("s")).select("cid", "s.keys", "s.bits")
+    # 64 bits of a class's 128 name it in the links
+    classes = stored(grouped.join(shapes, "cid").withColumn("c", F.xxhash64("cid")), "near-classes")
 
     first, second = F.slice("keys", 1, m), F.slice("keys", m + 1, m)
-    table = classes.select("cid", F.posexplode(first).alias("i", "x"), second.alias("rest")).select("cid", "i", "x", F.posexplode("rest").alias("j", "y"))
-    keyed = table.select("cid", F.xxhash64("i", "x", "j", "y").alias("key"), (F.col("i") * m + F.col("j")).alias("t"))
-    shared = keyed.groupBy("key").agg(F.min("cid").alias("least"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    table = classes.select("c", F.posexplode(first).alias("i", "x"), second.alias("rest")).select("c", "i", "x", F.posexplode("rest").alias("j", "y"))
+    keyed = table.select("c", F.xxhash64("i", "x", "j", "y").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     hits = stored(keyed.join(shared.select("key", "least"), "key"), "near-hits")
 
-    shape = classes.select("cid", "n", "bits")
-    stars = hits.filter("cid <> least").select(F.col("cid").alias("a"), F.col("least").alias("b")).distinct()
-    sized = stars.join(shape.select(F.col("cid").alias("a"), "n", F.col("bits").alias("x")), "a").join(shape.select(F.col("cid").alias("b"), F.col("n").alias("o"), F.col("bits").alias("y")), "b")
+    shape = classes.select("c", "n", "bits")
+    stars = hits.filter("c <> least").select(F.col("c").alias("a"), F.col("least").alias("b")).distinct()
+    sized = stars.join(shape.select(F.col("c").alias("a"), "n", F.col("bits").alias("x")), "a").join(shape.select(F.col("c").alias("b"), F.col("n").alias("o"), F.col("bits").alias("y")), "b")
     links = _confirm(docs, sized.filter(_may_link("n", "o", "x", "y", num, den)).select("a", "b"), classes, k, num, den)
     roots = components(links)
 
-    # keys that hold more than one group, and in them each pair of members of different groups
-    grown = hits.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("key", "t", "cid", F.coalesce("root", "cid").alias("g"))
-    open_ = grown.groupBy("key").agg(F.min("g").alias("p"), F.max("g").alias("q")).filter("p <> q").select("key")
-    side = stored(grown.join(open_, "key", "left_semi").join(classes.select("cid", "n", "keys", "bits"), "cid"), "near-open")
-    p, q = (side.select("key", "t", *(F.col(c).alias(f"{c}_{s}") for c in ("cid", "g", "n", "keys", "bits"))) for s in "pq")
-
-    def first_shared(lo: int) -> Column:
-        out = F.lit(m)
-        for i in reversed(range(m)):
-            out = F.when(F.col("keys_p")[lo + i] == F.col("keys_q")[lo + i], i).otherwise(out)
-        return out
-
-    apart = (F.col("cid_p") > F.col("cid_q")) & (F.col("g_p") != F.col("g_q")) & _may_link("n_p", "n_q", "bits_p", "bits_q", num, den)
-    once = F.col("t") == first_shared(0) * m + first_shared(m)
-    crossed = p.join(q.drop("t").hint("merge"), ["key"]).filter(apart & once)
-    more = _confirm(docs, crossed.select(F.col("cid_p").alias("a"), F.col("cid_q").alias("b")), classes, k, num, den)
+    # keys that hold more than one group, one of those with the same members, and in it each pair of different groups
+    grown = hits.join(roots.withColumnRenamed("node", "c"), "c", "left").select("key", "c", F.coalesce("root", "c").alias("g"))
+    member = F.xxhash64("c")
+    open_ = grown.groupBy("key").agg(F.min("g").alias("p"), F.max("g").alias("q"), F.bit_xor(member).alias("f0"), F.sum(F.shiftright(member, 24)).alias("f1"), F.count(F.lit(1)).alias("size"))
+    one = open_.filter("p <> q").groupBy("f0", "f1", "size").agg(F.min("key").alias("key")).select("key")
+    kept = grown.join(one, "key", "left_semi")
+    own = kept.groupBy("c").agg(F.collect_set("key").alias("keys"))
+    side = stored(kept.join(own, "c").join(shape, "c"), "near-open")
+    p, q = (side.select("key", *(F.col(x).alias(f"{x}_{s}") for x in ("c", "g", "n", "bits", "keys"))) for s in "pq")
+    apart = (F.col("c_p") > F.col("c_q")) & (F.col("g_p") != F.col("g_q"))
+    once = F.array_min(F.array_intersect("keys_p", "keys_q")) == F.col("key")
+    crossed = p.join(q, "key").filter(apart & _may_link("n_p", "n_q", "bits_p", "bits_q", num, den) & once)
+    more = _confirm(docs, crossed.select(F.col("c_p").alias("a"), F.col("c_q").alias("b")), classes, k, num, den)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
-    number = links.unionByName(more).select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"))
-    named = classes.select("cid", "doc_id").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    number = links.unionByName(more).select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n_links"))
+    named = classes.select("cid", "c", "doc_id").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    known = named.join(least.hint("merge"), "root").join(number, "cid", "left").select("cid", "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    out = signed.select("doc_id", "text_hash", "n", "cid").join(known.hint("merge"), "cid", "left")
+    known = named.join(least, "root").join(number, "c", "left").select("cid", "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    out = signed.select("doc_id", "text_hash", "n", "cid").join(known, "cid", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.hex("cid").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "text_hash")
 
