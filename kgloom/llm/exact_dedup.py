@@ -44,8 +44,8 @@ def exact_dedup(docs: DataFrame, bits_per_row: int = 16, max_filter_bits: int =
     maybe = flagged.filter("maybe")
     best = F.max(F.struct("doc_id", (-F.col("row")).alias("order")))
     groups = maybe.groupBy("text_sha256").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    # a hot group's rows are spread by AQE's skew join: both sides of this join are plain shuffles
-    shuffled = maybe.join(groups.hint("merge"), "text_sha256").select(
+    # rows of a hot group are spread by AQE, which splits the skewed side of this join
+    shuffled = maybe.join(groups, "text_sha256").select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (-F.col("row") == F.col("best.order")).alias("kept"), "text_sha256"
     )
     straight = flagged.filter("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import U
+from .bytewords import U, slices
 from .features import STRUCTURE, sample_rows, sigmoid, word_statistics
 
 WORD_BITS = 18
@@ -72,6 +72,9 @@ class FactorisationMachine:
         return self.bias + np.add.reduceat(self.w[columns] * x, offsets[:-1]) + 0.5 * (summed**2 - squares).sum(1), vx, summed
 
     def score(self, column) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *(self._score(part) for part in slices(column))])
+
+    def _score(self, column) -> np.ndarray:
         columns, values, offsets = sparse_rows(column)
         out, i = np.zeros(len(offsets) - 1), 0
         if not np.isfinite(self.bias):  # fitted on nothing: a constant

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import ALNUM, U, gram_hashes, word_hashes
+from .bytewords import ALNUM, U, gram_hashes, word_hashes, word_slices
 from .shared import stored
 
 WINDOW = 10
@@ -144,15 +144,16 @@ def find_spans(docs: DataFrame, items: DataFrame, max_item_words: int = 1 << 20)
             ids, texts = sent.value
             index = ItemIndex([str(x) for x in ids], texts)
             for batch in batches:
-                h, rows = word_hashes(batch.column("text"), ALNUM)
-                spans, names = [], []
-                for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
-                    it, s, e = index.spans(h[a:b])
-                    spans.append([{"s": x, "e": y} for x, y in sorted(set(zip(s.tolist(), e.tolist(), strict=True)))])
-                    names.append(sorted({index.ids[i] for i in it.tolist() if ids[i] is not None}))
+                count, spans, names = [], [], []
+                for h, rows in word_slices(batch.column("text"), ALNUM):
+                    for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
+                        it, s, e = index.spans(h[a:b])
+                        count.append(b - a)
+                        spans.append([{"s": x, "e": y} for x, y in sorted(set(zip(s.tolist(), e.tolist(), strict=True)))])
+                        names.append(sorted({index.ids[i] for i in it.tolist() if ids[i] is not None}))
                 kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row"), batch.column("doc_id"), pa.array(np.diff(rows)), pa.array(spans, kind), pa.array(names, pa.list_(pa.string()))],
+                    [batch.column("row"), batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(spans, kind), pa.array(names, pa.list_(pa.string()))],
                     names=["row", "doc_id", "n_words", "spans", "items"],
                 )
 
@@ -194,8 +195,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, max_item_words: int = 1
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = ItemIndex(*sent.value)
             for batch in batches:
-                h, rows = word_hashes(batch.column("text"), ALNUM)
-                clean = [not len(index.spans(h[a:b])[0]) for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
+                found = (index.spans(h[a:b])[0] for h, rows in word_slices(batch.column("text"), ALNUM) for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True))
+                clean = [not len(x) for x in found]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
