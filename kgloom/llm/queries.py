@@ -97,7 +97,21 @@ QUERIES = {
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
 ORACLE_SQL = {
+    "op9_benchmark_leaks": f"""
+        WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+             k AS (SELECT item_id, ws, least(10, len(ws)) AS n FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
+             iw AS (SELECT DISTINCT item_id, n, array_to_string(ws[p:p + n - 1], ' ') AS g FROM (SELECT item_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM k)),
+             dw AS (SELECT doc_id, n, p, array_to_string(ws[p:p + n - 1], ' ') AS g
+                    FROM (SELECT doc_id, n, ws, unnest(range(1, len(ws) - n + 2)) AS p FROM w, (SELECT DISTINCT n FROM k) WHERE len(ws) >= n)),
+             h AS (SELECT doc_id, item_id, n, p FROM dw JOIN iw USING (n, g)),
+             c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM h) GROUP BY doc_id),
+             i AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+        SELECT w.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM w LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)
+    """,
     "op3_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')) AS s FROM documents),
              g AS (SELECT s, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY s)
