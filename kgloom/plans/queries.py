@@ -313,11 +313,11 @@ def find_path(spark, d):
 
 @query(f"""{_SUB_R},
     P AS (SELECT id, [id] AS path FROM E WHERE name = 'part:17'
-          UNION ALL SELECT S.t, list_append(P.path, S.t) FROM P JOIN S ON S.h = P.id WHERE len(P.path) <= 3 AND NOT list_contains(P.path, S.t) AND P.id <> (SELECT id FROM E WHERE name = 'nation:6')),
-    Z AS (SELECT path, row_number() OVER (ORDER BY len(path), path) - 1 AS path_id FROM P WHERE id = (SELECT id FROM E WHERE name = 'nation:6') ORDER BY len(path), path LIMIT 40)
+          UNION ALL SELECT S.t, list_append(P.path, S.t) FROM P JOIN S ON S.h = P.id WHERE len(P.path) <= 3 AND NOT list_contains(P.path, S.t) AND P.id <> (SELECT id FROM E WHERE name = 'region:3')),
+    Z AS (SELECT path, row_number() OVER (ORDER BY len(path), path) - 1 AS path_id FROM P WHERE id = (SELECT id FROM E WHERE name = 'region:3') ORDER BY len(path), path LIMIT 40)
     SELECT u.path_id, u.pos - 1 AS pos, E.name FROM (SELECT path_id, unnest(path) AS id, unnest(generate_series(1, len(path))) AS pos FROM Z) u JOIN E ON E.id = u.id""")
 def find_all_paths(spark, d):
-    return traverse.find_all_paths(canonical(spark, d, SUB), "part:17", "nation:6", 3, 40)
+    return traverse.find_all_paths(canonical(spark, d, SUB), "part:17", "region:3", 3, 40)
 
 
 # --- writes -----------------------------------------------------------------------------------------
