@@ -173,7 +173,7 @@ def mmr_search(kg: KG, query: Sequence[float], k: int = 10, fetch_k: int | None
         out = rows.loc[[i for i, _ in picked], ["name", "type"]].reset_index(drop=True)
         return out.assign(rank=range(1, len(out) + 1), score=[round(s, 6) for _, s in picked])[["rank", "name", "type", "score"]]
 
-    return pool.groupBy(F.lit(1)).applyInPandas(choose, "rank int, name string, type string, score double")
+    return pool.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(choose, "rank int, name string, type string, score double")
 
 
 def graph_cache(kg: KG) -> DataFrame:
