@@ -97,7 +97,7 @@ class Forest:
 
 def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 9, least: int = 3, seed: int = 11) -> Forest:
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return Forest(share, [])
     rng, tried = np.random.default_rng(seed), max(1, round(math.sqrt(x.shape[1])))
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0.03, 0.97, 32))) for f in range(x.shape[1])]
