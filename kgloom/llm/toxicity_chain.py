@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import U
+from .bytewords import U, slices
 from .features import StemIndex, sample_rows, sigmoid, unique_stems
 from .shared import stored
 
@@ -33,8 +33,8 @@ def fit_linear(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n: int,
     if not 0 < share < 1:
         return (40.0 if share else -40.0), np.zeros(n), np.zeros(extra.shape[1])
     size = np.array([len(r) for r in rows])
-    row = np.repeat(np.arange(len(rows)), size)
-    col = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), size)
+    col = np.concatenate(rows) if len(rows) else np.zeros(0, np.int32)
     w = np.zeros(1 + extra.shape[1] + n)
     w[0] = np.log(share / (1 - share))
     k = 1 + extra.shape[1]
@@ -67,7 +67,7 @@ class ClassifierChain:
     def hits(self, column) -> list[np.ndarray]:
         if self._index is None:
             self._index = StemIndex(self.words)
-        return self._index.hits(column)
+        return [h for part in slices(column) for h in self._index.hits(part)]
 
     def logits(self, hits: list[np.ndarray]) -> np.ndarray:
         out = np.zeros((len(hits), len(self.names)))
@@ -95,7 +95,7 @@ class ClassifierChain:
         return self
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max_rows: int = 16_000, max_words: int = 1500, least_g: float = 11.0) -> ClassifierChain:
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max_rows: int = 10_000, max_words: int = 1000, least_g: float = 11.0) -> ClassifierChain:
     """Fit the categories, columns of ``labels`` with 0 or 1, in the given order."""
     names = list(categories)
     chosen = F.broadcast(sample_rows(labels, names, max_rows))
@@ -103,8 +103,12 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, at = unique_stems(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *names)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found.view(np.int64)))], names=["doc_id", *names, "words"])
+            start = 0
+            for part in slices(batch.column("text")):
+                found, at = unique_stems(part)
+                rows = batch.slice(start, len(part))
+                start += len(part)
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("doc_id", *names)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found.view(np.int64)))], names=["doc_id", *names, "words"])
 
     kind = ", ".join(f"`{c}` int" for c in names)
     sample = stored(texts.select("doc_id", *names, "text").mapInArrow(words, f"doc_id long, {kind}, words array<long>"), "chain-sample")
@@ -125,14 +129,16 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max
         g = 2 * (term(a, F.col("n") * pos / n) + term(b, F.col("n") * (n - pos) / n) + term(rest_a, (n - F.col("n")) * pos / n) + term(rest_b, (n - F.col("n")) * (n - pos) / n))
         kept |= {x["word"] for x in seen.select("word", g.alias("g")).filter(F.col("g") >= least_g).orderBy(F.desc("g"), "word").limit(max_words).collect()}
     chain = ClassifierChain(names, np.sort(np.array(sorted(kept), np.int64).view(U)) if kept else np.zeros(0, U))
-    signed = sorted(kept)
-    place = {w: i for i, w in enumerate(chain.words.view(np.int64).tolist())}
-    own = F.array(*map(F.lit, signed)) if signed else F.array().cast("array<long>")
-    rows = sorted(sample.select("doc_id", *names, F.array_intersect("words", own).alias("words"), F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("fold")).collect())
-    if not rows:
+    own = F.array(*map(F.lit, sorted(kept))) if kept else F.array().cast("array<long>")
+    # as Arrow columns: a few MB, where rows of Python lists would be many times that
+    rows = sample.select("doc_id", *names, F.array_intersect("words", own).alias("words"), F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("fold")).toArrow().sort_by("doc_id").combine_chunks()
+    if not rows.num_rows:
         return chain.fit([], np.zeros((0, len(names))), np.zeros(0))
-    hits = [np.array([place[w] for w in r["words"]], np.int64) for r in rows]
-    return chain.fit(hits, np.array([[r[c] for c in names] for r in rows], float), np.array([r["fold"] for r in rows]))
+    lists = rows["words"].combine_chunks()
+    found = lists.flatten().to_numpy().view(U)
+    ends = np.cumsum(np.asarray(lists.value_lengths()))
+    hits = np.split(np.searchsorted(chain.words, found).astype(np.int32), ends[:-1])
+    return chain.fit(hits, np.stack([rows[c].to_numpy().astype(float) for c in names], 1), rows["fold"].to_numpy())
 
 
 def score_chain(docs: DataFrame, chain: ClassifierChain, keep: Sequence[str] = ()) -> DataFrame:
