@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,12 +101,8 @@ def build(spark: SparkSession, entities: list[tuple[str, str, list[str]]], relat
 
 def to_blob(column: str = "embedding"):
     """Vector as the exchange blob: u32 LE dimension, then f32 LE values."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def pack(v: pd.Series) -> pd.Series:
-        import numpy as np
-
         return v.map(lambda x: None if x is None else np.uint32(len(x)).astype("<u4").tobytes() + np.asarray(x, "<f4").tobytes())
 
     return pack(F.col(column))
@@ -112,12 +110,8 @@ def to_blob(column: str = "embedding"):
 
 def from_blob(column: str):
     """Vector of an exchange blob; a blob shorter than it says is an error."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def unpack(v: pd.Series) -> pd.Series:
-        import numpy as np
-
         def one(b):
             if b is None:
                 return None

@@ -31,7 +31,7 @@ def test_search(store):
 
 
 def test_upserts(spark, store):
-    items = spark.createDataFrame([(0, "a", [0.0, 0, 0, 1], ""), (1, "ghost", [1.0, 0, 0, 0], ""), (2, "b", [1.0], "")], "pos long, name string, embedding array<float>, model string")
+    items = spark.createDataFrame([(0, "a", [0.0, 0.0, 0.0, 1.0], ""), (1, "ghost", [1.0, 0.0, 0.0, 0.0], ""), (2, "b", [1.0], "")], "pos long, name string, embedding array<float>, model string")
     grown, outcome = vector.batch_upsert(store, items, 4)
     assert [r["error"] for r in outcome.orderBy("pos").collect()] == [None, "unknown entity", "wrong dimensions"]
     assert grown.embeddings.count() == 4
@@ -40,7 +40,7 @@ def test_upserts(spark, store):
 
 
 def test_batch_equals_single(spark, store):
-    q = spark.createDataFrame([(1, [1.0, 0, 0, 0]), (2, [0.0, 1, 0, 0])], "query_id long, embedding array<float>")
+    q = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0, 0.0])], "query_id long, embedding array<float>")
     for metric in ("cos", "ip", "l2sq"):
         got = {(r["query_id"], r["rank"]): (r["entity_id"], r["score"]) for r in vector.knn_batch(store.embeddings, q, 3, metric, block=1).collect()}
         for i, v in ((1, [1, 0, 0, 0]), (2, [0, 1, 0, 0])):
