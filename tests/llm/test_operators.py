@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and the cases its docstring defines."""
 
 import hashlib
+import inspect
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -342,6 +343,18 @@ def test_toxicity(spark, none):
     assert toxicity_chain.drop_toxic(docs, bare).count() == docs.count()
 
 
+def test_toxicity_bounds(spark):
+    """Markers ranked after the first 1,000 words and stems are in the model."""
+    assert inspect.signature(toxicity_chain.fit_chain).parameters["max_rows"].default == 16_000
+    marks = [f"q{chr(97 + i // 15)}{chr(97 + i % 15)}z" for i in range(220)]
+    texts = [(f"{m} c{i % 7}", 1) for m in marks for i in range(6)] + [(f"c{i % 7} c{i % 5}", 0) for i in range(2000)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, (t, _) in enumerate(texts)], DOCS)
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int")
+    chain = toxicity_chain.fit_chain(docs, labels, ("toxic",))
+    assert len(chain.words) >= 6 * len(marks)
+    assert {r["doc_id"] for r in toxicity_chain.score_chain(docs, chain).filter("p_toxic >= 0.5").collect()} == set(range(6 * len(marks)))
+
+
 # --- personal data, secrets ---
 
 
