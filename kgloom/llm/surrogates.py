@@ -5,7 +5,8 @@ on until the result is valid for the type, as the original was), so different nu
 construction.  Names and mail addresses are drawn from keyed streams: a name keeps gender, script and number of parts,
 an address keeps its shape.  An entity has one canonical form wherever and however it is written, so mentions
 agree across all documents.  Drawn surrogates are checked for collisions among all distinct entities and with
-them; losers (all but the least entity) draw again until none collide.  Only those exceptions are a table; it is
+them, as the text shows them (names of any gender); losers (all but the least entity) draw again, longer every third
+time, until none collide; if some still do after all rounds, that is an error.  Only those exceptions are a table; it is
 sent to the tasks within ``MAX_SENT`` rows and joined beyond.
 
 Defined cases: null text stays null; a text without entities is unchanged; long texts are read whole; equal rows get
@@ -162,7 +163,7 @@ class Surrogates:
             out = []
             for i, run in enumerate(re.findall(r"[^\W\d_]+|\d+|[\W_]", local)):
                 t = self._stream("part", s, i)
-                out.append("".join(pool[(t >> (6 * j)) % len(pool)] for j in range(max(2, (len(run) + 1) // 2))) if run.isalpha() else str(t % 10 ** len(run)).zfill(len(run)) if run.isdigit() else run)
+                out.append("".join(pool[(t >> (6 * j)) % len(pool)] for j in range(max(2, (len(run) + 1) // 2) + n // 3)) if run.isalpha() else str(t % 10 ** len(run)).zfill(len(run)) if run.isdigit() else run)
             return "".join(out) + f"@{pool[s % len(pool)]}{pool[(s >> 8) % len(pool)]}{(s >> 16) % 1000}.example.{domain.rsplit('.', 1)[1]}"
         gender, name = form.split("|", 1)
         parts, out = name.split(" "), []
@@ -173,7 +174,7 @@ class Surrogates:
                 out.append(pool[t % len(pool)])
             else:
                 pool = _SYLLABLE[script]
-                out.append("".join(pool[(t >> (8 * j)) % len(pool)] for j in range(4)).capitalize() + _TAIL[script, gender])
+                out.append("".join(pool[(t >> (8 * j)) % len(pool)] for j in range(4 + n // 3)).capitalize() + _TAIL[script, gender])
         return f"{gender}|{' '.join(out)}"
 
     def written(self, kind: str, form: str, old: str) -> str:
@@ -216,13 +217,18 @@ def _redraws(docs: DataFrame, key: bytes, rounds: int = 20) -> DataFrame:
 
     kind = "kind string, form string, draw int, new string"
     now = stored(docs.select("text").mapInArrow(entities, "kind string, form string").distinct().withColumn("draw", F.lit(0)).mapInArrow(drawn, kind), "entities")
-    for _ in range(rounds):
-        first = now.groupBy("kind", "new").agg(F.min("form").alias("least"), F.count(F.lit(1)).alias("c"))
-        taken = now.select("kind", F.col("form").alias("new")).withColumn("real", F.lit(True))
-        marked = now.join(first, ["kind", "new"]).join(taken, ["kind", "new"], "left").withColumn("bad", ((F.col("c") > 1) & (F.col("form") != F.col("least"))) | F.col("real").isNotNull())
+    # what a text shows of a name is its form without the gender
+    shown = lambda c: F.when(F.col("kind") == "name", F.substring_index(c, "|", -1)).otherwise(F.col(c))
+    for done in range(rounds + 1):
+        seen = now.withColumn("shown", shown("new"))
+        first = seen.groupBy("kind", "shown").agg(F.min("form").alias("least"), F.count(F.lit(1)).alias("c"))
+        taken = now.select("kind", shown("form").alias("shown")).distinct().withColumn("real", F.lit(True))
+        marked = seen.join(first, ["kind", "shown"]).join(taken, ["kind", "shown"], "left").withColumn("bad", ((F.col("c") > 1) & (F.col("form") != F.col("least"))) | F.col("real").isNotNull())
         bad = marked.filter("bad").select("kind", "form", (F.col("draw") + 1).alias("draw"))
         if bad.isEmpty():
             break
+        if done == rounds:
+            raise RuntimeError(f"surrogates still collide after {rounds} rounds of redraws")
         now = stored(marked.filter("not bad").select("kind", "form", "draw", "new").unionByName(bad.mapInArrow(drawn, kind)), "entities")
     return now.filter("draw > 0").select("kind", "form", "draw")
 
