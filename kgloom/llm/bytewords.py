@@ -175,3 +175,12 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
         for i, c in enumerate(counter_hash(0x6A3 + 1000 * k, k)):
             total += h[i : len(h) - k + 1 + i] * (c | U(1))
         return mix64(total)
+
+
+def run_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the word hashes from each start to its end, and of their number."""
+    up, down = _POWERS.get(len(h) + 1)
+    with np.errstate(over="ignore"):
+        run = np.zeros(len(h) + 1, U)
+        np.cumsum(h * up[: len(h)], dtype=U, out=run[1:])
+        return mix64((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(U) * U(_BASE))

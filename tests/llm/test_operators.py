@@ -285,6 +285,8 @@ def test_fenwick_and_chain():
         plain[p] = max(plain[p], v)
         q = int(rng.integers(0, 51))
         assert tree.get(q)[0] == max(plain[:q], default=float("-inf"))
+    # a near predecessor serves where the best one is too far off
+    assert substring_chains.chain(*(np.array(v) for v in ((0, 300, 340), (0, 500, 540), (200, 20, 20))), 0.1, 60) == [[0], [1, 2]]
     x, y, n = (np.array(v) for v in ((0, 12, 30, 200), (5, 18, 2, 205), (8, 8, 8, 8)))
     assert substring_chains.chain(x, y, n, 0.1, 60)[0] == [0, 1]
 
