@@ -1,11 +1,11 @@
 """Exact dedup with a two-pass Bloom filter, in DataFrame functions only.
 
 A narrow table (row number, doc_id, sha-256, filter position) is written once, so texts are read once.
-Pass one counts rows at each filter position and keeps the positions that two or more rows hit, packed
-as 64-bit words.  Pass two probes the words: a row whose bit is clear has no equal row and passes straight
-through, only the others shuffle, by the digest of their whole text.  False positives cost a shuffled row
-and never change a result.  The filter has at most ``max_filter_bits``; it is broadcast only within
-that bound, and beyond ``bits_per_row`` of it the probe joins by word instead.
+Pass one builds the filter of positions that two or more rows hit: each task sends the positions that it hits with
+their counts (no more than there are positions), and those hit again are packed as 64-bit words.  Pass two probes the words: a row whose bit is clear has
+no equal row and passes straight through, only the others shuffle, by the digest of their whole text.  False positives
+cost a shuffled row and never change a result.  The filter has ``bits_per_row`` bits for each row, and never more than
+``max_filter_bits``, which bounds what is broadcast; beyond it more rows are probed in vain.
 
 Defined cases: a null text equals an empty one; of equal texts the row with the largest doc_id stays,
 null doc_id below all others, and of rows equal in both, exactly one; other columns are ignored.
@@ -29,14 +29,13 @@ def exact_dedup(docs: DataFrame, bits_per_row: int = 16, max_filter_bits: int =
         "dedup-hashes",
     )
     wanted = max(1024, narrow.count() * bits_per_row)
-    bits = 1 << (wanted - 1).bit_length()
-    fits = bits <= max_filter_bits
+    bits = min(max_filter_bits, 1 << (wanted - 1).bit_length())
     at = narrow.withColumn("position", F.pmod("h", F.lit(bits)))
     repeated = at.groupBy("position").count().filter("count > 1")
     words = repeated.groupBy(F.shiftright("position", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(position & 63 as int))")).alias("mask")
     )
-    probed = at.withColumn("word", F.shiftright("position", 6)).join(F.broadcast(words) if fits else words, "word", "left")
+    probed = at.withColumn("word", F.shiftright("position", 6)).join(F.broadcast(words), "word", "left")
     flagged = stored(
         probed.select("row", "doc_id", "text_sha256", F.expr("coalesce(getbit(mask, cast(position & 63 as int)), 0) = 1").alias("maybe")),
         "dedup-flags",

@@ -7,7 +7,7 @@ of ``r`` minhashes each, and ``m * m`` table keys, one for each pair of a key of
 
 Of each table key the least class is linked to the others (a star, not all pairs).  After the links are
 confirmed and grouped, keys that still hold several groups are gone through again (of keys with the same
-members, one), and every pair of members of different groups is tested once, at the least key it shares.  Both times two exact bounds come
+members, one): members of different groups are tested in blocks, and only pairs that pass become rows.  Both times two exact bounds come
 first: sizes, and the bits in which two 1024-bit images of the sets differ, which is at most what the
 sets differ in.  What passes is confirmed by intersecting the full sets.
 
@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 
 from .bytewords import NON_SPACE, U, counter_hash, gram_hashes, mix64, word_slices
 from .components import components
-from .shared import stored
+from .shared import fresh, stored
 
 #: Classes whose ids are sent to every task when texts are read again; beyond it the texts are joined by a shuffle.
 MAX_SENT = 1_000_000
 BITS = 16  # 64-bit words of a set's image
+BLOCK = 1024  # members of a key that a task tests against as many
 
 
 def shingle_sets(column, k: int) -> Iterator[np.ndarray]:
@@ -104,9 +105,9 @@ def _may_link(n: str, o: str, x: str, y: str, num: int, den: int) -> Column:
 def _confirm(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of classes whose full sets are similar enough."""
     pairs = stored(pairs, "near-pairs")
-    own = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    wanted = stored(classes.join(own, "c", "left_semi").select("doc_id").distinct(), "near-docs")
-    few = wanted.count() <= MAX_SENT
+    own = stored(classes.join(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "c", "left_semi").select("c", "cid", "doc_id"), "near-own")
+    wanted = own.select("doc_id").distinct()
+    few = own.count() <= MAX_SENT
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").alias("d")
     chosen = texts.join((F.broadcast(wanted) if few else wanted).alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
 
@@ -126,21 +127,79 @@ def _confirm(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, num:
                 keep.append(den * shared >= num * (len(both) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    read = chosen.select("text").mapInArrow(sets, "cid binary, members binary").select(F.xxhash64("cid").alias("c"), "members")
-    found = stored(read.join(own, "c", "left_semi"), "near-sets")
+    named = own.select("cid", "c")
+    read = chosen.select("text").mapInArrow(sets, "cid binary, members binary").join(F.broadcast(named) if few else named, "cid")
+    found = stored(read.select("c", "members"), "near-sets")
     left = pairs.join(found.select(F.col("c").alias("a"), F.col("members").alias("x")), "a")
     whole = left.join(found.select(F.col("c").alias("b"), F.col("members").alias("y")), "b")
     return stored(whole.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long").distinct(), "near-links")
 
 
+def _tested(members: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of members (key, c, g, n, bits) of a key, of different groups, that pass both exact bounds.
+
+    Members of a key are dealt into blocks of about ``BLOCK``, and a task tests one block against one block, so the pairs of a
+    frequent key spread over tasks and none but those that pass become rows.
+    """
+    members = stored(members, "near-open")
+    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = met.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "c", "g", "n", "bits")
+    cells = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own", "c")
+
+    def pairs(c: np.ndarray, g: np.ndarray, n: np.ndarray, bits: np.ndarray, own: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        cut = int(np.searchsorted(own, i, "right"))
+        left, right = np.arange(cut), np.arange(len(c)) if i == j else np.arange(cut, len(c))
+        out = [np.zeros((2, 0), np.int64)]
+        for at in range(0, len(left), 64):
+            p = left[at : at + 64, None]
+            small, large = np.minimum(n[p], n[right]), np.maximum(n[p], n[right])
+            may = (g[p] != g[right]) & (den * small >= num * large)
+            if i == j:
+                may &= p < right
+            x, y = np.nonzero(may)
+            for s in range(0, len(x), 1 << 16):  # images of some pairs at a time
+                a, b = p[x[s : s + (1 << 16)], 0], right[y[s : s + (1 << 16)]]
+                differ = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
+                ok = differ * (den + num) <= (den - num) * (n[a] + n[b])
+                out.append(np.stack([c[a[ok]], c[b[ok]]]))
+        return tuple(np.concatenate(out, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+        for batch in _and_none(batches):
+            if batch is not None:
+                now = [batch.column(x).to_numpy() for x in ("key", "i", "j", "own", "c", "g", "n")]
+                now.append(batch.column("bits").flatten().to_numpy().reshape(-1, BITS))
+                rest = now if rest is None else [np.concatenate(v) for v in zip(rest, now, strict=True)]
+            if rest is None or not len(rest[0]):
+                continue
+            key, i, j, own, c, g, n, bits = rest
+            begin = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)]))
+            stops = np.append(begin[1:], len(key))
+            full = len(begin) if batch is None else len(begin) - 1
+            found = [pairs(c[a:b], g[a:b], n[a:b], bits[a:b], own[a:b], int(i[a]), int(j[a])) for a, b in zip(begin[:full].tolist(), stops[:full].tolist(), strict=True)]
+            rest = [v[begin[-1] :] for v in rest]
+            x, y = (np.concatenate([np.zeros(0, np.int64), *(f[s] for f in found)]) for s in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
+
+    return cells.mapInArrow(run, "a long, b long").distinct()
+
+
+def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, m: int = 10, r: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id (of the shingle set), n_links (of the class), text_hash: a row for each row of ``docs``."""
     signed = stored(signatures(docs, k, m, r), "near-signatures")
     # any row of a class has the same keys and bits
     grouped = signed.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"))
     shapes = signed.filter("n > 0").groupBy("cid").agg(F.any_value(F.struct("keys", "bits")).alias("s")).select("cid", "s.keys", "s.bits")
-    # 64 bits of a class's 128 name it in the links
-    classes = stored(grouped.join(shapes, "cid").withColumn("c", F.xxhash64("cid")), "near-classes")
+    # classes are told apart by 128 bits, and numbered for the links
+    classes = stored(grouped.join(shapes, "cid").withColumn("c", F.monotonically_increasing_id()), "near-classes")
 
     first, second = F.slice("keys", 1, m), F.slice("keys", m + 1, m)
     table = classes.select("c", F.posexplode(first).alias("i", "x"), second.alias("rest")).select("c", "i", "x", F.posexplode("rest").alias("j", "y"))
@@ -160,13 +219,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     open_ = grown.groupBy("key").agg(F.min("g").alias("p"), F.max("g").alias("q"), F.bit_xor(member).alias("f0"), F.sum(F.shiftright(member, 24)).alias("f1"), F.count(F.lit(1)).alias("size"))
     one = open_.filter("p <> q").groupBy("f0", "f1", "size").agg(F.min("key").alias("key")).select("key")
     kept = grown.join(one, "key", "left_semi")
-    own = kept.groupBy("c").agg(F.collect_set("key").alias("keys"))
-    side = stored(kept.join(own, "c").join(shape, "c"), "near-open")
-    p, q = (side.select("key", *(F.col(x).alias(f"{x}_{s}") for x in ("c", "g", "n", "bits", "keys"))) for s in "pq")
-    apart = (F.col("c_p") > F.col("c_q")) & (F.col("g_p") != F.col("g_q"))
-    once = F.array_min(F.array_intersect("keys_p", "keys_q")) == F.col("key")
-    crossed = p.join(q, "key").filter(apart & _may_link("n_p", "n_q", "bits_p", "bits_q", num, den) & once)
-    more = _confirm(docs, crossed.select(F.col("c_p").alias("a"), F.col("c_q").alias("b")), classes, k, num, den)
+    crossed = _tested(kept.join(shape, "c"), num, den)
+    more = _confirm(docs, crossed, classes, k, num, den)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     number = links.unionByName(more).select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n_links"))
@@ -181,16 +235,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with one row of each group: that of the least doc_id; of rows equal in id and text, one."""
     found = stored(near_duplicates(docs, **settings).select("doc_id", "text_hash", "kept"), "near-kept")
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("doc_id").isNull(), F.xxhash64("text")]
+    keys = fresh(docs, "near_id", "near_null", "near_text")
+    own = fresh(docs, "odd_id", "odd_null", "odd_text", "odd_kept")
     marks = found.groupBy("doc_id", "text_hash").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("c"))
-    odd = stored(marks.filter("not kept or c > 1").select(F.coalesce("doc_id", F.lit(-1)).alias("k0"), F.col("doc_id").isNull().alias("k1"), F.col("text_hash").alias("k2"), "kept"), "near-odd")
+    values = F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), F.col("text_hash"), F.col("kept")
+    odd = stored(marks.filter("not kept or c > 1").select(*(v.alias(n) for v, n in zip(values, own, strict=True))), "near-odd")
     small = odd.count() <= MAX_SENT
-    named = docs.select("*", *(k.alias(f"near_key_{i}") for i, k in enumerate(key)))
-    same = [F.col(f"near_key_{i}") == F.col(f"k{i}") for i in range(3)]
-    dropped = F.broadcast(odd) if small else odd
-    once = named.join(dropped, same, "left_anti").select(*docs.columns)
-    again = odd.filter("kept")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("doc_id").isNull(), F.xxhash64("text")
+    named = docs.select("*", *(v.alias(n) for v, n in zip(key, keys, strict=True)))
+    same = [F.col(k) == F.col(o) for k, o in zip(keys, own, strict=False)]
+    once = named.join(F.broadcast(odd) if small else odd, same, "left_anti").select(*docs.columns)
+    again = odd.filter(own[3])
     if not again.isEmpty():
-        repeated = named.join(F.broadcast(again) if small else again, same, "left_semi").dropDuplicates([f"near_key_{i}" for i in range(3)])
+        repeated = named.join(F.broadcast(again) if small else again, same, "left_semi").dropDuplicates(keys)
         once = once.unionByName(repeated.select(*docs.columns))
     return once

@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import fresh, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -126,13 +126,13 @@ def components(members: Sequence[Sequence[int]]) -> list[list[int]]:
     return list(groups.values())
 
 
-def _labelled(docs: DataFrame, sources: Column, seed: int) -> DataFrame:
-    """``docs`` with mix_size, mix_pattern, mix_own (the sources) and mix_o, the place in the seeded order."""
+def _labelled(docs: DataFrame, sources: Column, seed: int, names: Sequence[str]) -> DataFrame:
+    """``docs`` with four columns of these names: size, pattern, the sources, and the place in the seeded order."""
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     own = F.array_distinct(sources)
     label = F.transform(F.array_sort(own), lambda s: F.coalesce(F.concat(F.length(s).cast("string"), F.lit(":"), s), F.lit("-")))
     order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.sha1(F.coalesce("text", F.lit(""))))
-    return docs.select("*", size.alias("mix_size"), F.array_join(label, ",").alias("mix_pattern"), own.alias("mix_own"), order.alias("mix_o"))
+    return docs.select("*", *(c.alias(n) for c, n in zip((size, F.array_join(label, ","), own, order), names, strict=True)))
 
 
 def mix_sources(
@@ -150,8 +150,9 @@ def mix_sources(
     source_size and target are sums over the document's sources.
     """
     spark = docs.sparkSession
-    labelled = _labelled(docs, sources, seed)
-    narrow = stored(labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("mix_size").alias("size"), F.col("mix_pattern").alias("pattern"), F.col("mix_own").alias("own"), F.col("mix_o").alias("o")), "mix-sizes")
+    made = fresh(docs, "mix_size", "mix_pattern", "mix_own", "mix_o")
+    labelled = _labelled(docs, sources, seed, made)
+    narrow = stored(labelled.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(m).alias(n) for m, n in zip(made, ("size", "pattern", "own", "o"), strict=True))), "mix-sizes")
     patterns = narrow.groupBy("pattern").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"), F.any_value("own").alias("own"))
     found = patterns.limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
@@ -198,8 +199,10 @@ def mixed(docs: DataFrame, sources: Column, seed: int = 17, **settings) -> DataF
     """
     found = mix_sources(docs, sources, seed=seed, **settings)
     runs = found.select("pattern", "place", "buckets", F.explode("went").alias("w")).groupBy("pattern", "w.copy", "w.source", "buckets").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-    plan = stored(runs.groupBy("pattern", "buckets").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "mix-runs")
-    place = F.struct(F.expr("shiftrightunsigned(mix_o, cast(64 - round(log2(buckets)) as int))").alias("bucket"), F.col("mix_o").alias("o"), F.col("doc_id").cast("long").alias("doc_id"))
-    taken = F.filter("runs", lambda x: (x["first"] <= place) & (place <= x["last"]) & (F.col("mix_size") > 0))
-    joined = _labelled(docs, sources, seed).join(F.broadcast(plan.withColumnRenamed("pattern", "mix_pattern")), "mix_pattern")
-    return joined.withColumn("mix_copy", F.explode(taken)).select(*docs.columns)
+    size, pattern, own, o, first_last, buckets, copy = fresh(docs, "mix_size", "mix_pattern", "mix_own", "mix_o", "mix_runs", "mix_buckets", "mix_copy")
+    plan = stored(runs.groupBy(F.col("pattern").alias(pattern), F.col("buckets").alias(buckets)).agg(F.collect_list(F.struct("first", "last")).alias(first_last)), "mix-runs")
+    bucket = F.expr(f"shiftrightunsigned({o}, cast(64 - round(log2({buckets})) as int))")
+    place = F.struct(bucket.alias("bucket"), F.col(o).alias("o"), F.col("doc_id").cast("long").alias("doc_id"))
+    taken = F.filter(first_last, lambda x: (x["first"] <= place) & (place <= x["last"]) & (F.col(size) > 0))
+    joined = _labelled(docs, sources, seed, (size, pattern, own, o)).join(F.broadcast(plan), pattern)
+    return joined.withColumn(copy, F.explode(taken)).select(*docs.columns)

@@ -58,14 +58,14 @@ def op6_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-#: Order of the chain: the marks that labelled rows carry, the general one first.
-CATEGORIES = ("quality", "toxic")
+#: Order of the chain: weak labels of kinds of abuse, then the mark that labelled rows carry.
+CATEGORIES = ("insult", "shouting", "toxic")
 
 
 def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = score_chain(docs, fit_chain(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), CATEGORIES))
-    return found.select("doc_id", "p_quality", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
+    return found.select("doc_id", "p_insult", "p_shouting", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
 
 
 def op8_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

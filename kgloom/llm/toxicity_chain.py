@@ -1,6 +1,7 @@
 """Toxicity by a classifier chain of linear models.
 
-Categories are predicted in a given order.  Each has a logistic model over the presence of selected words and
+Categories are predicted in a given order.  A category is a column of ``labels``, or, where those do not tell it, a weak label: a
+pattern that the lower-cased text of a labelled row has or has not (``WEAK``).  Each has a logistic model over the presence of selected words and
 word stems (leading bytes) and the logits of the categories before it; those inputs are out-of-fold predictions while fitting, so a later
 model sees earlier ones as good as they are on new texts.  A category's words are those whose presence in the sampled
 texts is associated with it beyond chance (G statistic), kept by their whole 64-bit hash, so no other word takes
@@ -9,12 +10,14 @@ gets at most ``max_words`` words for each category and the sample's hits on them
 
 Defined cases: null or empty texts have no words; without labels, or with one class of a category only, its
 probability is the share of label 1 (0 with no labels); long texts are read whole; equal rows get equal
-results; other columns are ignored.
+results; other columns are ignored.  A mark of 1 counts ``weight`` times in the fit, as missing a toxic text costs more
+than checking a clean one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,11 +30,20 @@ from .features import StemIndex, sample_rows, sigmoid, unique_stems
 from .shared import stored
 
 
-def fit_linear(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n: int, l2: float = 0.2, steps: int = 100) -> tuple[float, np.ndarray, np.ndarray]:
+#: Weak labels: words of abuse in the four languages (fixed values), by their beginnings, and text in capitals under exclamation marks.
+WEAK = {
+    "insult": r"\b(?:idiot|moron|imbecil|imbécil|stupid|stupide|dumb|fool|loser|clown|scum|trash|pathetic|worthless|disgusting|jerk|dumm|blöd|trottel|versager|abschaum|widerlich|erbärmlich|idiota|estúpid|payaso|basura|escoria|patétic|asqueros|crétin|ordure|minable|pathétique|dégoûtant)",
+    "shouting": r"(?:\w+[,.]?!!+\s+){3}",
+}
+
+
+def fit_linear(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n: int, l2: float = 0.2, steps: int = 100, weight: float = 1.0) -> tuple[float, np.ndarray, np.ndarray]:
     """Logistic regression (bias, word weights, extra weights) on sets of present columns, by accelerated descent."""
     share = y.mean() if len(y) else 0.0
     if not 0 < share < 1:
         return (40.0 if share else -40.0), np.zeros(n), np.zeros(extra.shape[1])
+    each = np.where(y > 0, weight, 1.0)
+    share = (each * y).sum() / each.sum()
     size = np.array([len(r) for r in rows])
     row = np.repeat(np.arange(len(rows), dtype=np.int32), size)
     col = np.concatenate(rows) if len(rows) else np.zeros(0, np.int32)
@@ -43,11 +55,12 @@ def fit_linear(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n: int,
     damp[0] = 1e-3
     # step from a bound on the curvature of each weight's row sums
     degree = (np.abs(fixed).sum(1) + size)
+    degree = degree * each
     curve = np.concatenate([(np.abs(fixed) * degree[:, None]).sum(0), np.bincount(col, degree[row], n)]) / 4 + damp
     look, prev = w.copy(), w.copy()
     for t in range(steps):
         p = sigmoid(fixed @ look[:k] + np.bincount(row, look[k:][col], len(y)))
-        err = p - y
+        err = each * (p - y)
         grad = np.concatenate([fixed.T @ err, np.bincount(col, err[row], n)]) + damp * look
         w = look - grad / curve
         look = w + t / (t + 3) * (w - prev)
@@ -61,6 +74,7 @@ class ClassifierChain:
     words: np.ndarray
     bias: list[float] = field(default_factory=list)
     weights: list[np.ndarray] = field(default_factory=list)
+    weight: float = 1.0
     earlier: list[np.ndarray] = field(default_factory=list)
     _index: StemIndex | None = None
 
@@ -85,9 +99,9 @@ class ClassifierChain:
             held = np.zeros(len(hits))
             for f in np.unique(folds):
                 inside, out = np.flatnonzero(folds != f), np.flatnonzero(folds == f)
-                b, w, e = fit_linear([hits[i] for i in inside], earlier[inside], y[inside, c], len(self.words))
+                b, w, e = fit_linear([hits[i] for i in inside], earlier[inside], y[inside, c], len(self.words), weight=self.weight)
                 held[out] = np.clip(b + np.array([w[hits[i]].sum() for i in out]) + earlier[out] @ e, -40, 40)
-            b, w, e = fit_linear(hits, earlier, y[:, c], len(self.words))
+            b, w, e = fit_linear(hits, earlier, y[:, c], len(self.words), weight=self.weight)
             self.bias.append(b)
             self.weights.append(w)
             self.earlier.append(e)
@@ -95,10 +109,14 @@ class ClassifierChain:
         return self
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max_rows: int = 16_000, max_words: int = 1500, least_g: float = 11.0) -> ClassifierChain:
-    """Fit the categories, columns of ``labels`` with 0 or 1, in the given order."""
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max_rows: int = 16_000, max_words: int = 1500, least_g: float = 11.0, weight: float = 2.0, weak: Mapping[str, str] = WEAK) -> ClassifierChain:
+    """Fit the categories, columns of ``labels`` with 0 or 1 or else names in ``weak``, in the given order.
+
+    ``least_g`` (with 3 texts or more) is what sets a word apart from chance, ``max_words`` bounds the model that is sent.
+    """
     names = list(categories)
-    chosen = F.broadcast(sample_rows(labels, names, max_rows))
+    known, rules = [c for c in names if c in labels.columns], {c: re.compile(weak[c]) for c in names if c not in labels.columns}
+    chosen = F.broadcast(sample_rows(labels, known, max_rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,13 +126,15 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max
                 found, at = unique_stems(part)
                 rows = batch.slice(start, len(part))
                 start += len(part)
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("doc_id", *names)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found.view(np.int64)))], names=["doc_id", *names, "words"])
+                lowered = [(x or "").lower() for x in part.to_pylist()] if rules else []
+                marks = {c: pa.array([int(bool(rule.search(x))) for x in lowered], pa.int32()) for c, rule in rules.items()}
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(marks[c] if c in marks else rows.column(c) for c in names), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found.view(np.int64)))], names=["doc_id", *names, "words"])
 
     kind = ", ".join(f"`{c}` int" for c in names)
-    sample = stored(texts.select("doc_id", *names, "text").mapInArrow(words, f"doc_id long, {kind}, words array<long>"), "chain-sample")
+    sample = stored(texts.select("doc_id", *known, "text").mapInArrow(words, f"doc_id long, {kind}, words array<long>"), "chain-sample")
     totals = sample.agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in names)).first()
     n = totals["n"]
-    seen = sample.select(*names, F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in names)).filter("n >= 3")
+    seen = stored(sample.select(*names, F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in names)).filter("n >= 3"), "chain-words")
 
     def term(got, expected):
         return F.when(got > 0, got * F.log(got / expected)).otherwise(0.0)
@@ -128,7 +148,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max
         rest_a, rest_b = F.lit(pos) - a, F.lit(n - pos) - b
         g = 2 * (term(a, F.col("n") * pos / n) + term(b, F.col("n") * (n - pos) / n) + term(rest_a, (n - F.col("n")) * pos / n) + term(rest_b, (n - F.col("n")) * (n - pos) / n))
         kept |= {x["word"] for x in seen.select("word", g.alias("g")).filter(F.col("g") >= least_g).orderBy(F.desc("g"), "word").limit(max_words).collect()}
-    chain = ClassifierChain(names, np.sort(np.array(sorted(kept), np.int64).view(U)) if kept else np.zeros(0, U))
+    chain = ClassifierChain(names, np.sort(np.array(sorted(kept), np.int64).view(U)) if kept else np.zeros(0, U), weight=weight)
     own = F.array(*map(F.lit, sorted(kept))) if kept else F.array().cast("array<long>")
     # as Arrow columns: a few MB, where rows of Python lists would be many times that
     rows = sample.select("doc_id", *names, F.array_intersect("words", own).alias("words"), F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("fold")).toArrow().sort_by("doc_id").combine_chunks()
