@@ -2,15 +2,17 @@
 
 Documents are dealt into ranges of ascending ``doc_id``.  Each task encodes its texts and cuts the id
 stream into shards; in every shard frequent pairs of neighbouring symbols are replaced by nonterminals,
-round after round, until no pair is frequent.  A shard holds the rules, the final symbols, the length
-each symbol expands to and the documents' bounds, so any range of ids is decoded from the symbols that
-cover it.
-
-Shard (little endian): ``magic 'RPG1' | u32 first nonterminal | u32 rules | u64 symbols | u64 documents |
-u64 ids | rules: 2 x u32 each | lengths: u32 for each rule | symbols: u16 or u32 | bounds: u64 (documents + 1)``.
+round after round, until no pair is frequent.  A round counts pairs exactly and replaces many at once: an occurrence
+goes where its pair is the most frequent of those that overlap there.  A shard holds the rules, the final symbols, the
+length each rule expands to, the place of every 256th symbol in the ids and the documents' bounds, so any range of ids is
+decoded from the symbols that cover it.
+
+Shard (little endian): ``magic 'RPG2' | u32 first nonterminal | u32 rules | u64 symbols | u64 documents |
+u64 ids | rules: 2 x u32 each | lengths: u32 for each rule | symbols: u16 or u32 | places: u32 for each
+256 symbols | bounds: u64 (documents + 1)``.
 Shards are the ``blob`` column of a Parquet table, so the writer's commit protocol covers lost executors.
 
-Defined cases: null text is empty and has the end id alone; equal ``doc_id`` are ordered by text; null
+Defined cases: null text is empty and has the end id alone; equal ``doc_id`` are ordered by a hash of the text, then the text; null
 ``doc_id`` come first; a text of any length is encoded whole and never leaves its shard; other columns
 are ignored.
 """
@@ -30,56 +32,57 @@ from pyspark.sql import functions as F
 from .bytewords import U, span_hashes, string_buffers
 from .shared import stored
 
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
+STRIDE = 256
 _HEAD = struct.Struct("<4sIIQQQ")
 
 
 # --- grammar -------------------------------------------------------------------------------------
 
 
-def repair(ids: np.ndarray, first: int, min_count: int = 24, rounds: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, first: int, min_count: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Grammar of an id sequence: (rules [n, 2], expansion length of each rule, final symbols).
 
-    ``first`` is the id of the first nonterminal, above all ids.  A round replaces every pair that occurs
-    ``min_count`` times or more, leftmost first where occurrences overlap.
+    ``first`` is the id of the first nonterminal, above all ids.  Rounds go on until no pair occurs ``min_count`` times
+    (of a run of one symbol, every second pair counts).
     """
     symbols = ids.astype(np.uint32)
-    rules = [np.zeros((0, 2), np.uint32)]
-    lengths = [np.zeros(0, np.uint32)]
-    following = first
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        keys = (symbols[:-1].astype(U) << U(32)) | symbols[1:].astype(U)
+    rules, lengths, following = [np.zeros((0, 2), np.uint32)], [np.zeros(0, np.uint32)], first
+    while len(symbols) > 1:
+        keys = (symbols[:-1].astype(U) << U(32)) | symbols[1:]
+        # pairs that share a slot are at least as many as each of them: few are left to be counted by sorting
         slot = ((keys * U(0x9E3779B97F4A7C15)) >> U(44)).astype(np.int32)
-        # one pair stands for its slot of a table of counts; others of that slot wait for a later round
-        pair_of = np.zeros(1 << 20, U)
-        pair_of[slot] = keys
-        own = pair_of[slot] == keys
-        good = np.bincount(slot[own], minlength=1 << 20) >= min_count
-        name = np.cumsum(good) - 1
-        at = np.flatnonzero(own & good[slot])
+        at = np.flatnonzero(np.bincount(slot, minlength=1 << 20)[slot] >= min_count)
+        found, name = np.unique(keys[at], return_inverse=True)
+        # in a run of one pair with itself every second occurrence is free
+        again = np.ones(len(at), bool)
+        again[1:] = (at[1:] != at[:-1] + 1) | (name[1:] != name[:-1])
+        run = np.maximum.accumulate(np.where(again, np.arange(len(at)), 0)) if len(at) else at
+        free = (np.arange(len(at)) - run) % 2 == 0
+        count = np.bincount(name[free], minlength=len(found))
+        good = free & (count[name] >= min_count)
+        at, name = at[good], name[good]
         if not len(at):
             break
-        where, pairs = name[slot[at]], pair_of[good]
-        # of a run of overlapping occurrences, every second one is replaced
-        start = np.ones(len(at), bool)
-        start[1:] = at[1:] != at[:-1] + 1
-        run = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
-        taken = (np.arange(len(at)) - run) % 2 == 0
-        at, where = at[taken], where[taken]
+        # where occurrences overlap, the more frequent pair goes first (of equals the first one found)
+        rank = np.argsort(np.argsort(-count, kind="stable"), kind="stable")[name]
+        left = np.concatenate([[False], (at[1:] == at[:-1] + 1) & (rank[1:] >= rank[:-1])])
+        right = np.concatenate([(at[1:] == at[:-1] + 1) & (rank[:-1] > rank[1:]), [False]])
+        taken = ~(left | right)
+        # a rule pays if enough occurrences go at once; those of the most frequent pair all do
+        taken &= np.bincount(name[taken], minlength=len(found))[name] >= min_count
+        at, name = at[taken], name[taken]
+        used, where = np.unique(name, return_inverse=True)
+        pairs = found[used]
         new = np.stack([(pairs >> U(32)).astype(np.uint32), (pairs & U(0xFFFFFFFF)).astype(np.uint32)], 1)
-        known = np.concatenate(lengths)
-        size = np.ones(new.shape, np.uint32)
-        inner = new >= first
+        known, size, inner = np.concatenate(lengths), np.ones(new.shape, np.uint32), new >= first
         size[inner] = known[new[inner] - first]
         rules.append(new)
         lengths.append(size.sum(1, dtype=np.uint32))
         symbols[at] = (where + following).astype(np.uint32)
-        left = np.ones(len(symbols), bool)
-        left[at + 1] = False
-        symbols = symbols[left]
-        following += len(new)
+        keep = np.ones(len(symbols), bool)
+        keep[at + 1] = False
+        symbols, following = symbols[keep], following + len(new)
     return np.concatenate(rules), np.concatenate(lengths), symbols
 
 
@@ -87,8 +90,12 @@ def pack(ids: np.ndarray, bounds: np.ndarray, first: int) -> bytes:
     """A shard of ``ids``; ``bounds`` are the documents' offsets in it (documents + 1 values)."""
     rules, lengths, symbols = repair(ids, first)
     wide = np.uint16 if first + len(rules) <= 1 << 16 else np.uint32
+    size = np.ones(len(symbols), np.int64)
+    inner = symbols >= first
+    size[inner] = lengths[symbols[inner] - first]
+    places = (np.cumsum(size) - size)[::STRIDE]
     head = _HEAD.pack(MAGIC, first, len(rules), len(symbols), len(bounds) - 1, len(ids))
-    return b"".join([head, rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), symbols.astype(wide).tobytes(), bounds.astype("<u8").tobytes()])
+    return b"".join([head, rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), symbols.astype(wide).tobytes(), places.astype("<u4").tobytes(), bounds.astype("<u8").tobytes()])
 
 
 class Shard:
@@ -106,8 +113,9 @@ class Shard:
         wide = "<u2" if self.first + n_rules <= 1 << 16 else "<u4"
         self.symbols = np.frombuffer(blob, wide, n_symbols, at)
         at += n_symbols * int(wide[2])
+        self.places = np.frombuffer(blob, "<u4", -(-n_symbols // STRIDE), at)
+        at += 4 * len(self.places)
         self.bounds = np.frombuffer(blob, "<u8", self.n_docs + 1, at).astype(np.int64)
-        self._ends: np.ndarray | None = None
         self._table: tuple[np.ndarray, np.ndarray] | None = None
 
     def _sizes(self, symbols: np.ndarray) -> np.ndarray:
@@ -152,12 +160,14 @@ class Shard:
             return np.zeros(0, np.uint32)
         if start == 0 and stop == self.n_ids:
             return self._expand(self.symbols)
-        if self._ends is None:
-            self._ends = np.cumsum(self._sizes(self.symbols))
-        a = int(np.searchsorted(self._ends, start, "right"))
-        b = int(np.searchsorted(self._ends, stop, "left")) + 1
-        before = int(self._ends[a - 1]) if a else 0
-        return self._expand(self.symbols[a:b])[start - before : stop - before]
+        # strides that hold the range, then the symbols in them
+        p = int(np.searchsorted(self.places, start, "right")) - 1
+        q = int(np.searchsorted(self.places, stop, "left"))
+        part = self.symbols[p * STRIDE : q * STRIDE]
+        ends = np.cumsum(self._sizes(part)) + int(self.places[p])
+        a, b = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left")) + 1
+        before = int(ends[a - 1]) if a else int(self.places[p])
+        return self._expand(part[a:b])[start - before : stop - before]
 
     def document(self, i: int) -> np.ndarray:
         return self.ids(int(self.bounds[i]), int(self.bounds[i + 1]))
