@@ -8,8 +8,8 @@ from kgloom.sources.store import build
 
 @pytest.fixture(scope="module")
 def store(spark):
-    v = {"a": [1, 0, 0, 0], "b": [0.9, 0.1, 0, 0], "c": [0, 1, 0, 0], "d": [0.85, 0.15, 0, 0]}
-    return build(spark, [(n, "doc", []) for n in "abcd"], [("a", "b", "e")], v)
+    v = {"ash": [0, 0, 1, 0], "birch": [0, 0.2, 0.95, 0], "cedar": [0, 1, 0, 0], "dill": [0, 0.28, 0.9, 0]}
+    return build(spark, [(n, "doc", []) for n in v], [("ash", "birch", "e")], v)
 
 
 def found(df):
@@ -17,13 +17,13 @@ def found(df):
 
 
 def test_search(store):
-    assert found(vector.search_entities(store, [1, 0, 0, 0], 2)) == ["a", "b"]
-    assert found(vector.search_by_entity(store, "a", 2)) == ["b", "d"]
-    assert found(vector.recommend(store, ["a", "b"], [], 1)) == ["d"]
+    assert found(vector.search_entities(store, [0, 0, 1, 0], 2)) == ["ash", "birch"]
+    assert found(vector.search_by_entity(store, "ash", 2)) == ["birch", "dill"]
+    assert found(vector.recommend(store, ["ash", "birch"], [], 1)) == ["dill"]
     with pytest.raises(ValueError):
         vector.recommend(store, [])
-    assert set(found(vector.mmr_search(store, [1, 0, 0, 0], 2, weight=1.0))) == {"a", "b"}
-    assert "c" in found(vector.mmr_search(store, [1, 0, 0, 0], 2, weight=0.2))
+    assert set(found(vector.mmr_search(store, [0, 0, 1, 0], 2, weight=1.0))) == {"ash", "birch"}
+    assert "cedar" in found(vector.mmr_search(store, [0, 0, 1, 0], 2, weight=0.2))
     assert vector.graph_cache_stats(store).first()[:] == (4, 1)
     for bad in ([], [float("nan")], ["x"], [0.0] * 5000):
         with pytest.raises(ValueError):
@@ -31,12 +31,12 @@ def test_search(store):
 
 
 def test_upserts(spark, store):
-    items = spark.createDataFrame([(0, "a", [0.0, 0.0, 0.0, 1.0], ""), (1, "ghost", [1.0, 0.0, 0.0, 0.0], ""), (2, "b", [1.0], "")], "pos long, name string, embedding array<float>, model string")
+    items = spark.createDataFrame([(0, "ash", [0.0, 0.0, 0.0, 1.0], ""), (1, "ghost", [1.0, 0.0, 0.0, 0.0], ""), (2, "birch", [1.0], "")], "pos long, name string, embedding array<float>, model string")
     grown, outcome = vector.batch_upsert(store, items, 4)
     assert [r["error"] for r in outcome.orderBy("pos").collect()] == [None, "unknown entity", "wrong dimensions"]
     assert grown.embeddings.count() == 4
-    assert vector.get_embedding(grown, "a").first()["embedding"] == [0, 0, 0, 1]
-    assert vector.delete_embedding(grown, "a")[1] and not vector.delete_embedding(grown, "ghost")[1]
+    assert vector.get_embedding(grown, "ash").first()["embedding"] == [0, 0, 0, 1]
+    assert vector.delete_embedding(grown, "ash")[1] and not vector.delete_embedding(grown, "ghost")[1]
 
 
 def test_batch_equals_single(spark, store):
