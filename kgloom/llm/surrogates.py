@@ -86,6 +86,10 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def ssn_valid(digits: str) -> bool:
+    return digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
+
+
 def iban_valid(compact: str) -> bool:
     return int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
 
@@ -137,7 +141,7 @@ class Surrogates:
             if valid(out):
                 return out
             out = self.permute(out, salt)
-        return digits
+        raise RuntimeError(f"no valid surrogate of this {salt} found")
 
     def canonical(self, kind: str, form: str, draw: int | None = None) -> str:
         """The surrogate's canonical form."""
@@ -148,7 +152,9 @@ class Surrogates:
             old = "".join(f"{int(x):03d}" for x in form.split("."))
             new = self._walked(old, "ipv4", lambda x: all(int(x[i : i + 3]) < 256 for i in range(0, 12, 3)))
             return ".".join(str(int(new[i : i + 3])) for i in range(0, 12, 3))
-        if kind in ("ssn", "phone"):
+        if kind == "ssn":  # valid ones stay valid, and the others invalid
+            return self._walked(form, kind, lambda x: ssn_valid(x) == ssn_valid(form))
+        if kind == "phone":
             return self.permute(form, kind)
         if kind == "iban":
             body = self.permute("".join(c for c in form[4:] if c.isdigit()), "iban")

@@ -29,3 +29,12 @@ def test_collisions_across_genders(spark):
     assert len(set(got.values())) == 4 and real not in got.values()
     with pytest.raises(RuntimeError):
         surrogates._redraws(docs, key, rounds=0)
+
+
+def test_ssn_validity_and_no_original():
+    make = surrogates.Surrogates(b"k")
+    forms = [f"{a:03d}{b:02d}{c:04d}" for a in (1, 219, 665, 666, 899, 900) for b in (0, 7, 99) for c in (0, 1, 9999)]
+    new = [make.canonical("ssn", f) for f in forms]
+    assert len(set(new)) == len(forms) and all(surrogates.ssn_valid(x) == surrogates.ssn_valid(f) for x, f in zip(new, forms, strict=True))
+    with pytest.raises(RuntimeError):
+        make._walked("1234", "none", lambda x: False)
