@@ -40,6 +40,23 @@ _HEAD = struct.Struct("<4sIIQQQ")
 # --- grammar -------------------------------------------------------------------------------------
 
 
+def numbered(keys: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs (two symbols of ``wide`` bits, 32 bits apart) ascending, and the number of each pair's own."""
+    place = max(1, len(keys).bit_length())
+    if not len(keys) or 2 * wide + place > 64:
+        return np.unique(keys, return_inverse=True)
+    # key and place in one word: a plain sort is several times faster than one that returns an order
+    low = U((1 << wide) - 1)
+    packed = (((keys >> U(32)) << U(wide)) | (keys & low)) << U(place) | np.arange(len(keys), dtype=U)
+    packed.sort()
+    order, packed = (packed & U((1 << place) - 1)).astype(np.int64), packed >> U(place)
+    new = np.concatenate([[True], packed[1:] != packed[:-1]])
+    name = np.empty(len(keys), np.int64)
+    name[order] = np.cumsum(new) - 1
+    packed = packed[new]
+    return ((packed >> U(wide)) << U(32)) | (packed & low), name
+
+
 def repair(ids: np.ndarray, first: int, min_count: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Grammar of an id sequence: (rules [n, 2], expansion length of each rule, final symbols).
 
@@ -48,20 +65,25 @@ def repair(ids: np.ndarray, first: int, min_count: int = 8) -> tuple[np.ndarray,
     """
     symbols = ids.astype(np.uint32)
     rules, lengths, following = [np.zeros((0, 2), np.uint32)], [np.zeros(0, np.uint32)], first
-    while len(symbols) > 1:
-        keys = (symbols[:-1].astype(U) << U(32)) | symbols[1:]
+    # a pair of symbols that both stand already only loses occurrences: once rare, its places need no further count
+    live = np.arange(max(len(symbols) - 1, 0))
+    while len(live):
+        keys = (symbols[live].astype(U) << U(32)) | symbols[live + 1]
         # pairs that share a slot are at least as many as each of them: few are left to be counted by sorting
-        slot = ((keys * U(0x9E3779B97F4A7C15)) >> U(44)).astype(np.int32)
-        at = np.flatnonzero(np.bincount(slot, minlength=1 << 20)[slot] >= min_count)
-        found, name = np.unique(keys[at], return_inverse=True)
+        bits = max(10, min(20, len(live).bit_length()))
+        slot = ((keys * U(0x9E3779B97F4A7C15)) >> U(64 - bits)).astype(np.int32)
+        often = np.bincount(slot, minlength=1 << bits)[slot] >= min_count
+        at = live[often]
+        found, name = numbered(keys[often], wide=int(symbols.max()).bit_length())
         # in a run of one pair with itself every second occurrence is free
         again = np.ones(len(at), bool)
         again[1:] = (at[1:] != at[:-1] + 1) | (name[1:] != name[:-1])
         run = np.maximum.accumulate(np.where(again, np.arange(len(at)), 0)) if len(at) else at
         free = (np.arange(len(at)) - run) % 2 == 0
         count = np.bincount(name[free], minlength=len(found))
-        good = free & (count[name] >= min_count)
-        at, name = at[good], name[good]
+        frequent = count[name] >= min_count
+        open_ = at[frequent]
+        at, name = at[frequent & free], name[frequent & free]
         if not len(at):
             break
         # where occurrences overlap, the more frequent pair goes first (of equals the first one found)
@@ -72,8 +94,8 @@ def repair(ids: np.ndarray, first: int, min_count: int = 8) -> tuple[np.ndarray,
         # a rule pays if enough occurrences go at once; those of the most frequent pair all do
         taken &= np.bincount(name[taken], minlength=len(found))[name] >= min_count
         at, name = at[taken], name[taken]
-        used, where = np.unique(name, return_inverse=True)
-        pairs = found[used]
+        has = np.bincount(name, minlength=len(found)) > 0
+        where, pairs = (np.cumsum(has) - 1)[name], found[has]
         new = np.stack([(pairs >> U(32)).astype(np.uint32), (pairs & U(0xFFFFFFFF)).astype(np.uint32)], 1)
         known, size, inner = np.concatenate(lengths), np.ones(new.shape, np.uint32), new >= first
         size[inner] = known[new[inner] - first]
@@ -82,7 +104,14 @@ def repair(ids: np.ndarray, first: int, min_count: int = 8) -> tuple[np.ndarray,
         symbols[at] = (where + following).astype(np.uint32)
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
+        # places in the shorter sequence: still frequent pairs, and the new symbols' pairs on either side
+        place = np.cumsum(keep) - 1
         symbols, following = symbols[keep], following + len(new)
+        mark = np.zeros(len(symbols) + 1, bool)
+        mark[place[open_]] = True
+        mark[place[at]] = True
+        mark[place[at] - 1] = True
+        live = np.flatnonzero(mark[: len(symbols) - 1])
     return np.concatenate(rules), np.concatenate(lengths), symbols
 
 
