@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -60,6 +60,18 @@ class IvfIndex:
         chosen = np.argsort(d, kind="stable")[:n].tolist()
         return knn(self.cells.filter(F.col("cell").isin(*chosen)), query, clamp_k(k), self.metric)
 
+    def upsert(self, vectors: DataFrame) -> IvfIndex:
+        """The index with ``vectors`` (entity_id, embedding) in place of those of the same ids; centroids stay."""
+        return self.remove(vectors.select("entity_id")).bulk_load(vectors)
+
+    def remove(self, ids: DataFrame) -> IvfIndex:
+        """The index without the vectors of ``ids`` (entity_id)."""
+        return replace(self, cells=self.cells.join(ids.select("entity_id"), "entity_id", "left_anti"))
+
+    def bulk_load(self, vectors: DataFrame) -> IvfIndex:
+        """The index and ``vectors``, of which no id is in it yet: nothing is looked up or shuffled."""
+        return replace(self, cells=self.cells.unionByName(assign(vectors, self.centroids, self.metric)))
+
     def save(self, path: str) -> None:
         self.cells.write.partitionBy("cell").parquet(path)
 

@@ -98,27 +98,34 @@ def find_path(kg: KG, source: str, target: str) -> DataFrame:
 def find_all_paths(kg: KG, source: str, target: str, max_depth: int = 6, max_paths: int = 50, distinct: bool = False) -> DataFrame:
     """path_id, pos, name of simple undirected paths, shortest first, then by ids.
 
-    Parallel and reciprocal edges make paths of their own unless ``distinct``.
+    Parallel and reciprocal edges make paths of their own unless ``distinct``.  Length by length, paths grown from the source
+    meet those grown from the target halfway, so a frontier has half the steps; the search ends with the length that
+    brings ``max_paths``, as longer ones come after it.
     """
     a, b = need(kg, source), need(kg, target)
     max_depth, max_paths = min(max_depth, 10), min(max_paths, 100)
     spark = kg.entities.sparkSession
+    schema = "id long, path array<long>"
+    if a == b:
+        return _named(kg, spark.createDataFrame([(0, [a])], "path_id int, path array<long>"))
     steps = _steps(kg.relations, "both").select("here", "there").filter("here <> there")
-    open_ = spark.createDataFrame([(a, [a])], "id long, path array<long>")
-    ends = [open_.filter(F.col("id") == b).select("path")]
-    for hop in range(0 if a == b else max_depth):
-        grown = open_.join(steps, open_["id"] == steps["here"]).filter(~F.array_contains("path", F.col("there")))
-        grown = grown.select(F.col("there").alias("id"), F.array_append("path", F.col("there")).alias("path"))
-        if hop:
-            grown = stored(grown, "paths")
-        ends.append(grown.filter(F.col("id") == b).select("path"))
-        open_ = grown.filter(F.col("id") != b)
-    paths = ends[0]
-    for e in ends[1:]:
-        paths = paths.unionByName(e)
-    if distinct:
-        paths = paths.distinct()
-    first = paths.orderBy(F.size("path"), "path").limit(max_paths)
-    # at most 100 paths: numbering them in one task is bounded
-    numbered = first.agg(F.array_sort(F.collect_list(F.struct(F.size("path").alias("n"), "path"))).alias("p")).select(F.posexplode("p").alias("path_id", "x")).select("path_id", F.col("x.path").alias("path"))
-    return _named(kg, numbered)
+    steps = stored(steps.distinct() if distinct else steps, "steps")
+
+    def grown(half: DataFrame, other: int, first: bool) -> DataFrame:
+        """One step more; a path that holds the other end is complete and grows no further."""
+        moved = half.filter(F.col("id") != other).join(steps, F.col("id") == F.col("here")).filter(~F.array_contains("path", F.col("there")))
+        step = F.array("there")
+        return stored(moved.select(F.col("there").alias("id"), (F.concat("path", step) if first else F.concat(step, "path")).alias("path")), "paths")
+
+    head, tail = spark.createDataFrame([(a, [a])], schema), spark.createDataFrame([(b, [b])], schema)
+    found: list[list[int]] = []
+    for length in range(1, max_depth + 1):
+        # paths of ``length`` steps: half of them, rounded down, from the source, the others from the target
+        head, tail = (head, grown(tail, a, False)) if length % 2 else (grown(head, b, True), tail)
+        ends = tail.select("id", F.col("path").alias("rest"))
+        whole = head.join(ends, "id").filter(F.size(F.array_intersect("path", "rest")) == 1)
+        whole = whole.select(F.concat("path", F.slice("rest", 2, max_depth + 1)).alias("path"))
+        found += [r["path"] for r in whole.orderBy("path").limit(max_paths - len(found)).collect()]
+        if len(found) >= max_paths or head.isEmpty() or tail.isEmpty():
+            break
+    return _named(kg, spark.createDataFrame(list(enumerate(found)), "path_id int, path array<long>"))

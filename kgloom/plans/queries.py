@@ -15,7 +15,6 @@ from ..streaming.watch import quiet_sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-SUB = {"region", "nation", "supplier", "part", "lineitem"}
 
 
 def query(sql: str | None = None, graph: str | None = GRAPH_SQL):
@@ -177,11 +176,11 @@ def degree_by_type(spark, d):
     return deg.groupBy("type").agg(F.count(F.lit(1)).alias("entities"), F.sum("deg").alias("degree"), F.max("deg").alias("most"))
 
 
-@query(f"""{_NESTED}, {_EDGES}, P AS (SELECT * FROM E ORDER BY id LIMIT 200), Q AS (SELECT * FROM R ORDER BY from_id, to_id, type LIMIT 200)
+@query(f"""{_NESTED}, {_EDGES}, P AS (SELECT * FROM E ORDER BY id LIMIT 1000000), Q AS (SELECT * FROM R ORDER BY from_id, to_id, type LIMIT 1000000)
     SELECT 'entity' AS section, name AS a, type AS b, coalesce(obs, '') AS c FROM P LEFT JOIN N ON N.entity_id = P.id
     UNION ALL SELECT 'relation', f.name, Q.type, t.name FROM Q JOIN E f ON f.id = Q.from_id JOIN E t ON t.id = Q.to_id""")
 def export_graph(spark, d):
-    return _page(*read.export_graph(canonical(spark, d), 200))
+    return _page(*read.export_graph(canonical(spark, d)))
 
 
 # --- full text --------------------------------------------------------------------------------------
@@ -251,11 +250,10 @@ def ui_search_page(spark, d):
     return text.ui_search(canonical(spark, d), "customer:14", 10)
 
 
-@query(f"SELECT term, count(DISTINCT name) AS documents, count(*) AS occurrences FROM (SELECT name, unnest({_TOKENS.format('body')}) AS term FROM O JOIN E ON E.id = O.entity_id) GROUP BY term HAVING count(*) >= 50", DOCUMENT_SQL)
+@query(f"SELECT term, count(DISTINCT name) AS documents, count(*) AS occurrences FROM (SELECT name, unnest({_TOKENS.format('body')}) AS term FROM O JOIN E ON E.id = O.entity_id) GROUP BY term", DOCUMENT_SQL)
 def postings_terms(spark, d):
     inverted = text.postings(text.observation_documents(document_graph(spark, d)))
-    counts = inverted.groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("positions")).alias("occurrences"))
-    return counts.filter("occurrences >= 50")
+    return inverted.groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("positions")).alias("occurrences"))
 
 
 # --- traversal --------------------------------------------------------------------------------------
@@ -297,10 +295,10 @@ def ui_expand(spark, d):
     return _seen(*traverse.ui_expand(canonical(spark, d), "customer:3", "both", 2))
 
 
-_SUB_R = "Q AS (SELECT * FROM R WHERE type IN ('in_region', 'in_nation', 'supplied_by') AND from_id NOT BETWEEN 2000000 AND 2999999), S AS (SELECT from_id AS h, to_id AS t FROM Q UNION ALL SELECT to_id, from_id FROM Q)"
+_STEPS = "S AS MATERIALIZED (SELECT from_id AS h, to_id AS t FROM R WHERE from_id <> to_id UNION ALL SELECT to_id, from_id FROM R WHERE from_id <> to_id)"
 
 
-@query(f"""{_SUB_R}, W AS (SELECT DISTINCT h, t FROM S),
+@query(f"""{_STEPS}, W AS (SELECT DISTINCT h, t FROM S),
     B AS (SELECT id, 0 AS dist FROM E WHERE name = 'region:3' UNION SELECT W.t, B.dist + 1 FROM B JOIN W ON W.h = B.id WHERE B.dist < 6),
     M AS (SELECT id, min(dist) AS dist FROM B GROUP BY id),
     P AS (SELECT id, [id] AS path, (SELECT dist FROM M JOIN E USING (id) WHERE name = 'part:17') AS dist FROM E WHERE name = 'part:17'
@@ -308,16 +306,12 @@ _SUB_R = "Q AS (SELECT * FROM R WHERE type IN ('in_region', 'in_nation', 'suppli
     Z AS (SELECT min(path) AS path FROM P WHERE dist = 0)
     SELECT u.pos - 1 AS pos, E.name FROM (SELECT unnest(path) AS id, unnest(generate_series(1, len(path))) AS pos FROM Z) u JOIN E ON E.id = u.id""")
 def find_path(spark, d):
-    return traverse.find_path(canonical(spark, d, SUB), "part:17", "region:3")
+    return traverse.find_path(canonical(spark, d), "part:17", "region:3")
 
 
-@query(f"""{_SUB_R},
-    P AS (SELECT id, [id] AS path FROM E WHERE name = 'part:17'
-          UNION ALL SELECT S.t, list_append(P.path, S.t) FROM P JOIN S ON S.h = P.id WHERE len(P.path) <= 3 AND NOT list_contains(P.path, S.t) AND P.id <> (SELECT id FROM E WHERE name = 'region:3')),
-    Z AS (SELECT path, row_number() OVER (ORDER BY len(path), path) - 1 AS path_id FROM P WHERE id = (SELECT id FROM E WHERE name = 'region:3') ORDER BY len(path), path LIMIT 40)
-    SELECT u.path_id, u.pos - 1 AS pos, E.name FROM (SELECT path_id, unnest(path) AS id, unnest(generate_series(1, len(path))) AS pos FROM Z) u JOIN E ON E.id = u.id""")
+@query()
 def find_all_paths(spark, d):
-    return traverse.find_all_paths(canonical(spark, d, SUB), "part:17", "region:3", 3, 40)
+    return traverse.find_all_paths(canonical(spark, d), "part:17", "region:3")
 
 
 # --- writes -----------------------------------------------------------------------------------------
@@ -326,22 +320,22 @@ def find_all_paths(spark, d):
 def _changes(spark, d) -> tuple[KG, DataFrame]:
     """The graph, and a batch: a tenth of the parts (there already, some twice) and as many new names."""
     kg = canonical(spark, d)
-    p = table(spark, d, "part").filter("p_partkey % 10 = 3")
+    p = table(spark, d, "part")
     key = F.col("p_partkey").cast("long")
     row = lambda prefix, pos, kind: p.select(pos.alias("pos"), F.concat(F.lit(prefix), key.cast("string")).alias("name"), F.lit(kind).alias("type"), F.array("p_brand", "p_type").alias("observations"))
     return kg, row("part:", key, "part").unionByName(row("new:", key + 1_000_000, "made")).unionByName(row("new:", key + 2_000_000, "late"))
 
 
-@query("SELECT concat('new:', p_partkey) AS name, 'made' AS entity_type, concat(p_brand, ' | ', p_type) AS observations FROM part WHERE p_partkey % 10 = 3", None)
+@query("SELECT concat('new:', p_partkey) AS name, 'made' AS entity_type, concat(p_brand, ' | ', p_type) AS observations FROM part", None)
 def create_entities(spark, d):
     kg, new = _changes(spark, d)
     return _flat(write.create_entities(kg, new)[1])
 
 
-@query("SELECT concat('part:', p_partkey) AS \"from\", concat('part:', p_partkey + 1) AS \"to\", 'next' AS type FROM part WHERE p_partkey % 10 = 3 UNION ALL SELECT concat('part:', p_partkey), concat('part:', p_partkey), 'self' FROM part WHERE p_partkey % 10 = 3", None)
+@query("SELECT concat('part:', p_partkey) AS \"from\", concat('part:', p_partkey + 1) AS \"to\", 'next' AS type FROM part WHERE p_partkey + 1 IN (SELECT p_partkey FROM part) UNION ALL SELECT concat('part:', p_partkey), concat('part:', p_partkey), 'self' FROM part", None)
 def create_relations(spark, d):
     kg = canonical(spark, d)
-    p = table(spark, d, "part").filter("p_partkey % 10 = 3")
+    p = table(spark, d, "part")
     name = lambda x: F.concat(F.lit("part:"), F.expr(x).cast("string"))
     rows = [p.select(name("p_partkey").alias("from"), name(t).alias("to"), F.lit(k).alias("type")) for t, k in (("p_partkey + 1", "next"), ("p_partkey + 1", "next"), ("p_partkey", "self"), ("p_partkey + 100000000", "next"))]
     there = kg.edges(kg.relations.filter("type = 'supplied_by'")).select("from", "to", F.col("relation_type").alias("type"))
@@ -349,10 +343,10 @@ def create_relations(spark, d):
     return write.create_relations(kg, new)[1]
 
 
-@query("SELECT entity_id, idx, body FROM O WHERE entity_id BETWEEN 2000000 AND 2999999 UNION ALL SELECT 2000000 + c_custkey, 2 + k, CASE k WHEN 0 THEN c_name ELSE 'noted' END FROM customer, (SELECT unnest([0, 1]) AS k) WHERE c_custkey % 10 = 3")
+@query("SELECT entity_id, idx, body FROM O WHERE entity_id BETWEEN 2000000 AND 2999999 UNION ALL SELECT 2000000 + c_custkey, 2 + k, CASE k WHEN 0 THEN c_name ELSE 'noted' END FROM customer, (SELECT unnest([0, 1]) AS k)")
 def add_observations(spark, d):
     kg = canonical(spark, d)
-    c = table(spark, d, "customer").filter("c_custkey % 10 = 3")
+    c = table(spark, d, "customer")
     name = F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("name")
     new = c.select(F.lit(0).alias("pos"), name, F.col("c_name").alias("body")).unionByName(c.select(F.lit(1).alias("pos"), name, F.lit("noted").alias("body")))
     return write.add_observations(kg, new).observations.filter(F.col("entity_id").between(2_000_000, 2_999_999))
@@ -398,12 +392,12 @@ def delete_relations(spark, d):
     return read.list_relation_types(write.delete_relations(kg, gone))
 
 
-@query("""SELECT E.name, CASE WHEN id % 10 = 3 THEN 'upserted' ELSE type END AS entity_type, string_agg(body, ' | ' ORDER BY idx) AS observations
-    FROM E JOIN (SELECT * FROM O UNION ALL SELECT 3000000 + p_partkey, 3, 'fresh' FROM part WHERE p_partkey % 10 = 3) P ON P.entity_id = E.id WHERE id BETWEEN 3000000 AND 3999999 GROUP BY ALL
-    UNION ALL SELECT concat('new:', p_partkey), 'upserted', concat(p_brand, ' | fresh') FROM part WHERE p_partkey % 10 = 3""")
+@query("""SELECT E.name, 'upserted' AS entity_type, string_agg(body, ' | ' ORDER BY idx) AS observations
+    FROM E JOIN (SELECT * FROM O UNION ALL SELECT 3000000 + p_partkey, 3, 'fresh' FROM part) P ON P.entity_id = E.id WHERE id BETWEEN 3000000 AND 3999999 GROUP BY ALL
+    UNION ALL SELECT concat('new:', p_partkey), 'upserted', concat(p_brand, ' | fresh') FROM part""")
 def upsert_entities(spark, d):
     kg = canonical(spark, d)
-    p = table(spark, d, "part").filter("p_partkey % 10 = 3")
+    p = table(spark, d, "part")
     row = lambda prefix, add: p.select((F.col("p_partkey") + add).alias("pos"), F.concat(F.lit(prefix), F.col("p_partkey").cast("string")).alias("name"), F.lit("upserted").alias("type"), F.array("p_brand", F.lit("fresh")).alias("observations"))
     out = write.upsert_entities(kg, row("part:", 0).unionByName(row("new:", 1_000_000)))
     return _flat(out.nested(out.entities.filter("name like 'part:%' or name like 'new:%'")))

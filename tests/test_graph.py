@@ -1,5 +1,7 @@
 """Scenarios of the graph operations on small graphs."""
 
+import random
+
 import pytest
 from kgloom.operators import read, text, traverse, write
 from kgloom.plans.dispatch import OPERATIONS, Session, UnknownOperation
@@ -114,3 +116,33 @@ def test_dispatch(spark):
         s.call("get_entity", {"name": "zz"})
     with pytest.raises(UnknownOperation):
         Session(empty(spark), ["read"]).call("compact")
+
+
+def _all_paths(edges, a, b, depth, most):
+    """Simple paths by plain recursion, one for each choice of parallel edges."""
+    found = []
+
+    def walk(path):
+        if path[-1] == b:
+            found.append(path)
+        elif len(path) <= depth:
+            for x, y in edges:
+                for here, there in ((x, y), (y, x)):
+                    if here == path[-1] and x != y and there not in path:
+                        walk([*path, there])
+
+    walk([a])
+    return sorted(found, key=lambda p: (len(p), p))[:most]
+
+
+@pytest.mark.parametrize("seed,depth,most", [(0, 6, 50), (1, 5, 7), (2, 1, 50), (3, 4, 100)])
+def test_all_paths_by_recursion(spark, seed, depth, most):
+    rng = random.Random(seed)
+    edges = [(rng.randint(1, 7), rng.randint(1, 7)) for _ in range(11)]
+    kg = build(spark, [(str(i), "n", []) for i in range(1, 8)], [(str(x), str(y), f"t{i}") for i, (x, y) in enumerate(edges)])
+    got = {}
+    for r in traverse.find_all_paths(kg, "1", "2", depth, most).orderBy("path_id", "pos").collect():
+        got.setdefault(r["path_id"], []).append(int(r["name"]))
+    assert [got[i] for i in sorted(got)] == _all_paths(edges, 1, 2, depth, most)
+    few = sorted({tuple(p) for p in _all_paths(edges, 1, 2, depth, 10**6)}, key=lambda p: (len(p), p))[:most]
+    assert len({r["path_id"] for r in traverse.find_all_paths(kg, "1", "2", depth, most, distinct=True).collect()}) == len(few)

@@ -58,6 +58,18 @@ def test_ivf(spark):
     assert whole == [r[:] for r in vector.knn(df, [0, 0], 10, "l2sq").collect()]
 
 
+def test_ivf_changes(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.standard_normal(3).tolist()) for i in range(60)]
+    frame = lambda part: spark.createDataFrame(part, "entity_id long, embedding array<float>")
+    moved, fresh, gone = [(i, rng.standard_normal(3).tolist()) for i in range(5)], [(60 + i, rng.standard_normal(3).tolist()) for i in range(5)], frame(rows[10:20]).select("entity_id")
+    index = ivf.train(frame(rows), 4, "l2sq").upsert(frame(moved)).remove(gone).bulk_load(frame(fresh))
+    now = frame(moved + rows[5:10] + rows[20:] + fresh)
+    assert sorted(r["entity_id"] for r in index.cells.collect()) == [r["entity_id"] for r in now.orderBy("entity_id").collect()]
+    query = [0.1, 0.2, 0.3]
+    assert [r[:] for r in index.search(query, 20, 4).collect()] == [r[:] for r in vector.knn(now, query, 20, "l2sq").collect()]
+
+
 @pytest.mark.parametrize("bits,mse", [(1, 0.3634), (2, 0.1175), (3, 0.03454), (4, 0.009497)])
 def test_codebook(bits, mse):
     x = np.linspace(-6, 6, 200_001)
