@@ -37,6 +37,14 @@ WEAK = {
 }
 
 
+def _sums(of: np.ndarray, starts: np.ndarray, some: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``of`` over segments from ``starts`` on, those of the ``some`` of ``n`` that are not empty."""
+    out = np.zeros(n)
+    if len(starts):
+        out[some] = np.add.reduceat(of, starts)
+    return out
+
+
 def fit_linear(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n: int, l2: float = 0.2, steps: int = 100, weight: float = 1.0) -> tuple[float, np.ndarray, np.ndarray]:
     """Logistic regression (bias, word weights, extra weights) on sets of present columns, by accelerated descent."""
     share = y.mean() if len(y) else 0.0
@@ -45,8 +53,14 @@ def fit_linear(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n: int,
     each = np.where(y > 0, weight, 1.0)
     share = (each * y).sum() / each.sum()
     size = np.array([len(r) for r in rows])
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), size)
-    col = np.concatenate(rows) if len(rows) else np.zeros(0, np.int32)
+    row = np.repeat(np.arange(len(rows)), size)
+    col = np.concatenate(rows).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
+    # by rows and by columns, so each pass is a gather and a run of sums
+    some_rows, each_col = np.flatnonzero(size), np.bincount(col, minlength=n)
+    row_starts = (np.cumsum(size) - size)[some_rows]
+    some_cols = np.flatnonzero(each_col)
+    col_starts = (np.cumsum(each_col) - each_col)[some_cols]
+    row_by_col = row[np.argsort(col, kind="stable")]
     w = np.zeros(1 + extra.shape[1] + n)
     w[0] = np.log(share / (1 - share))
     k = 1 + extra.shape[1]
@@ -59,9 +73,9 @@ def fit_linear(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n: int,
     curve = np.concatenate([(np.abs(fixed) * degree[:, None]).sum(0), np.bincount(col, degree[row], n)]) / 4 + damp
     look, prev = w.copy(), w.copy()
     for t in range(steps):
-        p = sigmoid(fixed @ look[:k] + np.bincount(row, look[k:][col], len(y)))
+        p = sigmoid(fixed @ look[:k] + _sums(look[k:].take(col), row_starts, some_rows, len(y)))
         err = each * (p - y)
-        grad = np.concatenate([fixed.T @ err, np.bincount(col, err[row], n)]) + damp * look
+        grad = np.concatenate([fixed.T @ err, _sums(err.take(row_by_col), col_starts, some_cols, n)]) + damp * look
         w = look - grad / curve
         look = w + t / (t + 3) * (w - prev)
         prev = w
