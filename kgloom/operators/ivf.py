@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .vector import clamp_k, knn
@@ -60,6 +60,59 @@ class IvfIndex:
         chosen = np.argsort(d, kind="stable")[:n].tolist()
         return knn(self.cells.filter(F.col("cell").isin(*chosen)), query, clamp_k(k), self.metric)
 
+    def search_many(self, queries: DataFrame, k: int, nprobe: int = 8, block: int = 256) -> DataFrame:
+        """query_id, entity_id, score: as ``search`` for each of ``queries`` (query_id, embedding).
+
+        Queries are sent in blocks, each a scan in which a cell's vectors meet the queries that look into it; a task keeps
+        its k best for each query.
+        """
+        n, out, rows = max(1, min(nprobe, len(self.centroids))), None, []
+
+        def add(rows: list) -> DataFrame:
+            part = self._scan(rows, k, n)
+            return part if out is None else out.unionByName(part)
+
+        for r in queries.select("query_id", "embedding").toLocalIterator():
+            rows.append(r)
+            if len(rows) == block:
+                out, rows = add(rows), []
+        if rows or out is None:
+            out = add(rows)
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "entity_id"))
+        return out.withColumn("place", place).filter(F.col("place") <= k).drop("place")
+
+    def _scan(self, rows: list, k: int, n: int) -> DataFrame:
+        import pyarrow as pa
+
+        metric, ids = self.metric, np.array([r["query_id"] for r in rows], np.int64)
+        asked = np.array([r["embedding"] for r in rows], np.float64).reshape(len(rows), -1)
+        looks = np.zeros((len(rows), len(self.centroids)), bool)
+        if rows:
+            chosen = np.argsort(matrix_distance(asked, self.centroids, metric), axis=1, kind="stable")[:, :n]
+            np.put_along_axis(looks, chosen, True, 1)
+        sent = self.cells.sparkSession.sparkContext.broadcast((asked, looks))
+
+        def run(batches):
+            q, looks = sent.value
+            best = [(np.zeros(0), np.zeros(0, np.int64))] * len(q)
+            for batch in batches:
+                if not batch.num_rows or not len(q):
+                    continue
+                v = batch.column("embedding").flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.float64)
+                key, cell = batch.column("entity_id").to_numpy(), batch.column("cell").to_numpy()
+                for c in np.unique(cell):
+                    own, who = np.flatnonzero(cell == c), np.flatnonzero(looks[:, c])
+                    for i, d in zip(who, np.round(matrix_distance(q[who], v[own], metric), 6), strict=True):
+                        s, e = np.concatenate([best[i][0], d]), np.concatenate([best[i][1], key[own]])
+                        top = np.lexsort((e, s))[:k]
+                        best[i] = s[top], e[top]
+            sizes = [len(s) for s, _ in best]
+            flat = [np.concatenate([x[j] for x in best]) if best else np.zeros(0, kind) for j, kind in ((1, np.int64), (0, np.float64))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), *map(pa.array, flat)], names=["query_id", "entity_id", "score"])
+
+        wanted = np.flatnonzero(looks.any(0)).tolist()
+        return self.cells.filter(F.col("cell").isin(*wanted) if wanted else F.lit(False)).select("entity_id", "embedding", "cell").mapInArrow(run, "query_id long, entity_id long, score double")
+
     def upsert(self, vectors: DataFrame) -> IvfIndex:
         """The index with ``vectors`` (entity_id, embedding) in place of those of the same ids; centroids stay."""
         return self.remove(vectors.select("entity_id")).bulk_load(vectors)

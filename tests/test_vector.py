@@ -58,6 +58,17 @@ def test_ivf(spark):
     assert whole == [r[:] for r in vector.knn(df, [0, 0], 10, "l2sq").collect()]
 
 
+def test_ivf_many(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((6, 8)).repeat(50, 0) * 3 + rng.standard_normal((300, 8)))]
+    df = spark.createDataFrame(rows, "entity_id long, embedding array<float>")
+    asked = df.filter("entity_id % 20 = 0").withColumnRenamed("entity_id", "query_id")
+    index, exact = ivf.train(df, 6, "cos"), {r[:] for r in vector.knn_batch(df, asked, 5, "cos").select("query_id", "entity_id").collect()}
+    found = lambda nprobe: {r[:] for r in index.search_many(asked, 5, nprobe, 4).select("query_id", "entity_id").collect()}
+    assert found(6) == exact
+    assert len(found(3) & exact) >= 0.9 * len(exact)
+
+
 def test_ivf_changes(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.standard_normal(3).tolist()) for i in range(60)]
