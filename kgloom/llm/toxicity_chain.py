@@ -172,7 +172,10 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max
     found = lists.flatten().to_numpy().view(U)
     ends = np.cumsum(np.asarray(lists.value_lengths()))
     hits = np.split(np.searchsorted(chain.words, found).astype(np.int32), ends[:-1])
-    return chain.fit(hits, np.stack([rows[c].to_numpy().astype(float) for c in names], 1), rows["fold"].to_numpy())
+    y, folds = np.stack([rows[c].to_numpy().astype(float) for c in names], 1), rows["fold"].to_numpy().copy()
+    del rows, lists, found  # the fit needs the places alone
+    pa.default_memory_pool().release_unused()
+    return chain.fit(hits, y, folds)
 
 
 def score_chain(docs: DataFrame, chain: ClassifierChain, keep: Sequence[str] = ()) -> DataFrame:
@@ -198,6 +201,10 @@ def drop_toxic(docs: DataFrame, chain: ClassifierChain, category: str = "toxic",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(sent.value.probabilities(batch.column("text"))[:, c] < threshold))
+            start = 0
+            for part in slices(batch.column("text")):  # a slice goes out before the next is read, so a batch is not held twice
+                rows = batch.slice(start, len(part))
+                start += len(part)
+                yield rows.filter(pa.array(sent.value.probabilities(part)[:, c] < threshold))
 
     return docs.mapInArrow(run, docs.schema)
