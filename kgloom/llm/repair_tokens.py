@@ -19,6 +19,7 @@ are ignored.
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import struct
 import zlib
@@ -349,6 +350,16 @@ def encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
+def release_encoder() -> None:
+    """Give the memory of this worker's encoder back to the system: workers live on into other operators."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim:
+            trim(0)
+
+
 def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     """Row slices of about ``most`` bytes of text at least one row each."""
     _, offsets = string_buffers(batch.column(1))
@@ -410,6 +421,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
     """Decode every document of a shard table: doc_id, start, n_tokens, ids_crc32, part, seq."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoder()
         for batch in batches:
             for part, seq, own, blob in zip(*(batch.column(i) for i in range(4)), strict=True):
                 shard = Shard(blob.as_py())
