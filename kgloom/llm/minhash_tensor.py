@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import NON_SPACE, U, counter_hash, gram_hashes, mix64, word_slices
+from .bytewords import NON_SPACE, U, counter_hash, gram_hashes, mix64, slices, word_slices
 from .components import components
 from .shared import fresh, stored
 
@@ -84,13 +84,17 @@ def signatures(docs: DataFrame, k: int, m: int, r: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, none = Tensored(m, r), np.zeros(2 * m, U)
         for batch in batches:
-            n, cid, keys, bits = [], [], [], []
-            for s in shingle_sets(batch.column("text"), k):
-                n.append(len(s))
-                cid.append(set_id(s))
-                keys.append(tables.keys(s) if len(s) else none)
-                bits.append(image(s))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), _fixed(keys, 2 * m), _fixed(bits, BITS)], names=["doc_id", "text_hash", "n", "cid", "keys", "bits"])
+            start = 0
+            for part in slices(batch.column("text")):  # signatures go out slice by slice
+                rows = batch.slice(start, len(part))
+                start += len(part)
+                n, cid, keys, bits = [], [], [], []
+                for s in shingle_sets(part, k):
+                    n.append(len(s))
+                    cid.append(set_id(s))
+                    keys.append(tables.keys(s) if len(s) else none)
+                    bits.append(image(s))
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_hash"), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), _fixed(keys, 2 * m), _fixed(bits, BITS)], names=["doc_id", "text_hash", "n", "cid", "keys", "bits"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n long, cid binary, keys array<long>, bits array<long>")
 
