@@ -29,10 +29,12 @@ from .bytewords import NON_SPACE, U, counter_hash, gram_hashes, mix64, slices, w
 from .components import components
 from .shared import fresh, stored
 
-#: Classes whose ids are sent to every task when texts are read again; beyond it the texts are joined by a shuffle.
-MAX_SENT = 1_000_000
+#: Rows that are sent to every task, and so pass through the driver; of more ids a bitmap of at most 2**CELLS bits is sent, and
+#: documents to drop are joined by a shuffle.
+MAX_SENT = 1 << 16
+CELLS = 26
 BITS = 16  # 64-bit words of a set's image
-BLOCK = 1024  # members of a key that a task tests against as many
+BLOCK = 2048  # members of a key that a task tests against as many
 
 
 def shingle_sets(column, k: int) -> Iterator[np.ndarray]:
@@ -106,19 +108,42 @@ def _may_link(n: str, o: str, x: str, y: str, num: int, den: int) -> Column:
     return (den * F.least(n_, o_) >= num * F.greatest(n_, o_)) & (differ * (den + num) <= (den - num) * (n_ + o_))
 
 
+def _maybe(ids: DataFrame, n: int) -> tuple[bytes, int]:
+    """A bitmap of the hashes ``h`` of ``ids``, some 16 cells for each of the ``n`` up to 2**CELLS in all, and 64 less its number of address bits."""
+    cells = min(CELLS, max(6, (16 * n).bit_length()))
+    place = F.shiftrightunsigned("h", 64 - cells)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - cells}) & 63 as int))")
+    words = ids.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("mask")).toArrow()
+    table = np.zeros(1 << (cells - 6), np.int64)
+    table[words["word"].to_numpy()] = words["mask"].to_numpy()
+    return table.tobytes(), 64 - cells
+
+
 def _confirm(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of classes whose full sets are similar enough."""
     pairs = stored(pairs, "near-pairs")
-    own = stored(classes.join(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "c", "left_semi").select("c", "cid", "doc_id"), "near-own")
-    wanted = own.select("doc_id").distinct()
-    few = own.count() <= MAX_SENT
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").alias("d")
-    chosen = texts.join((F.broadcast(wanted) if few else wanted).alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
+    own = stored(classes.join(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "c", "left_semi").select("c", "cid", F.col("doc_id").alias("first"), F.xxhash64("doc_id").alias("h")), "near-own")
+    # the document of each class, by id; of more than a few ids a bitmap, which lets others through that the join below leaves out
+    texts, n = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long")).alias("h"), "text"), own.count()
+    sent = shift = None
+    if n <= MAX_SENT:
+        wanted = F.broadcast(own.select("first").distinct())
+        texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
+    else:
+        table, shift = _maybe(own.select("h"), n)
+        sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(shingle_sets(batch.column("text"), k))
-            yield pa.RecordBatch.from_arrays([pa.array(map(set_id, found), pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["cid", "members"])
+            if sent is not None:
+                place = batch.column("h").to_numpy().view(U) >> U(shift)
+                table = np.frombuffer(sent.value, U)
+                batch = batch.filter(pa.array((table[(place >> U(6)).astype(np.int64)] >> (place & U(63))) & U(1) > 0))
+            start = 0
+            for part in slices(batch.column("text")):
+                found = list(shingle_sets(part, k))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(part)), pa.array(map(set_id, found), pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc_id", "cid", "members"])
+                start += len(part)
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,25 +156,38 @@ def _confirm(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, num:
                 keep.append(den * shared >= num * (len(both) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    named = own.select("cid", "c")
-    read = chosen.select("text").mapInArrow(sets, "cid binary, members binary").join(F.broadcast(named) if few else named, "cid")
+    read = texts.mapInArrow(sets, "doc_id long, cid binary, members binary").alias("r").join(own.alias("o"), (F.col("r.cid") == F.col("o.cid")) & F.col("doc_id").eqNullSafe(F.col("first")))
     found = stored(read.select("c", "members"), "near-sets")
     left = pairs.join(found.select(F.col("c").alias("a"), F.col("members").alias("x")), "a")
     whole = left.join(found.select(F.col("c").alias("b"), F.col("members").alias("y")), "b")
     return stored(whole.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long").distinct(), "near-links")
 
 
+def _met(members: DataFrame) -> DataFrame:
+    """Members (key, c, g, n, bits) of keys in the cells (i, j) of blocks that meet, with the block ``own`` that each is of.
+
+    Members of a key are dealt into blocks of about ``BLOCK``.  Those of its largest group have blocks of their own, after the
+    others', which do not meet each other: a large group goes once to each block of the rest.
+    """
+    groups = members.groupBy("key", "g").agg(F.count(F.lit(1)).alias("size"))
+    sizes = groups.groupBy("key").agg(F.max(F.struct("size", "g")).alias("top"), F.sum("size").alias("all"))
+    blocks = lambda size: F.ceil(size / BLOCK).cast("int")
+    sizes = sizes.select("key", F.col("top.g").alias("top"), blocks(F.col("top.size")).alias("tops"), blocks(F.col("all") - F.col("top.size")).alias("others"))
+    at, top = F.xxhash64("c"), F.col("g") == F.col("top")
+    own = F.when(top, F.col("others") + F.pmod(at, F.col("tops"))).otherwise(F.pmod(at, F.col("others"))).cast("int")
+    last = F.when(top, F.col("others")).otherwise(F.col("others") + F.col("tops")) - 1
+    dealt = members.join(sizes, "key").withColumn("own", own).withColumn("last", last)
+    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    return met.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "c", "g", "n", "bits")
+
+
 def _tested(members: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of members (key, c, g, n, bits) of a key, of different groups, that pass both exact bounds.
 
-    Members of a key are dealt into blocks of about ``BLOCK``, and a task tests one block against one block, so the pairs of a
-    frequent key spread over tasks and none but those that pass become rows.
+    A task tests one block against one block, so the pairs of a frequent key spread over tasks and none but those that pass
+    become rows.
     """
-    members = stored(members, "near-open")
-    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = met.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "c", "g", "n", "bits")
+    rows = _met(stored(members, "near-open"))
     cells = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own", "c")
 
     def pairs(c: np.ndarray, g: np.ndarray, n: np.ndarray, bits: np.ndarray, own: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
