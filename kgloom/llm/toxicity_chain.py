@@ -37,12 +37,21 @@ WEAK = {
 }
 
 
-def _sums(of: np.ndarray, starts: np.ndarray, some: np.ndarray, n: int) -> np.ndarray:
-    """Sums of ``of`` over segments from ``starts`` on, those of the ``some`` of ``n`` that are not empty."""
-    out = np.zeros(n)
-    if len(starts):
-        out[some] = np.add.reduceat(of, starts)
-    return out
+class _Sums:
+    """Sums over the segments of ``sizes`` entries of ``values[at]``, gathered some entries at a time."""
+
+    def __init__(self, at: np.ndarray, sizes: np.ndarray, step: int = 1 << 18) -> None:
+        self.at, self.n, self.some = at, len(sizes), np.flatnonzero(sizes)
+        ends = np.cumsum(sizes)[self.some]
+        self.starts = ends - sizes[self.some]
+        cut = np.unique(np.searchsorted(self.starts, np.arange(0, max(1, len(at)), step)))
+        self.runs = [(i, j, self.starts[i], ends[j - 1]) for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(self.some)], strict=True) if i < j]
+
+    def of(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n)
+        for i, j, a, b in self.runs:
+            out[self.some[i:j]] = np.add.reduceat(values.take(self.at[a:b]), self.starts[i:j] - a)
+        return out
 
 
 def fit_linear(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n: int, l2: float = 0.2, steps: int = 100, weight: float = 1.0) -> tuple[float, np.ndarray, np.ndarray]:
@@ -53,14 +62,12 @@ def fit_linear(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n: int,
     each = np.where(y > 0, weight, 1.0)
     share = (each * y).sum() / each.sum()
     size = np.array([len(r) for r in rows])
-    row = np.repeat(np.arange(len(rows)), size)
-    col = np.concatenate(rows).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
+    col = np.concatenate(rows).astype(np.int32, copy=False)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), size)
+    each_col = np.bincount(col, minlength=n)
     # by rows and by columns, so each pass is a gather and a run of sums
-    some_rows, each_col = np.flatnonzero(size), np.bincount(col, minlength=n)
-    row_starts = (np.cumsum(size) - size)[some_rows]
-    some_cols = np.flatnonzero(each_col)
-    col_starts = (np.cumsum(each_col) - each_col)[some_cols]
-    row_by_col = row[np.argsort(col, kind="stable")]
+    of_rows, of_cols = _Sums(col, size), _Sums(row[np.argsort(col, kind="stable")], each_col)
+    del row
     w = np.zeros(1 + extra.shape[1] + n)
     w[0] = np.log(share / (1 - share))
     k = 1 + extra.shape[1]
@@ -70,12 +77,12 @@ def fit_linear(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n: int,
     # step from a bound on the curvature of each weight's row sums
     degree = (np.abs(fixed).sum(1) + size)
     degree = degree * each
-    curve = np.concatenate([(np.abs(fixed) * degree[:, None]).sum(0), np.bincount(col, degree[row], n)]) / 4 + damp
+    curve = np.concatenate([(np.abs(fixed) * degree[:, None]).sum(0), of_cols.of(degree)]) / 4 + damp
     look, prev = w.copy(), w.copy()
     for t in range(steps):
-        p = sigmoid(fixed @ look[:k] + _sums(look[k:].take(col), row_starts, some_rows, len(y)))
+        p = sigmoid(fixed @ look[:k] + of_rows.of(look[k:]))
         err = each * (p - y)
-        grad = np.concatenate([fixed.T @ err, _sums(err.take(row_by_col), col_starts, some_cols, n)]) + damp * look
+        grad = np.concatenate([fixed.T @ err, of_cols.of(err)]) + damp * look
         w = look - grad / curve
         look = w + t / (t + 3) * (w - prev)
         prev = w
@@ -163,17 +170,25 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max
         g = 2 * (term(a, F.col("n") * pos / n) + term(b, F.col("n") * (n - pos) / n) + term(rest_a, (n - F.col("n")) * pos / n) + term(rest_b, (n - F.col("n")) * (n - pos) / n))
         kept |= {x["word"] for x in seen.select("word", g.alias("g")).filter(F.col("g") >= least_g).orderBy(F.desc("g"), "word").limit(max_words).collect()}
     chain = ClassifierChain(names, np.sort(np.array(sorted(kept), np.int64).view(U)) if kept else np.zeros(0, U), weight=weight)
-    own = F.array(*map(F.lit, sorted(kept))) if kept else F.array().cast("array<long>")
+    known_words = chain.words
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("words")
+            h = lists.flatten().to_numpy().view(U)
+            p = np.minimum(np.searchsorted(known_words, h), len(known_words) - 1)
+            has = known_words[p] == h if len(known_words) else np.zeros(len(h), bool)
+            ends = np.concatenate([[0], np.cumsum(has)])[np.concatenate([[0], np.cumsum(lists.value_lengths())])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "fold", *names)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(p[has], pa.int32()))], names=["doc_id", "fold", *names, "places"])
+
     # as Arrow columns: a few MB, where rows of Python lists would be many times that
-    rows = sample.select("doc_id", *names, F.array_intersect("words", own).alias("words"), F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("fold")).toArrow().sort_by("doc_id").combine_chunks()
+    rows = sample.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("fold"), *names, "words").mapInArrow(places, f"doc_id long, fold long, {kind}, places array<int>").toArrow().sort_by("doc_id").combine_chunks()
     if not rows.num_rows:
         return chain.fit([], np.zeros((0, len(names))), np.zeros(0))
-    lists = rows["words"].combine_chunks()
-    found = lists.flatten().to_numpy().view(U)
-    ends = np.cumsum(np.asarray(lists.value_lengths()))
-    hits = np.split(np.searchsorted(chain.words, found).astype(np.int32), ends[:-1])
+    lists = rows["places"].combine_chunks()
+    hits = np.split(lists.flatten().to_numpy().copy(), np.cumsum(np.asarray(lists.value_lengths()))[:-1])
     y, folds = np.stack([rows[c].to_numpy().astype(float) for c in names], 1), rows["fold"].to_numpy().copy()
-    del rows, lists, found  # the fit needs the places alone
+    del rows, lists  # the fit needs the places alone
     pa.default_memory_pool().release_unused()
     return chain.fit(hits, y, folds)
 
