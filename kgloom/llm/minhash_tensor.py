@@ -6,9 +6,9 @@ of ``r`` minhashes each, and ``m * m`` table keys, one for each pair of a key of
 (1 - (1 - s**r)**m)**2, which is 0.99993 at 0.8 for m = 10, r = 2.
 
 Of each table key the least class is linked to the others (a star, not all pairs).  After the links are
-confirmed and grouped, keys that still hold several groups are gone through again (of keys with the same
-members, one): members of different groups are tested in blocks, and only pairs that pass become rows.  Both times two exact bounds come
-first: sizes, and the bits in which two 1024-bit images of the sets differ, which is at most what the
+confirmed and grouped, keys that still hold several groups are gone through twice again (of keys with the same
+members, one): members of different groups are tested in blocks, and first the nearest pairs, as many as would join the groups, then
+all that pass become rows.  Each time two exact bounds come first: sizes, and the bits in which two 1024-bit images of the sets differ, which is at most what the
 sets differ in.  What passes is confirmed by intersecting the full sets.
 
 Defined cases: null text, or one without words, has no set and stays alone; fewer words than a shingle are one
@@ -181,11 +181,28 @@ def _met(members: DataFrame) -> DataFrame:
     return met.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "c", "g", "n", "bits")
 
 
-def _tested(members: DataFrame, num: int, den: int) -> DataFrame:
+def _nearest(c: np.ndarray, g: np.ndarray, n: np.ndarray, bits: np.ndarray, left: int, right: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the first ``left`` members and the ``right`` ones that pass both exact bounds: of each first one's in turn the nearest, if
+    no pairs before join their groups."""
+    g, found = g.copy(), []
+    for x in range(left):
+        y = right[(g[right] != g[x]) & (den * np.minimum(n[x], n[right]) >= num * np.maximum(n[x], n[right]))]
+        differ = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+        ok = differ * (den + num) <= (den - num) * (n[x] + n[y])
+        y, share = y[ok], differ[ok] / (n[x] + n[y[ok]])
+        while len(y):
+            to = y[share.argmin()]
+            found.append((c[x], c[to]))
+            g[g == g[to]] = g[x]
+            y, share = y[(apart := g[y] != g[x])], share[apart]
+    return tuple(np.array(found, np.int64).reshape(-1, 2).T)
+
+
+def _tested(members: DataFrame, num: int, den: int, nearest: bool = False) -> DataFrame:
     """The pairs (a, b) of members (key, c, g, n, bits) of a key, of different groups, that pass both exact bounds.
 
     A task tests one block against one block, so the pairs of a frequent key spread over tasks and none but those that pass
-    become rows.
+    become rows.  If ``nearest``, only as many as would join the groups in each pair of blocks.
     """
     rows = _met(stored(members, "near-open"))
     cells = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own", "c")
@@ -193,6 +210,8 @@ def _tested(members: DataFrame, num: int, den: int) -> DataFrame:
     def pairs(c: np.ndarray, g: np.ndarray, n: np.ndarray, bits: np.ndarray, own: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
         cut = int(np.searchsorted(own, i, "right"))
         left, right = np.arange(cut), np.arange(len(c)) if i == j else np.arange(cut, len(c))
+        if nearest:
+            return _nearest(c, g, n, bits, cut, right, num, den)
         out = [np.zeros((2, 0), np.int64)]
         for at in range(0, len(left), 64):
             p = left[at : at + 64, None]
@@ -255,17 +274,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     links = _confirm(docs, sized.filter(_may_link("n", "o", "x", "y", num, den)).select("a", "b"), classes, k, num, den)
     roots = components(links)
 
-    # keys that hold more than one group, one of those with the same members, and in it each pair of different groups
-    grown = hits.join(roots.withColumnRenamed("node", "c"), "c", "left").select("key", "c", F.coalesce("root", "c").alias("g"))
+    # keys that hold more than one group, one of those with the same members, and in it pairs of different groups: first the nearest
+    # ones, as those that are confirmed make most others needless, then each pair of groups that are still apart
     member = F.xxhash64("c")
-    open_ = grown.groupBy("key").agg(F.min("g").alias("p"), F.max("g").alias("q"), F.bit_xor(member).alias("f0"), F.sum(F.shiftright(member, 24)).alias("f1"), F.count(F.lit(1)).alias("size"))
-    one = open_.filter("p <> q").groupBy("f0", "f1", "size").agg(F.min("key").alias("key")).select("key")
-    kept = grown.join(one, "key", "left_semi")
-    crossed = _tested(kept.join(shape, "c"), num, den)
-    more = _confirm(docs, crossed, classes, k, num, den)
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-
-    number = links.unionByName(more).select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n_links"))
+    for nearest in (True, False):
+        grown = hits.join(roots.withColumnRenamed("node", "c"), "c", "left").select("key", "c", F.coalesce("root", "c").alias("g"))
+        open_ = grown.groupBy("key").agg(F.min("g").alias("p"), F.max("g").alias("q"), F.bit_xor(member).alias("f0"), F.sum(F.shiftright(member, 24)).alias("f1"), F.count(F.lit(1)).alias("size"))
+        one = open_.filter("p <> q").groupBy("f0", "f1", "size").agg(F.min("key").alias("key")).select("key")
+        kept = grown.join(one, "key", "left_semi")
+        more = _confirm(docs, _tested(kept.join(shape, "c"), num, den, nearest), classes, k, num, den)
+        links = links.unionByName(more)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+    number = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n_links"))
     named = classes.select("cid", "c", "doc_id").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     known = named.join(least, "root").join(number, "c", "left").select("cid", "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))

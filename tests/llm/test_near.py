@@ -29,6 +29,19 @@ def test_large_group_is_not_multiplied(spark, monkeypatch):
     assert meet == {(x, y) for x in range(163) for y in range(160, 163) if x != y}
 
 
+def test_pairs_of_a_loose_group_are_few(spark):
+    """Of members that all pass the bounds, no more pairs are tried first than join their groups in two cells."""
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 2**60, 300).astype(np.uint64))
+    sets = [np.unique(np.concatenate([base[5:], rng.integers(0, 2**60, 3).astype(np.uint64)])) for _ in range(50)]
+    rows = [(7, c, c // 2, len(s), minhash_tensor.image(s).tolist()) for c, s in enumerate(sets)]
+    members = spark.createDataFrame(rows, "key long, c long, g long, n long, bits array<long>")
+    first = minhash_tensor._tested(members, 80, 100, nearest=True).collect()
+    root = components.least_nodes(np.array([r["a"] // 2 for r in first]), np.array([r["b"] // 2 for r in first]))
+    assert len(first) < 2 * 24 and root[0].tolist() == list(range(1, 25)) and not root[1].any()
+    assert minhash_tensor._tested(members, 80, 100).count() == 50 * 49 // 2 - 25
+
+
 def test_many_ids_by_bitmap(spark, monkeypatch):
     """With more ids than are sent, a bitmap finds their texts; what it lets through beside them does no harm."""
     rng, rows = random.Random(2), []
