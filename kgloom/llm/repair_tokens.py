@@ -19,8 +19,8 @@ are ignored.
 
 from __future__ import annotations
 
-import ctypes
 import itertools
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import U, span_hashes, string_buffers
-from .shared import stored
+from .shared import give_back, stored
 
 MAGIC = b"RPG2"
 STRIDE = 256
@@ -47,13 +47,18 @@ def numbered(keys: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
     if not len(keys) or 2 * wide + place > 64:
         return np.unique(keys, return_inverse=True)
     # key and place in one word: a plain sort is several times faster than one that returns an order
-    low = U((1 << wide) - 1)
-    packed = (((keys >> U(32)) << U(wide)) | (keys & low)) << U(place) | np.arange(len(keys), dtype=U)
+    low, short = U((1 << wide) - 1), np.int32 if place < 32 else np.int64
+    packed = keys >> U(32)
+    packed <<= U(wide)
+    packed |= keys & low
+    packed <<= U(place)
+    packed |= np.arange(len(keys), dtype=U)
     packed.sort()
-    order, packed = (packed & U((1 << place) - 1)).astype(np.int64), packed >> U(place)
+    order = (packed & U((1 << place) - 1)).astype(short)
+    packed >>= U(place)
     new = np.concatenate([[True], packed[1:] != packed[:-1]])
-    name = np.empty(len(keys), np.int64)
-    name[order] = np.cumsum(new) - 1
+    name = np.empty(len(keys), short)
+    name[order] = np.cumsum(new, dtype=short) - 1
     packed = packed[new]
     return ((packed >> U(wide)) << U(32)) | (packed & low), name
 
@@ -67,28 +72,39 @@ def repair(ids: np.ndarray, first: int, min_count: int = 8) -> tuple[np.ndarray,
     symbols = ids.astype(np.uint32)
     rules, lengths, following = [np.zeros((0, 2), np.uint32)], [np.zeros(0, np.uint32)], first
     # a pair of symbols that both stand already only loses occurrences: once rare, its places need no further count
-    live = np.arange(max(len(symbols) - 1, 0))
+    # places are held in 32 bits, work arrays changed in their place: a worker's memory follows the most that stands at once
+    short = np.int32 if len(symbols) < 1 << 31 else np.int64
+    live = np.arange(max(len(symbols) - 1, 0), dtype=short)
     while len(live):
-        keys = (symbols[live].astype(U) << U(32)) | symbols[live + 1]
+        keys = symbols[live].astype(U)
+        keys <<= U(32)
+        keys |= symbols[live + 1]
         # pairs that share a slot are at least as many as each of them: few are left to be counted by sorting
         bits = max(10, min(20, len(live).bit_length()))
-        slot = ((keys * U(0x9E3779B97F4A7C15)) >> U(64 - bits)).astype(np.int32)
-        often = np.bincount(slot, minlength=1 << bits)[slot] >= min_count
-        at = live[often]
-        found, name = numbered(keys[often], wide=int(symbols.max()).bit_length())
+        slot = keys * U(0x9E3779B97F4A7C15)
+        slot >>= U(64 - bits)
+        slot = slot.astype(np.int32)
+        often = (np.bincount(slot, minlength=1 << bits) >= min_count)[slot]
+        at, keys = live[often], keys[often]
+        del live, slot, often
+        found, name = numbered(keys, wide=int(symbols.max()).bit_length())
+        del keys
         # in a run of one pair with itself every second occurrence is free
         again = np.ones(len(at), bool)
         again[1:] = (at[1:] != at[:-1] + 1) | (name[1:] != name[:-1])
-        run = np.maximum.accumulate(np.where(again, np.arange(len(at)), 0)) if len(at) else at
-        free = (np.arange(len(at)) - run) % 2 == 0
+        run = np.arange(len(at), dtype=short)
+        run[~again] = 0
+        np.maximum.accumulate(run, out=run)
+        free = (np.arange(len(at), dtype=short) - run) % 2 == 0
+        del again, run
         count = np.bincount(name[free], minlength=len(found))
-        frequent = count[name] >= min_count
+        frequent = (count >= min_count)[name]
         open_ = at[frequent]
         at, name = at[frequent & free], name[frequent & free]
         if not len(at):
             break
         # where occurrences overlap, the more frequent pair goes first (of equals the first one found)
-        rank = np.argsort(np.argsort(-count, kind="stable"), kind="stable")[name]
+        rank = np.argsort(np.argsort(-count, kind="stable"), kind="stable").astype(short)[name]
         left = np.concatenate([[False], (at[1:] == at[:-1] + 1) & (rank[1:] >= rank[:-1])])
         right = np.concatenate([(at[1:] == at[:-1] + 1) & (rank[:-1] > rank[1:]), [False]])
         taken = ~(left | right)
@@ -106,13 +122,13 @@ def repair(ids: np.ndarray, first: int, min_count: int = 8) -> tuple[np.ndarray,
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         # places in the shorter sequence: still frequent pairs, and the new symbols' pairs on either side
-        place = np.cumsum(keep) - 1
+        place = np.cumsum(keep, dtype=short) - 1
         symbols, following = symbols[keep], following + len(new)
         mark = np.zeros(len(symbols) + 1, bool)
         mark[place[open_]] = True
         mark[place[at]] = True
         mark[place[at] - 1] = True
-        live = np.flatnonzero(mark[: len(symbols) - 1])
+        live = np.flatnonzero(mark[: len(symbols) - 1]).astype(short)
     return np.concatenate(rules), np.concatenate(lengths), symbols
 
 
@@ -218,13 +234,15 @@ class PieceEncoder:
     Such a tokenizer first splits a text and merges bytes only inside the parts, so ids of a text are the
     ids of any cutting at places where it splits anyway.  Those used: between a letter and a following
     ASCII punctuation mark, blank or line feed; before a single blank or line feed that stands between
-    other characters.  The pieces' ids are kept in a hash table of bounded size, emptied when full.
+    other characters.  The pieces' ids are kept in a hash table that grows with them up to a bound, emptied when full.
     """
 
-    MOST = 1_500_000
-    SLOTS = 1 << 22
+    MOST = 1 << 20
+    SLOTS = 1 << 16
 
     def __init__(self, tokenizer_path: str) -> None:
+        # a task has one core; threads of the library would each keep memory of their own
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -236,13 +254,28 @@ class PieceEncoder:
         self._empty()
 
     def _empty(self) -> None:
-        self.keys = np.zeros(self.SLOTS, U)
-        self.entry = np.full(self.SLOTS, -1, np.int32)
+        self._slots(self.SLOTS)
         self.count = self.used = 0
         self.start = np.zeros(1 << 16, np.int32)
         self.size = np.zeros(1 << 16, np.int32)
         self.flat = np.zeros(1 << 18, np.uint32 if self.vocabulary > 1 << 16 else np.uint16)
 
+    def _slots(self, n: int) -> None:
+        self.keys = np.zeros(n, U)
+        self.entry = np.full(n, -1, np.int32)
+
+    def _put(self, h: np.ndarray, own: np.ndarray) -> None:
+        """Hashes that the table doesn't have, and their entries."""
+        slot = (h & U(len(self.keys) - 1)).astype(np.int64)
+        left = np.arange(len(h))
+        while len(left):  # the first of those that want a free slot gets it
+            s = slot[left]
+            _, first = np.unique(s, return_index=True)
+            win = left[first[self.entry[s[first]] < 0]]
+            self.entry[slot[win]], self.keys[slot[win]] = own[win], h[win]
+            left = left[self.entry[slot[left]] != own[left]]
+            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
+
     @staticmethod
     def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Starts of the pieces; every row's start is one, where the row isn't empty."""
@@ -266,11 +299,11 @@ class PieceEncoder:
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Entry of each hash, -1 if absent."""
-        slot = (h & U(self.SLOTS - 1)).astype(np.int64)
+        slot = (h & U(len(self.keys) - 1)).astype(np.int64)
         out = self.entry[slot]
         odd = np.flatnonzero((out >= 0) & (self.keys[slot] != h))
         while len(odd):
-            slot[odd] = (slot[odd] + 1) & (self.SLOTS - 1)
+            slot[odd] = (slot[odd] + 1) & (len(self.keys) - 1)
             out[odd] = self.entry[slot[odd]]
             odd = odd[(out[odd] >= 0) & (self.keys[slot[odd]] != h[odd])]
         return out
@@ -302,15 +335,12 @@ class PieceEncoder:
         self.size[own] = size
         self.used += len(flat)
         self.count += len(h)
-        slot = (h & U(self.SLOTS - 1)).astype(np.int64)
-        left = np.arange(len(h))
-        while len(left):  # the first of those that want a free slot gets it
-            s = slot[left]
-            _, first = np.unique(s, return_index=True)
-            win = left[first[self.entry[s[first]] < 0]]
-            self.entry[slot[win]], self.keys[slot[win]] = own[win], h[win]
-            left = left[self.entry[slot[left]] != own[left]]
-            slot[left] = (slot[left] + 1) & (self.SLOTS - 1)
+        if 2 * self.count > len(self.keys):
+            full = np.flatnonzero(self.entry >= 0)
+            old, at = self.keys[full], self.entry[full]
+            self._slots(1 << (2 * self.count).bit_length())
+            self._put(old, at)
+        self._put(h, own)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, one after another, and the rows' offsets in them."""
@@ -329,9 +359,9 @@ class PieceEncoder:
             at = missing[at]
             at = at[np.argsort((data[starts[at]] != 0x20) | ~plain_tail(data, starts[at], ends[at]), kind="stable")]
             new, raw = h[at], data.tobytes()
-            for i in range(0, len(new), 20_000):
-                part = at[i : i + 20_000]
-                self._add(new[i : i + 20_000], [raw[a:b].decode() for a, b in zip(starts[part].tolist(), ends[part].tolist(), strict=True)])
+            for i in range(0, len(new), 4_000):
+                part = at[i : i + 4_000]
+                self._add(new[i : i + 4_000], [raw[a:b].decode() for a, b in zip(starts[part].tolist(), ends[part].tolist(), strict=True)])
             entry = self._find(h)
         size = self.size[entry].astype(np.int64)
         done = np.cumsum(size)
@@ -354,10 +384,7 @@ def release_encoder() -> None:
     """Give the memory of this worker's encoder back to the system: workers live on into other operators."""
     if _ENCODERS:
         _ENCODERS.clear()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
-        if trim:
-            trim(0)
+        give_back()
 
 
 def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
@@ -382,6 +409,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, shard_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        give_back()
         part, seq, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer_path)
         ids, docs_in, sizes, n = [], [], [], 0
 
@@ -396,21 +424,28 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, shard_id
                 names=[*row, "doc_ids", "blob"],
             )
             ids, docs_in, sizes, n, seq = [], [], [], 0, seq + 1
+            give_back()
             return out
 
         for batch in batches:
-            for rows in _slices(batch, 2 * shard_ids):
+            for rows in _slices(batch, max(1, shard_ids // 2)):
                 got, offsets = enc.encode(rows.column(1))
-                size = np.diff(offsets)
-                with_end = np.insert(got, offsets[1:], end_id)
-                ids.append(with_end)
-                docs_in.append(rows.column(0).cast(pa.int64()))
-                sizes.append(size + 1)
-                n += len(with_end)
-                if n >= shard_ids:
-                    yield flush()
+                with_end, bounds = np.insert(got, offsets[1:], end_id), offsets + np.arange(len(offsets))
+                own, i = rows.column(0).cast(pa.int64()), 0
+                while i < len(own):
+                    # up to the document that fills the shard
+                    j = min(len(own), int(np.searchsorted(bounds, bounds[i] + shard_ids - n)))
+                    ids.append(with_end[bounds[i] : bounds[j]])
+                    docs_in.append(own.slice(i, j - i))
+                    sizes.append(np.diff(bounds[i : j + 1]))
+                    n += int(bounds[j] - bounds[i])
+                    if n >= shard_ids:
+                        yield flush()
+                    i = j
+            del batch, rows
         if n:
             yield flush()
+        give_back()
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = narrow.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
