@@ -5,10 +5,9 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
-from kgloom.llm import repair_tokens
+from kgloom.llm import repair_tokens, shared, substring_chains
 from kgloom.llm.bytewords import ALNUM, word_slices
 from kgloom.llm.queries import TOKENIZER, tokenizer_path
-from kgloom.llm.shared import stored
 
 
 def peak(run):
@@ -29,7 +28,7 @@ def test_stored_batches_are_bounded_in_bytes(spark):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key, None)
     docs = spark.range(0, 10_000, 1, 1).selectExpr("id", "repeat('word ', 400) AS text")
-    rows = stored(docs.mapInArrow(sizes, "n long, b long"), "batches").collect()
+    rows = shared.stored(docs.mapInArrow(sizes, "n long, b long"), "batches").collect()
     assert sum(r["n"] for r in rows) == 10_000 and max(r["b"] for r in rows) < 5 << 20
     assert spark.conf.get(key, None) == before
 
@@ -66,3 +65,21 @@ def test_a_shard_ends_with_the_document_that_fills_it(spark):
     assert sorted(r["doc_id"] for r in rows) == list(range(600)) and most < 100
     sizes = [[r["n_ids"] for r in shards.filter(f"part = {p['part']}").orderBy("seq").collect()] for p in shards.select("part").distinct().collect()]
     assert all(1000 <= n < 1000 + most for own in sizes for n in own[:-1]) and all(own[-1] < 1000 + most for own in sizes)
+
+
+def test_passage_workers_give_memory_back(monkeypatch):
+    """Seeds come in small batches, and free memory goes back when a task's last one is out."""
+    calls = []
+    monkeypatch.setattr(shared, "give_back", lambda: calls.append(1))
+
+    class Docs:
+        def mapInArrow(self, run, kind):
+            return run
+
+    texts = [" ".join(f"w{i * j}" for j in range(400)) for i in range(3_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3_000)), pa.array([0] * 3_000), pa.array(texts)], names=["doc_id", "part", "text"])
+    sizes = []
+    for out in substring_chains._seeds(Docs(), 6, 12, 50)(iter([batch])):
+        assert not calls
+        sizes.append(out.num_rows)
+    assert calls == [1] and len(sizes) > 8
