@@ -222,10 +222,11 @@ class Shard:
 # --- encoding ------------------------------------------------------------------------------------
 
 
-def plain_tail(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Whether a span ends in an ASCII letter."""
-    last = data[ends - 1] | 0x20
-    return (last >= 0x61) & (last <= 0x7A)
+def blank_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether a span is a blank and then one or more ASCII letters."""
+    letters = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(((data | 0x20) >= 0x61) & ((data | 0x20) <= 0x7A), out=letters[1:])
+    return (data[starts] == 0x20) & (ends - starts > 1) & (letters[ends] - letters[starts + 1] == ends - starts - 1)
 
 
 class PieceEncoder:
@@ -237,7 +238,7 @@ class PieceEncoder:
     other characters.  The pieces' ids are kept in a hash table that grows with them up to a bound, emptied when full.
     """
 
-    MOST = 1 << 20
+    MOST = 1_500_000
     SLOTS = 1 << 16
 
     def __init__(self, tokenizer_path: str) -> None:
@@ -309,21 +310,15 @@ class PieceEncoder:
         return out
 
     @staticmethod
-    def _joined(pieces: list[str]) -> list[str]:
-        """The pieces in fewer strings: those of a blank and ASCII letters are cut apart again by the tokenizer."""
-        out: list[str] = []
-        for alone, group in itertools.groupby(pieces, lambda x: not (x[0] == " " and x[1:].isascii() and x[1:].isalpha())):
-            if alone:
-                out += group
-            else:
-                while part := list(itertools.islice(group, 64)):
-                    out.append("".join(part))
-        return out
-
-    def _add(self, h: np.ndarray, pieces: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(self._joined(pieces), add_special_tokens=False)]
-        flat = np.fromiter((x for y in got for x in y), self.flat.dtype, sum(map(len, got)))
-        ends = np.searchsorted(np.cumsum(self.width[flat]), np.cumsum([len(x.encode()) for x in pieces]), "left") + 1
+    def _joined(pieces: list[str], words: int) -> list[str]:
+        """The pieces in fewer strings: the first ``words``, each a blank and ASCII letters, are cut apart again by the tokenizer."""
+        return ["".join(pieces[i : min(i + 64, words)]) for i in range(0, words, 64)] + pieces[words:]
+
+    def _add(self, h: np.ndarray, pieces: list[str], sizes: np.ndarray, words: int) -> None:
+        """Pieces of ``sizes`` bytes, of which the first ``words`` may be joined."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(self._joined(pieces, words), add_special_tokens=False)]
+        flat = np.fromiter(itertools.chain.from_iterable(got), self.flat.dtype, sum(map(len, got)))
+        ends = np.searchsorted(np.cumsum(self.width[flat]), np.cumsum(sizes), "left") + 1
         size = np.diff(ends, prepend=0).astype(np.int32)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -355,13 +350,15 @@ class PieceEncoder:
             if self.count + len(missing) > self.MOST and self.count:
                 self._empty()
                 missing = np.arange(len(h))
-            new, at = np.unique(h[missing], return_index=True)
+            _, at = np.unique(h[missing], return_index=True)
             at = missing[at]
-            at = at[np.argsort((data[starts[at]] != 0x20) | ~plain_tail(data, starts[at], ends[at]), kind="stable")]
-            new, raw = h[at], data.tobytes()
-            for i in range(0, len(new), 4_000):
+            word = blank_words(data, starts[at], ends[at])
+            at = np.concatenate([at[word], at[~word]])
+            words, raw = int(word.sum()), data.tobytes()
+            for i in range(0, len(at), 4_000):
                 part = at[i : i + 4_000]
-                self._add(new[i : i + 4_000], [raw[a:b].decode() for a, b in zip(starts[part].tolist(), ends[part].tolist(), strict=True)])
+                a, b = starts[part], ends[part]
+                self._add(h[part], [raw[x:y].decode() for x, y in zip(a.tolist(), b.tolist(), strict=True)], b - a, min(max(words - i, 0), len(part)))
             entry = self._find(h)
         size = self.size[entry].astype(np.int64)
         done = np.cumsum(size)
@@ -424,7 +421,6 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, shard_id
                 names=[*row, "doc_ids", "blob"],
             )
             ids, docs_in, sizes, n, seq = [], [], [], 0, seq + 1
-            give_back()
             return out
 
         for batch in batches:
