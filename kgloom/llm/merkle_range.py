@@ -63,20 +63,24 @@ def height(n: int) -> int:
 # --- places ----------------------------------------------------------------------------------------
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number rows in sorted order: ``unit`` (task and running number) and ``rank`` in the unit."""
-    done = 0
-    for batch in batches:
-        if batch.num_rows:
-            part = batch.column("unit")[0].as_py() << 32
-            place = range(done, done + batch.num_rows)
-            done += batch.num_rows
-            columns = {name: batch.column(name) for name in batch.schema.names}
-            columns |= {"unit": pa.array([part + p // UNIT for p in place], pa.int64()), "rank": pa.array([p % UNIT for p in place], pa.int64())}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+def _units(most: int):
+    """Number rows in sorted order: ``unit`` (task and running number) of at most ``most`` rows, and ``rank`` in the unit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
+        for batch in batches:
+            if batch.num_rows:
+                part = batch.column("unit")[0].as_py() << 32
+                place = range(done, done + batch.num_rows)
+                done += batch.num_rows
+                columns = {name: batch.column(name) for name in batch.schema.names}
+                columns |= {"unit": pa.array([part + p // most for p in place], pa.int64()), "rank": pa.array([p % most for p in place], pa.int64())}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return run
 
 
-def placed(rows: DataFrame, order: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+def placed(rows: DataFrame, order: list[str], name: str, unit: int = UNIT) -> tuple[DataFrame, DataFrame]:
     """``rows`` (a column ``g``, the group, and others) with ``unit`` and ``rank``; and for each unit and group ``start``, ``shift``, ``m`` and ``n``.
 
     ``start`` is the place in the group of the first row of both, ``shift`` what to add to ranks for places, ``m`` their rows, ``n`` those
@@ -84,7 +88,7 @@ def placed(rows: DataFrame, order: list[str], name: str) -> tuple[DataFrame, Dat
     """
     keys = ["g", *order]
     made = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("*", F.spark_partition_id().cast("long").alias("unit"), F.lit(0).cast("long").alias("rank"))
-    found = stored(made.mapInArrow(_units, made.schema), name)
+    found = stored(made.mapInArrow(_units(unit), made.schema), name)
     counts = found.groupBy("unit", "g").agg(F.count(F.lit(1)).alias("m"), F.min("rank").alias("low"))
     own = Window.partitionBy("g")
     before = F.sum("m").over(own.orderBy("unit").rowsBetween(Window.unboundedPreceding, -1))
@@ -211,9 +215,9 @@ def _top(roots: DataFrame) -> tuple[DataFrame, str | None]:
     return reduce(DataFrame.unionByName, paths, none), now.first()["digest"] if n else None
 
 
-def build_manifest(rows: DataFrame, order: list[str]) -> Manifest:
+def build_manifest(rows: DataFrame, order: list[str], unit: int = UNIT) -> Manifest:
     """The tree over ``rows``: columns ``g`` (group, no nulls), ``digest`` (leaf), those of ``order``, and any others."""
-    leaves, places = placed(rows, order, "merkle-leaves")
+    leaves, places = placed(rows, order, "merkle-leaves", unit)
     located = leaves.join(places, ["unit", "g"]).select("unit", "g", "n", F.lit(0).alias("level"), (F.col("shift") + F.col("rank")).alias("idx"), "digest")
     own = _walked(located, F.col("unit"), "merkle-units")
     block = F.shiftright(F.expr(f"shiftleft(idx, {BITS} * level)"), 8 * BITS)
@@ -367,7 +371,7 @@ def document_leaves(docs: DataFrame, tampered: Column) -> DataFrame:
     )
 
 
-def document_proofs(docs: DataFrame, tampered: Column) -> DataFrame:
+def document_proofs(docs: DataFrame, tampered: Column, unit: int = UNIT) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified: one row for each row of ``docs``; groups are languages."""
-    found = proofs(build_manifest(document_leaves(docs, tampered), ["doc_id", "digest", "row"]))
+    found = proofs(build_manifest(document_leaves(docs, tampered), ["doc_id", "digest", "row"], unit))
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))

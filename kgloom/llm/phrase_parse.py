@@ -226,16 +226,16 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _finished(c["part"][i], [c["doc_id"][i]], [c["text"][i]], mark, [c["next_text"][i]], after)
 
 
-def phrase_fingerprints(docs: DataFrame) -> DataFrame:
+def phrase_fingerprints(docs: DataFrame, tasks: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: one row for each row of ``docs``.
 
     The edited text has the last half of its code points (rounded down) replaced by the first as many of the next document
-    in descending order of ``doc_id``; after the last one comes the first.
+    in descending order of ``doc_id``; after the last one comes the first.  ``tasks`` is left to Spark by default.
     """
     text = F.coalesce("text", F.lit(""))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
     order = [F.desc_nulls_last("doc_id"), F.asc("tie")]
-    dealt = ordered.repartitionByRange(*order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "doc_id", "text")
+    dealt = ordered.repartitionByRange(*([tasks] if tasks else []), *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "doc_id", "text")
     found = stored(dealt.mapInArrow(sparing(_chain), _ROW_SQL), "phrases")
     # a row for each task, and its successor; texts stay out of the window
     heads = found.filter(F.col("kind") == _HEAD)

@@ -96,20 +96,24 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(rows)
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number shards in sorted order: ``SHARD`` paths or ``SHARD_BYTES`` of labels each."""
-    number, rows, size = 0, 0, 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        part, out = batch.column("shard")[0].as_py() << 32, []
-        for n in pc.binary_length(batch.column("path")).to_pylist():
-            if rows == SHARD or size > SHARD_BYTES:
-                number, rows, size = number + 1, 0, 0
-            rows, size = rows + 1, size + n
-            out.append(part + number)
-        columns = {name: batch.column(name) for name in batch.schema.names} | {"shard": pa.array(out, pa.int64())}
-        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+def _shards(most: int, most_bytes: int):
+    """Number shards in sorted order: ``most`` paths or ``most_bytes`` of labels each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, rows, size = 0, 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part, out = batch.column("shard")[0].as_py() << 32, []
+            for n in pc.binary_length(batch.column("path")).to_pylist():
+                if rows == most or size > most_bytes:
+                    number, rows, size = number + 1, 0, 0
+                rows, size = rows + 1, size + n
+                out.append(part + number)
+            columns = {name: batch.column(name) for name in batch.schema.names} | {"shard": pa.array(out, pa.int64())}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return run
 
 
 # --- tries -----------------------------------------------------------------------------------------
@@ -262,13 +266,13 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(here, columns, sides)
 
 
-def build_tries(paths: DataFrame) -> DataFrame:
+def build_tries(paths: DataFrame, shard: int = SHARD, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """shard, blob: LOUDS tries over ``paths`` (conv_id, path), in the order of their paths."""
     tasks = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ends = paths.repartition("path").sortWithinPartitions("path", "conv_id").select("path", "conv_id").mapInArrow(sparing(_ends), "path binary, n long, least long, ends binary")
     ends = stored(ends, "trie-ends")
     dealt = ends.repartitionByRange("path").sortWithinPartitions("path").select(F.spark_partition_id().cast("long").alias("shard"), "path", "n", "least", "ends")
-    dealt = stored(dealt.mapInArrow(_shards, "shard long, path binary, n long, least long, ends binary"), "trie-shards")
+    dealt = stored(dealt.mapInArrow(_shards(shard, shard_bytes), "shard long, path binary, n long, least long, ends binary"), "trie-shards")
     bounds = dealt.groupBy("shard").agg(F.min("path").alias("low"), F.max("path").alias("high"))
     turn = Window.orderBy("shard")  # a row for each shard
     beside = stored(bounds.select("shard", F.lag("high").over(turn).alias("before"), F.lead("low").over(turn).alias("after")), "trie-bounds")
@@ -348,6 +352,6 @@ def trie_nodes(tries: DataFrame) -> DataFrame:
     return inner.unionByName(shared).withColumn("ends_sha256", F.lower(F.hex("ends_sha256")))
 
 
-def conversation_trie(turns: DataFrame) -> DataFrame:
+def conversation_trie(turns: DataFrame, shard: int = SHARD) -> DataFrame:
     """``trie_nodes`` of conversations rebuilt with shared heads."""
-    return trie_nodes(build_tries(shared_heads(conversation_paths(turns))))
+    return trie_nodes(build_tries(shared_heads(conversation_paths(turns)), shard))
