@@ -1,8 +1,9 @@
 """Words and 64-bit word hashes of Arrow string batches, computed on the raw UTF-8 bytes.
 
 A batch is treated as one byte buffer: word bounds come from a 256-entry class table and the hash of a
-word is a polynomial over its bytes (mod 2**64) taken from a running sum, then finalised with a
-bijective mixer.  Work buffers cover a slice of the words at a time, so their size does not follow the
+word is the sum, taken from a running one, of a value of each byte times a key of its place in the word (mod 2**64),
+then finalised with a bijective mixer.  Values and keys are unrelated 64-bit numbers, so that no pattern of a word, however
+long, makes it meet another one's hash (a polynomial's powers would).  Work buffers cover a slice of the words at a time, so their size does not follow the
 batch.  All delimiters used here are ASCII, so cutting UTF-8 at byte level is exact.
 """
 
@@ -106,6 +107,21 @@ def span_bounds(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+class _Keys:
+    """Keys of places in a span, as many as the longest so far needs."""
+
+    def __init__(self) -> None:
+        self.known = counter_hash(0x5EED, _SLICE_BYTES + 1024) | U(1)
+
+    def get(self, n: int) -> np.ndarray:
+        if len(self.known) < n:
+            self.known = counter_hash(0x5EED, n) | U(1)
+        return self.known
+
+
+_KEYS = _Keys()
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte span; spans are ascending and disjoint."""
     out = np.empty(len(starts), U)
@@ -114,12 +130,14 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         while i < len(starts):
             base = starts[i]
             j = max(i + 1, int(np.searchsorted(ends, base + _SLICE_BYTES, "right")))
-            part = data[base : ends[j - 1]]
-            up, down = _POWERS.get(len(part) + 1)
+            a, b = (starts[i:j] - base).astype(np.int32), (ends[i:j] - base).astype(np.int32)
+            part = data[base : base + b[-1]]
+            keys = _KEYS.get(len(part))
+            place = np.arange(len(part), dtype=np.int32)
+            place -= np.repeat(a, np.diff(a, append=np.int32(len(part))))
             run = np.zeros(len(part) + 1, U)
-            np.cumsum(_BYTE[part] * up[: len(part)], dtype=U, out=run[1:])
-            a, b = starts[i:j] - base, ends[i:j] - base
-            out[i:j] = (run[b] - run[a]) * down[a] + (b - a).astype(U)
+            np.cumsum(_BYTE[part] * keys[place], dtype=U, out=run[1:])
+            out[i:j] = (run[b] - run[a]) + (b - a).astype(U)
             i = j
     return mix64(out)
 

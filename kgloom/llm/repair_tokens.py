@@ -24,13 +24,14 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytewords import U, span_hashes, string_buffers
+from .bytewords import U, counter_hash, mix64, string_buffers
 from .shared import give_back, stored
 
 MAGIC = b"RPG2"
@@ -229,13 +230,65 @@ def blank_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return (data[starts] == 0x20) & (ends - starts > 1) & (letters[ends] - letters[starts + 1] == ends - starts - 1)
 
 
+_LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
+_PIECE = counter_hash(0x91ECE, 10) | U(1)
+_LONG = 64
+
+
+class Spans:
+    """Byte spans as words of eight bytes, for hashing and for comparing them whole; ``data`` ends in eight spare bytes."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> None:
+        self.data, self.starts, self.size = data, starts, size
+        self.view = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+        self.first: np.ndarray | None = None
+
+    def word(self, which: np.ndarray | slice, k: int) -> np.ndarray:
+        """The k-th eight bytes of spans that have them, zeros beyond their end."""
+        return self.view[self.starts[which] + 8 * k] & _LOW_BYTES[np.minimum(self.size[which] - 8 * k, 8)]
+
+    def bytes(self, i: int) -> bytes:
+        return self.data[self.starts[i] : self.starts[i] + self.size[i]].tobytes()
+
+    def hashes(self) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            self.first = self.view[self.starts]
+            self.first &= _LOW_BYTES[np.minimum(self.size, 8)]
+            h = self.first * _PIECE[0]
+            h += self.size.astype(U) * _PIECE[9]
+            left = np.flatnonzero(self.size > 8)
+            for k in range(1, _LONG // 8):
+                if not len(left):
+                    break
+                h[left] += self.word(left, k) * _PIECE[k]
+                left = left[self.size[left] > 8 * (k + 1)]
+            for i in left.tolist():
+                h[i] = int.from_bytes(blake2b(self.bytes(i), digest_size=8).digest(), "little")
+        return mix64(h)
+
+    def differ(self, first: np.ndarray, other: Spans, theirs: np.ndarray) -> np.ndarray:
+        """Which spans are not, byte for byte, the spans ``theirs`` of ``other``, whose first words are ``first``."""
+        unlike = self.size != other.size[theirs]
+        unlike |= self.first != first[theirs]
+        left = np.flatnonzero((self.size > 8) & ~unlike)
+        for k in range(1, _LONG // 8):
+            if not len(left):
+                break
+            unlike[left] |= self.word(left, k) != other.word(theirs[left], k)
+            left = left[self.size[left] > 8 * (k + 1)]
+        for i in left.tolist():
+            unlike[i] |= self.bytes(i) != other.bytes(theirs[i])
+        return np.flatnonzero(unlike)
+
+
 class PieceEncoder:
     """Encodes texts with a byte-level BPE tokenizer, each distinct piece of text once.
 
     Such a tokenizer first splits a text and merges bytes only inside the parts, so ids of a text are the
     ids of any cutting at places where it splits anyway.  Those used: between a letter and a following
     ASCII punctuation mark, blank or line feed; before a single blank or line feed that stands between
-    other characters.  The pieces' ids are kept in a hash table that grows with them up to a bound, emptied when full.
+    other characters.  The pieces' bytes and ids are kept in a hash table that grows with them up to a bound, emptied when full.
+    A piece found by its hash is compared byte for byte; one whose hash belongs to another piece is encoded by itself.
     """
 
     MOST = 1_500_000
@@ -260,6 +313,8 @@ class PieceEncoder:
         self.start = np.zeros(1 << 16, np.int32)
         self.size = np.zeros(1 << 16, np.int32)
         self.flat = np.zeros(1 << 18, np.uint32 if self.vocabulary > 1 << 16 else np.uint16)
+        self.text, self.text_at, self.text_used = np.zeros(1 << 18, np.uint8), np.zeros(1 << 16, np.int32), 0
+        self.text_size, self.text_first = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, U)
 
     def _slots(self, n: int) -> None:
         self.keys = np.zeros(n, U)
@@ -314,8 +369,8 @@ class PieceEncoder:
         """The pieces in fewer strings: the first ``words``, each a blank and ASCII letters, are cut apart again by the tokenizer."""
         return ["".join(pieces[i : min(i + 64, words)]) for i in range(0, words, 64)] + pieces[words:]
 
-    def _add(self, h: np.ndarray, pieces: list[str], sizes: np.ndarray, words: int) -> None:
-        """Pieces of ``sizes`` bytes, of which the first ``words`` may be joined."""
+    def _add(self, h: np.ndarray, first: np.ndarray, pieces: list[str], sizes: np.ndarray, words: int) -> None:
+        """Pieces of ``sizes`` bytes and ``first`` words of bytes, of which the first ``words`` may be joined."""
         got = [e.ids for e in self.tokenizer.encode_batch_fast(self._joined(pieces, words), add_special_tokens=False)]
         flat = np.fromiter(itertools.chain.from_iterable(got), self.flat.dtype, sum(map(len, got)))
         ends = np.searchsorted(np.cumsum(self.width[flat]), np.cumsum(sizes), "left") + 1
@@ -323,11 +378,19 @@ class PieceEncoder:
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.count + len(h) > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+            grown = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.text_at, self.text_size, self.text_first))
+            self.start, self.size, self.text_at, self.text_size, self.text_first = grown
+        while self.text_used + int(sizes.sum()) + 8 > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
         self.flat[self.used : self.used + len(flat)] = flat
         own = np.arange(self.count, self.count + len(h), dtype=np.int32)
         self.start[own] = self.used + np.cumsum(size) - size
         self.size[own] = size
+        self.text_at[own] = self.text_used + np.cumsum(sizes) - sizes
+        self.text_size[own], self.text_first[own] = sizes, first
+        known = np.frombuffer("".join(pieces).encode(), np.uint8)
+        self.text[self.text_used : self.text_used + len(known)] = known
+        self.text_used += len(known)
         self.used += len(flat)
         self.count += len(h)
         if 2 * self.count > len(self.keys):
@@ -344,7 +407,8 @@ class PieceEncoder:
             return np.zeros(0, self.flat.dtype), np.zeros(len(offsets), np.int64)
         starts = self.cuts(data, offsets)
         ends = np.append(starts[1:], len(data))
-        h = span_hashes(data, starts, ends)
+        spans = Spans(np.concatenate([data, np.zeros(8, np.uint8)]), starts, ends - starts)
+        h = spans.hashes()
         entry = self._find(h)
         if (missing := np.flatnonzero(entry < 0)).size:
             if self.count + len(missing) > self.MOST and self.count:
@@ -358,11 +422,18 @@ class PieceEncoder:
             for i in range(0, len(at), 4_000):
                 part = at[i : i + 4_000]
                 a, b = starts[part], ends[part]
-                self._add(h[part], [raw[x:y].decode() for x, y in zip(a.tolist(), b.tolist(), strict=True)], b - a, min(max(words - i, 0), len(part)))
+                self._add(h[part], spans.first[part], [raw[x:y].decode() for x, y in zip(a.tolist(), b.tolist(), strict=True)], b - a, min(max(words - i, 0), len(part)))
             entry = self._find(h)
         size = self.size[entry].astype(np.int64)
         done = np.cumsum(size)
         ids = self.flat[np.repeat(self.start[entry] - (done - size), size) + np.arange(done[-1])]
+        other = spans.differ(self.text_first, Spans(self.text, self.text_at, self.text_size), entry)
+        if len(other):  # another piece has the hash: its ids give way
+            cut = np.split(ids, done[:-1])
+            for i in other.tolist():
+                cut[i] = np.array(self.tokenizer.encode(spans.bytes(i).decode(), add_special_tokens=False).ids, self.flat.dtype)
+                size[i] = len(cut[i])
+            ids, done = np.concatenate(cut), np.cumsum(size)
         return ids, np.concatenate([[0], done])[np.searchsorted(starts, offsets)]
 
 
