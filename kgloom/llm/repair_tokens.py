@@ -241,7 +241,7 @@ class Spans:
     def __init__(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> None:
         self.data, self.starts, self.size = data, starts, size
         self.view = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
-        self.first: np.ndarray | None = None
+        self.first = self.second = self.over = np.zeros(0, U)
 
     def word(self, which: np.ndarray | slice, k: int) -> np.ndarray:
         """The k-th eight bytes of spans that have them, zeros beyond their end."""
@@ -256,22 +256,25 @@ class Spans:
             self.first &= _LOW_BYTES[np.minimum(self.size, 8)]
             h = self.first * _PIECE[0]
             h += self.size.astype(U) * _PIECE[9]
-            left = np.flatnonzero(self.size > 8)
-            for k in range(1, _LONG // 8):
+            self.over = left = np.flatnonzero(self.size > 8)
+            self.second = self.word(left, 1)
+            h[left] += self.second * _PIECE[1]
+            for k in range(2, _LONG // 8):
+                left = left[self.size[left] > 8 * k]
                 if not len(left):
                     break
                 h[left] += self.word(left, k) * _PIECE[k]
-                left = left[self.size[left] > 8 * (k + 1)]
-            for i in left.tolist():
+            for i in left[self.size[left] > _LONG].tolist():
                 h[i] = int.from_bytes(blake2b(self.bytes(i), digest_size=8).digest(), "little")
         return mix64(h)
 
-    def differ(self, first: np.ndarray, other: Spans, theirs: np.ndarray) -> np.ndarray:
-        """Which spans are not, byte for byte, the spans ``theirs`` of ``other``, whose first words are ``first``."""
+    def differ(self, first: np.ndarray, second: np.ndarray, other: Spans, theirs: np.ndarray) -> np.ndarray:
+        """Which spans are not, byte for byte, the spans ``theirs`` of ``other``, whose first and second words are given."""
         unlike = self.size != other.size[theirs]
         unlike |= self.first != first[theirs]
-        left = np.flatnonzero((self.size > 8) & ~unlike)
-        for k in range(1, _LONG // 8):
+        unlike[self.over] |= self.second != second[theirs[self.over]]
+        left = self.over[(self.size[self.over] > 16) & ~unlike[self.over]]
+        for k in range(2, _LONG // 8):
             if not len(left):
                 break
             unlike[left] |= self.word(left, k) != other.word(theirs[left], k)
@@ -314,7 +317,7 @@ class PieceEncoder:
         self.size = np.zeros(1 << 16, np.int32)
         self.flat = np.zeros(1 << 18, np.uint32 if self.vocabulary > 1 << 16 else np.uint16)
         self.text, self.text_at, self.text_used = np.zeros(1 << 18, np.uint8), np.zeros(1 << 16, np.int32), 0
-        self.text_size, self.text_first = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, U)
+        self.text_size, self.text_first, self.text_second = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, U), np.zeros(1 << 16, U)
 
     def _slots(self, n: int) -> None:
         self.keys = np.zeros(n, U)
@@ -367,10 +370,10 @@ class PieceEncoder:
     @staticmethod
     def _joined(pieces: list[str], words: int) -> list[str]:
         """The pieces in fewer strings: the first ``words``, each a blank and ASCII letters, are cut apart again by the tokenizer."""
-        return ["".join(pieces[i : min(i + 64, words)]) for i in range(0, words, 64)] + pieces[words:]
+        return ["".join(pieces[i : min(i + 512, words)]) for i in range(0, words, 512)] + pieces[words:]
 
-    def _add(self, h: np.ndarray, first: np.ndarray, pieces: list[str], sizes: np.ndarray, words: int) -> None:
-        """Pieces of ``sizes`` bytes and ``first`` words of bytes, of which the first ``words`` may be joined."""
+    def _add(self, h: np.ndarray, first: np.ndarray, second: np.ndarray, pieces: list[str], sizes: np.ndarray, words: int) -> None:
+        """Pieces of ``sizes`` bytes, the first and second eight of which are given; the first ``words`` of them may be joined."""
         got = [e.ids for e in self.tokenizer.encode_batch_fast(self._joined(pieces, words), add_special_tokens=False)]
         flat = np.fromiter(itertools.chain.from_iterable(got), self.flat.dtype, sum(map(len, got)))
         ends = np.searchsorted(np.cumsum(self.width[flat]), np.cumsum(sizes), "left") + 1
@@ -378,8 +381,8 @@ class PieceEncoder:
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.count + len(h) > len(self.start):
-            grown = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.text_at, self.text_size, self.text_first))
-            self.start, self.size, self.text_at, self.text_size, self.text_first = grown
+            grown = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.text_at, self.text_size, self.text_first, self.text_second))
+            self.start, self.size, self.text_at, self.text_size, self.text_first, self.text_second = grown
         while self.text_used + int(sizes.sum()) + 8 > len(self.text):
             self.text = np.concatenate([self.text, np.zeros_like(self.text)])
         self.flat[self.used : self.used + len(flat)] = flat
@@ -387,7 +390,7 @@ class PieceEncoder:
         self.start[own] = self.used + np.cumsum(size) - size
         self.size[own] = size
         self.text_at[own] = self.text_used + np.cumsum(sizes) - sizes
-        self.text_size[own], self.text_first[own] = sizes, first
+        self.text_size[own], self.text_first[own], self.text_second[own] = sizes, first, second
         known = np.frombuffer("".join(pieces).encode(), np.uint8)
         self.text[self.text_used : self.text_used + len(known)] = known
         self.text_used += len(known)
@@ -419,15 +422,20 @@ class PieceEncoder:
             word = blank_words(data, starts[at], ends[at])
             at = np.concatenate([at[word], at[~word]])
             words, raw = int(word.sum()), data.tobytes()
+            second = np.zeros(len(h), U)
+            second[spans.over] = spans.second
             for i in range(0, len(at), 4_000):
                 part = at[i : i + 4_000]
                 a, b = starts[part], ends[part]
-                self._add(h[part], spans.first[part], [raw[x:y].decode() for x, y in zip(a.tolist(), b.tolist(), strict=True)], b - a, min(max(words - i, 0), len(part)))
-            entry = self._find(h)
+                self._add(h[part], spans.first[part], second[part], [raw[x:y].decode() for x, y in zip(a.tolist(), b.tolist(), strict=True)], b - a, min(max(words - i, 0), len(part)))
+            if len(missing) == len(h):
+                entry = self._find(h)
+            else:
+                entry[missing] = self._find(h[missing])
         size = self.size[entry].astype(np.int64)
         done = np.cumsum(size)
         ids = self.flat[np.repeat(self.start[entry] - (done - size), size) + np.arange(done[-1])]
-        other = spans.differ(self.text_first, Spans(self.text, self.text_at, self.text_size), entry)
+        other = spans.differ(self.text_first, self.text_second, Spans(self.text, self.text_at, self.text_size), entry)
         if len(other):  # another piece has the hash: its ids give way
             cut = np.split(ids, done[:-1])
             for i in other.tolist():
