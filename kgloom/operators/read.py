@@ -30,65 +30,87 @@ def need(kg: KG, name: str) -> int:
 
 def get_entity(kg: KG, name: str) -> DataFrame:
     """name, type, observations of one entity; no row where there is none."""
-    return kg.nested(kg.entities.filter(F.col("name") == name)).select("name", "type", "observations")
+    return kg.nested(*kg.chosen([name])).select("name", "type", "observations")
 
 
 describe_entity = get_entity
 
 
+def _around(kg: KG, rows: DataFrame, ids: list[int] | None) -> tuple[DataFrame, DataFrame]:
+    """Relations from, and relations to, the chosen entities."""
+    if ids is not None:
+        return kg.leaving(ids), kg.entering(ids)
+    own = rows.select("id")
+    return (kg.relations.join(own, F.col(end) == F.col("id"), "left_semi").select("from_id", "to_id", "type") for end in ("from_id", "to_id"))
+
+
 def describe_bundle(kg: KG, name: str) -> DataFrame:
     """An entity with its degree and number of distinct neighbours."""
-    own = kg.entities.filter(F.col("name") == name).select(F.col("id").alias("own"))
-    out = kg.relations.join(own, F.col("from_id") == F.col("own")).select(F.col("to_id").alias("n"))
-    into = kg.relations.join(own, F.col("to_id") == F.col("own")).select(F.col("from_id").alias("n"))
-    degree = out.unionByName(into).agg(F.count(F.lit(1)).alias("degree"), F.countDistinct("n").alias("neighbors"))
-    return get_entity(kg, name).crossJoin(degree)
+    rows, ids = kg.chosen([name])
+    out, into = _around(kg, rows, ids)
+    ends = out.select(F.col("to_id").alias("n")).unionByName(into.select(F.col("from_id").alias("n")))
+    degree = ends.agg(F.count(F.lit(1)).alias("degree"), F.countDistinct("n").alias("neighbors"))
+    return kg.nested(rows, ids).select("name", "type", "observations").crossJoin(degree)
 
 
 def batch_get_entities(kg: KG, names: Sequence[str]) -> DataFrame:
     """pos, name, type, observations in the order asked; type is null where the name is unknown."""
-    asked = _names(kg, names)
-    found = kg.nested(kg.entities.join(F.broadcast(asked.select("name").distinct()), "name", "left_semi"))
-    return asked.join(found.select("name", "type", "observations"), "name", "left").select("pos", "name", "type", "observations").orderBy("pos")
+    found = kg.nested(*kg.chosen(names))
+    return _names(kg, names).join(found.select("name", "type", "observations"), "name", "left").select("pos", "name", "type", "observations").orderBy("pos")
 
 
 def entity_exists(kg: KG, names: Sequence[str]) -> DataFrame:
-    asked = _names(kg, names)
-    hit = kg.entities.join(F.broadcast(asked.select("name").distinct()), "name", "left_semi").select("name", F.lit(True).alias("hit"))
-    return asked.join(hit, "name", "left").select("pos", "name", F.coalesce("hit", F.lit(False)).alias("exists")).orderBy("pos")
+    hit = kg.chosen(names)[0].select("name", F.lit(True).alias("hit")).distinct()
+    return _names(kg, names).join(hit, "name", "left").select("pos", "name", F.coalesce("hit", F.lit(False)).alias("exists")).orderBy("pos")
 
 
 def open_nodes(kg: KG, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """The named entities, and the relations with either end among them."""
-    chosen = kg.entities.join(F.broadcast(_names(kg, names).select("name").distinct()), "name", "left_semi").select("id", "name", "type")
-    ids = chosen.select("id")
-    left = kg.relations.join(ids, F.col("from_id") == F.col("id"), "left_semi")
-    right = kg.relations.join(ids, F.col("to_id") == F.col("id"), "left_semi").join(ids, F.col("from_id") == F.col("id"), "left_anti")
-    return kg.nested(chosen), kg.edges(left.unionByName(right))
+    rows, ids = kg.chosen(names)
+    left, right = _around(kg, rows, ids)
+    if ids is None:
+        right = right.join(rows.select("id"), F.col("from_id") == F.col("id"), "left_anti")
+    else:
+        right = right.filter(~F.col("from_id").isin(*ids))
+    return kg.nested(rows, ids), kg.edges(left.unionByName(right))
 
 
 def search_relations(kg: KG, source: str | None = None, target: str | None = None, relation_type: str | None = None, limit: int = MAX_RELATIONS) -> DataFrame:
     """from, to, relation_type; filters left out or empty do not apply."""
-    r, e = kg.relations, kg.entities
+    r = kg.relations
+    froms, tos = (kg.chosen([x]) if x else (None, None) for x in (source, target))
+    if tos[1] is not None and froms[1] is None:
+        r = kg.entering(tos[1])  # files by to_id
+    for (rows, ids), end in ((froms, "from_id"), (tos, "to_id")):
+        if ids is not None:
+            r = r.filter(F.col(end).isin(*ids))
+        elif rows is not None:
+            r = r.join(rows.select(F.col("id").alias(end)), end, "left_semi")
     if relation_type:
         r = r.filter(F.col("type") == relation_type)
-    if source:
-        r = r.join(e.filter(F.col("name") == source).select(F.col("id").alias("from_id")), "from_id", "left_semi")
-    if target:
-        r = r.join(e.filter(F.col("name") == target).select(F.col("id").alias("to_id")), "to_id", "left_semi")
     # the page is cut before names are looked up: rows without both ends are no relations
     page = r.select("from_id", "to_id", "type").orderBy("from_id", "to_id", "type").limit(min(limit, MAX_RELATIONS))
-    return kg.edges(page).orderBy("from_id", "to_id", "relation_type").select("from", "to", "relation_type")
+    ends = None
+    if kg.layout is not None:  # a page is bounded: its rows come once, and names are looked up by id
+        got = page.collect()
+        page = kg.entities.sparkSession.createDataFrame(got, "from_id long, to_id long, type string")
+        ends = sorted({x for r in got for x in r[:2]})
+    return kg.edges(page, ends).orderBy("from_id", "to_id", "relation_type").select("from", "to", "relation_type")
 
 
 def page_of(kg: KG, entity_type: str | None, offset: int, limit: int) -> DataFrame:
-    e = kg.entities.filter(F.col("type") == entity_type) if entity_type else kg.entities
+    e = kg.name_of(None)
+    e = e.filter(F.col("type") == entity_type) if entity_type else e
     return e.select("id", "name", "type").orderBy("id").offset(offset).limit(limit)
 
 
 def read_graph(kg: KG, entity_type: str | None = None, offset: int = 0, limit: int = MAX_PAGE) -> tuple[DataFrame, DataFrame]:
     """A page of entities by id, and the relations with both ends on it."""
     page = page_of(kg, entity_type, offset, min(limit, MAX_PAGE))
+    if kg.layout is not None:  # at most MAX_PAGE rows
+        got = page.collect()
+        page, few = kg.entities.sparkSession.createDataFrame(got, "id long, name string, type string"), [r["id"] for r in got]
+        return kg.nested(page, few), kg.edges(kg.leaving(few).filter(F.col("to_id").isin(*few)), few)
     ids = page.select("id")
     inside = kg.relations.join(ids, F.col("from_id") == F.col("id"), "left_semi").join(ids, F.col("to_id") == F.col("id"), "left_semi")
     return kg.nested(page), kg.edges(inside)
@@ -135,15 +157,16 @@ def degree(kg: KG, name: str, direction: str = "BOTH") -> DataFrame:
 def degrees(kg: KG, names: Sequence[str], direction: str = "BOTH") -> DataFrame:
     """name, degree of many entities in one plan; unknown names have no row."""
     way = direction_of(direction)
-    own = kg.entities.join(F.broadcast(_names(kg, names).select("name").distinct()), "name", "left_semi").select("id", "name")
+    own, ids = kg.chosen(names)
+    out, into = _around(kg, own, ids)
     ends = []
     if way != "in":
-        ends.append(kg.relations.select(F.col("from_id").alias("id")))
+        ends.append(out.select(F.col("from_id").alias("id")))
     if way != "out":
-        ends.append(kg.relations.select(F.col("to_id").alias("id")))
+        ends.append(into.select(F.col("to_id").alias("id")))
     rows = ends[0] if len(ends) == 1 else ends[0].unionByName(ends[1])
-    counts = rows.join(own.select("id"), "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    return own.join(counts, "id", "left").select("name", F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))
+    counts = rows.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    return own.select("id", "name").join(counts, "id", "left").select("name", F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))
 
 
 def export_graph(kg: KG, max_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import KG, stored
-from .read import _names, direction_of, need
+from .read import direction_of, need
 
 MAX_DEPTH = 16
 MAX_ENTITIES = 500_000
@@ -25,21 +25,38 @@ def _steps(relations: DataFrame, way: str) -> DataFrame:
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+def _steps_of(kg: KG, ids: list[int], way: str) -> DataFrame:
+    """``_steps`` from a few nodes, of a graph with a layout: each direction reads the files sorted by its end."""
+    parts = []
+    if way != "in":
+        parts.append(kg.leaving(ids).select(F.col("from_id").alias("here"), F.col("to_id").alias("there"), "from_id", "to_id", "type"))
+    if way != "out":
+        parts.append(kg.entering(ids).select(F.col("to_id").alias("here"), F.col("from_id").alias("there"), "from_id", "to_id", "type"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def expand(kg: KG, seeds: DataFrame, depth: int, direction: str = "BOTH", relation_type: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Ids within ``depth`` steps of ``seeds`` (id) with their distance, and the relations seen on the way.
 
     Level by level: a relation is seen when one of its ends is expanded.  From the second level on each frontier is
-    written to the shared folder, so plans stay short and a lost executor costs a level.
+    written to the shared folder, so plans stay short and a lost executor costs a level.  A frontier of few nodes reads
+    their relations alone where the graph has a layout.
     """
     if not 0 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth must be 0 to {MAX_DEPTH}")
     relations = kg.relations.filter(F.col("type") == relation_type) if relation_type else kg.relations
-    steps = _steps(relations, direction_of(direction))
+    way = direction_of(direction)
+    steps = _steps(relations, way)
     visited = seeds.select("id", F.lit(0).alias("dist"))
     frontier, seen = seeds.select("id"), None
     for hop in range(1, depth + 1):
-        taken = steps.join(frontier.withColumnRenamed("id", "here"), "here")
-        if hop > 1:
+        ids = kg.few(frontier)
+        if ids is not None:
+            taken = _steps_of(kg, ids, way)
+            taken = taken.filter(F.col("type") == relation_type) if relation_type else taken
+        else:
+            taken = steps.join(frontier.withColumnRenamed("id", "here"), "here")
+        if hop > 1 or kg.layout is not None:
             taken = stored(taken, "hop")
         edges = taken.select("from_id", "to_id", "type")
         seen = edges if seen is None else seen.unionByName(edges)
@@ -53,17 +70,19 @@ def expand(kg: KG, seeds: DataFrame, depth: int, direction: str = "BOTH", relati
     return visited, none if seen is None else seen.distinct()
 
 
+def _shown(kg: KG, ids: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with names; all ends of the edges are among the ids."""
+    few = kg.few(ids)
+    return kg.name_of(few).join(ids, "id").select("id", "name", "type", "dist"), kg.edges(edges, few)
+
+
 def get_neighbors(kg: KG, name: str, direction: str = "BOTH", relation_type: str | None = None, depth: int = 1) -> tuple[DataFrame, DataFrame]:
     """Entities within ``depth`` (the start among them) and relations seen."""
-    start = kg.entities.filter(F.col("name") == name).select("id")
-    ids, edges = expand(kg, start, depth, direction, relation_type)
-    return kg.entities.join(ids, "id").select("id", "name", "type", "dist"), kg.edges(edges)
+    return _shown(kg, *expand(kg, kg.chosen([name])[0].select("id"), depth, direction, relation_type))
 
 
 def extract_subgraph(kg: KG, names: Sequence[str], depth: int = 1) -> tuple[DataFrame, DataFrame]:
-    start = kg.entities.join(F.broadcast(_names(kg, names).select("name").distinct()), "name", "left_semi").select("id")
-    ids, edges = expand(kg, start, depth)
-    return kg.entities.join(ids, "id").select("id", "name", "type", "dist"), kg.edges(edges)
+    return _shown(kg, *expand(kg, kg.chosen(names)[0].select("id"), depth))
 
 
 def ui_expand(kg: KG, name: str, direction: str = "both", depth: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -73,26 +92,52 @@ def ui_expand(kg: KG, name: str, direction: str = "both", depth: int = 1) -> tup
 def _named(kg: KG, paths: DataFrame) -> DataFrame:
     """path_id, pos, name of paths (path_id, path of ids)."""
     flat = paths.select("path_id", F.posexplode("path").alias("pos", "id"))
-    return flat.join(kg.entities.select("id", "name"), "id").select("path_id", "pos", "name").orderBy("path_id", "pos")
+    few = kg.few(flat) if kg.layout is not None else None
+    return flat.join(kg.name_of(few).select("id", "name"), "id").select("path_id", "pos", "name").orderBy("path_id", "pos")
+
+
+def _next(kg: KG, nodes: DataFrame, steps: DataFrame) -> DataFrame:
+    """Neighbours (id) of nodes (id) in either direction."""
+    ids = kg.few(nodes)
+    rows = _steps_of(kg, ids, "both") if ids is not None else steps.join(nodes.withColumnRenamed("id", "here"), "here")
+    return rows.filter("here <> there").select(F.col("there").alias("id")).distinct()
 
 
 def find_path(kg: KG, source: str, target: str) -> DataFrame:
     """pos, name along a shortest undirected path: of those the one of least ids; no row without a path.
 
-    Each level keeps one path for each new node, the least array of ids that leads there.
+    Levels of ids alone grow from both ends, the smaller frontier first, until they meet.  Then the nodes on shortest paths
+    are marked from the meeting back to the source, and the path takes the least marked neighbour at each step.
     """
     a, b = need(kg, source), need(kg, target)
     spark = kg.entities.sparkSession
-    found = spark.createDataFrame([(a, [a])], "id long, path array<long>")
-    visited, steps = found.select("id"), _steps(kg.relations, "both").select("here", "there").filter("here <> there")
-    while (hit := found.filter(F.col("id") == b).select("path").first()) is None:
-        moved = steps.join(found.withColumnRenamed("id", "here"), "here").join(visited.withColumnRenamed("id", "there"), "there", "left_anti")
-        best = moved.groupBy(F.col("there").alias("id")).agg(F.min(F.array_append("path", F.col("there"))).alias("path"))
-        found = stored(best, "level")
-        if found.isEmpty():
+    one = lambda x: spark.createDataFrame([(x,)], "id long")
+    named = lambda path: _named(kg, spark.createDataFrame([(0, path)], "path_id int, path array<long>")).select("pos", "name")
+    if a == b:
+        return named([a])
+    steps = _steps(kg.relations, "both")
+    levels, sizes = ([one(a)], [one(b)]), [1, 1]
+    while True:
+        side = 0 if sizes[0] <= sizes[1] else 1
+        own, other = levels[side], levels[1 - side]
+        # a level's neighbours are in it, beside it, or in the next one
+        fresh = _next(kg, own[-1], steps)
+        for known in own[-2:]:
+            fresh = fresh.join(known, "id", "left_anti")
+        own.append(stored(fresh, "level"))
+        sizes[side] = own[-1].count()
+        if not sizes[side]:
             return spark.createDataFrame([], "pos int, name string")
-        visited = visited.unionByName(found.select("id"))
-    return _named(kg, spark.createDataFrame([(0, hit["path"])], "path_id int, path array<long>")).select("pos", "name")
+        meet = own[-1].join(other[-1], "id", "left_semi")
+        if not meet.isEmpty():
+            break
+    ways = [stored(meet, "level")]
+    for level in levels[0][-2:0:-1]:
+        ways.append(stored(level.join(_next(kg, ways[-1], steps), "id", "left_semi"), "level"))
+    path = [a]
+    for level in (*(reversed(ways) if len(levels[0]) > 1 else ()), *levels[1][-2::-1]):
+        path.append(_next(kg, one(path[-1]), steps).join(level, "id", "left_semi").agg(F.min("id")).first()[0])
+    return named(path)
 
 
 def find_all_paths(kg: KG, source: str, target: str, max_depth: int = 6, max_paths: int = 50, distinct: bool = False) -> DataFrame:
@@ -108,12 +153,15 @@ def find_all_paths(kg: KG, source: str, target: str, max_depth: int = 6, max_pat
     schema = "id long, path array<long>"
     if a == b:
         return _named(kg, spark.createDataFrame([(0, [a])], "path_id int, path array<long>"))
-    steps = _steps(kg.relations, "both").select("here", "there").filter("here <> there")
-    steps = stored(steps.distinct() if distinct else steps, "steps")
+    every = _steps(kg.relations, "both") if kg.layout is not None else stored(_steps(kg.relations, "both"), "steps")
 
     def grown(half: DataFrame, other: int, first: bool) -> DataFrame:
         """One step more; a path that holds the other end is complete and grows no further."""
-        moved = half.filter(F.col("id") != other).join(steps, F.col("id") == F.col("here")).filter(~F.array_contains("path", F.col("there")))
+        half = half.filter(F.col("id") != other)
+        ids = kg.few(half.select("id").distinct())
+        steps = (every if ids is None else _steps_of(kg, ids, "both")).select("here", "there").filter("here <> there")
+        steps = steps.distinct() if distinct else steps
+        moved = half.join(steps, F.col("id") == F.col("here")).filter(~F.array_contains("path", F.col("there")))
         step = F.array("there")
         return stored(moved.select(F.col("there").alias("id"), (F.concat("path", step) if first else F.concat(step, "path")).alias("path")), "paths")
 

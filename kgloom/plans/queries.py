@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import code as code_ops
 from ..operators import ivf, read, text, traverse, turboquant, vector, write
 from ..sources.store import KG
-from ..sources.tables import DOCUMENT_SQL, GRAPH_SQL, canonical, document_graph, table
+from ..sources.tables import DOCUMENT_SQL, GRAPH_SQL, canonical, document_graph, indexed, laid_out, table
 from ..streaming.watch import quiet_sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,7 +52,7 @@ _EDGES = "X AS (SELECT R.from_id, R.to_id, f.name AS \"from\", t.name AS \"to\",
 
 @query(f"{_NESTED} SELECT name, type AS entity_type, coalesce(obs, '') AS observations FROM E LEFT JOIN N ON N.entity_id = E.id WHERE name = 'part:77'")
 def get_entity(spark, d):
-    return _flat(read.get_entity(canonical(spark, d), "part:77"))
+    return _flat(read.get_entity(laid_out(spark, d), "part:77"))
 
 
 @query(f"""{_NESTED} SELECT e.name, e.type AS entity_type, coalesce(obs, '') AS observations,
@@ -60,7 +60,7 @@ def get_entity(spark, d):
     (SELECT count(DISTINCT n) FROM (SELECT to_id AS n FROM R WHERE from_id = 100 + 7 UNION ALL SELECT from_id FROM R WHERE to_id = 100 + 7)) AS neighbors
     FROM E e LEFT JOIN N ON N.entity_id = e.id WHERE e.name = 'nation:7'""")
 def describe_entity(spark, d):
-    df = read.describe_bundle(canonical(spark, d), "nation:7")
+    df = read.describe_bundle(laid_out(spark, d), "nation:7")
     return df.select("name", F.col("type").alias("entity_type"), F.array_join("observations", " | ").alias("observations"), "degree", "neighbors")
 
 
@@ -70,24 +70,24 @@ _ASKED = "A AS (SELECT unnest(generate_series(0, 6)) AS pos, unnest(['customer:5
 
 @query(f"{_NESTED}, {_ASKED} SELECT A.pos, A.name, E.type AS entity_type, CASE WHEN E.id IS NULL THEN NULL ELSE coalesce(obs, '') END AS observations FROM A LEFT JOIN E USING (name) LEFT JOIN N ON N.entity_id = E.id")
 def batch_get_entities(spark, d):
-    return _flat(read.batch_get_entities(canonical(spark, d), BATCH), "pos")
+    return _flat(read.batch_get_entities(laid_out(spark, d), BATCH), "pos")
 
 
 @query(f"{_ASKED} SELECT pos, name, name IN (SELECT name FROM E) AS \"exists\" FROM A")
 def entity_exists(spark, d):
-    return read.entity_exists(canonical(spark, d), BATCH)
+    return read.entity_exists(laid_out(spark, d), BATCH)
 
 
 @query(f"""{_NESTED}, {_EDGES}, C AS (SELECT id, name, type FROM E WHERE name IN ('nation:3', 'region:1', 'supplier:7'))
     SELECT 'entity' AS section, name AS a, type AS b, coalesce(obs, '') AS c FROM C LEFT JOIN N ON N.entity_id = C.id
     UNION ALL SELECT 'relation', "from", relation_type, "to" FROM X WHERE from_id IN (SELECT id FROM C) OR to_id IN (SELECT id FROM C)""")
 def open_nodes(spark, d):
-    return _page(*read.open_nodes(canonical(spark, d), ["nation:3", "region:1", "supplier:7", "nope"]))
+    return _page(*read.open_nodes(laid_out(spark, d), ["nation:3", "region:1", "supplier:7", "nope"]))
 
 
 def _relations(name: str, where: str, **args: str) -> None:
     def f(spark, d):
-        return read.search_relations(canonical(spark, d), **args)
+        return read.search_relations(laid_out(spark, d), **args)
 
     f.__name__ = f"search_relations_{name}"
     query(f'{_EDGES} SELECT "from", "to", relation_type FROM X WHERE {where} ORDER BY from_id, to_id, relation_type LIMIT 1000')(f)
@@ -111,23 +111,23 @@ _PAGE = """{nested}, {edges}, P AS (SELECT id, name, type FROM E {where} ORDER B
 
 @query(_PAGE.format(nested=_NESTED, edges=_EDGES, where="", limit=300, offset=2))
 def read_graph_page(spark, d):
-    return _page(*read.read_graph(canonical(spark, d), None, 2, 300))
+    return _page(*read.read_graph(laid_out(spark, d), None, 2, 300))
 
 
 @query(_PAGE.format(nested=_NESTED, edges=_EDGES, where="WHERE type = 'customer'", limit=1000, offset=10))
 def read_graph_by_type(spark, d):
-    return _page(*read.read_graph(canonical(spark, d), "customer", 10, 5000))
+    return _page(*read.read_graph(laid_out(spark, d), "customer", 10, 5000))
 
 
 @query("""P AS (SELECT * FROM E WHERE type = 'part' ORDER BY id LIMIT 50 OFFSET 100)
     SELECT id, name, type, (SELECT count(*) FROM O WHERE entity_id = P.id) AS obs_count, (SELECT count(*) FROM E WHERE type = 'part') > 150 AS has_more FROM P""")
 def ui_graph_page(spark, d):
-    return read.ui_graph(canonical(spark, d), "part", 100, 50)
+    return read.ui_graph(laid_out(spark, d), "part", 100, 50)
 
 
 @query(f"{_NESTED} SELECT name, type AS entity_type, coalesce(obs, '') AS observations FROM E LEFT JOIN N ON N.entity_id = E.id WHERE name = 'customer:12'")
 def ui_node(spark, d):
-    return _flat(read.get_entity(canonical(spark, d), "customer:12"))
+    return _flat(read.get_entity(laid_out(spark, d), "customer:12"))
 
 
 # --- statistics -------------------------------------------------------------------------------------
@@ -135,27 +135,27 @@ def ui_node(spark, d):
 
 @query("SELECT (SELECT count(*) FROM E) AS entities, (SELECT count(*) FROM R) AS relations, (SELECT count(*) FROM O) AS observations")
 def graph_stats(spark, d):
-    return read.graph_stats(canonical(spark, d))
+    return read.graph_stats(laid_out(spark, d))
 
 
 @query("SELECT type, count(*) AS count FROM E GROUP BY type")
 def list_entity_types(spark, d):
-    return read.list_entity_types(canonical(spark, d))
+    return read.list_entity_types(laid_out(spark, d))
 
 
 @query("SELECT type, count(*) AS count FROM R GROUP BY type")
 def list_relation_types(spark, d):
-    return read.list_relation_types(canonical(spark, d))
+    return read.list_relation_types(laid_out(spark, d))
 
 
 @query("SELECT 'entity' AS kind, type, count(*) AS count FROM E GROUP BY type UNION ALL SELECT 'relation', type, count(*) FROM R GROUP BY type")
 def ui_meta(spark, d):
-    return read.ui_meta(canonical(spark, d))
+    return read.ui_meta(laid_out(spark, d))
 
 
 def _degree(way: str, sql: str) -> None:
     def f(spark, d):
-        return read.degrees(canonical(spark, d), ["part:9", "nation:3", "region:0", "vec:1"], way)
+        return read.degrees(laid_out(spark, d), ["part:9", "nation:3", "region:0", "vec:1"], way)
 
     f.__name__ = f"degree_{way}"
     query(f"SELECT name, {sql} AS degree FROM E WHERE name IN ('part:9', 'nation:3', 'region:0', 'vec:1')")(f)
@@ -169,7 +169,7 @@ _degree("both", "(SELECT count(*) FROM R WHERE from_id = E.id) + (SELECT count(*
 @query("SELECT type, count(*) AS entities, sum(deg) AS degree, max(deg) AS most FROM (SELECT E.type, coalesce(n, 0) AS deg FROM E LEFT JOIN (SELECT i, count(*) AS n FROM (SELECT from_id AS i FROM R UNION ALL SELECT to_id FROM R) GROUP BY i) ON i = E.id) GROUP BY type")
 def degree_by_type(spark, d):
     """Degrees of all entities in one plan."""
-    kg = canonical(spark, d)
+    kg = laid_out(spark, d)
     ends = kg.relations.select(F.col("from_id").alias("id")).unionByName(kg.relations.select(F.col("to_id").alias("id")))
     counts = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     deg = kg.entities.join(counts, "id", "left").select("type", F.coalesce("n", F.lit(0).cast("long")).alias("deg"))
@@ -222,7 +222,7 @@ def _search_sql(counts: list[str], match: str, offset: int, limit: int, where: s
 
 def _search(name: str, words: str, sql: str, graph=GRAPH_SQL, **args) -> None:
     def f(spark, d):
-        kg = canonical(spark, d) if graph is GRAPH_SQL else document_graph(spark, d)
+        kg = indexed(spark, d) if graph is GRAPH_SQL else indexed(spark, d, document_graph)
         return _flat(text.search_nodes(kg, words, **args), "rank")
 
     f.__name__ = f"search_nodes_{name}"
@@ -238,6 +238,21 @@ _search("phrase", '"of the"', _search_sql([_pair("of", "the")], "tf0 > 0", 0, 20
 _search("boolean", "(und OR les) NOT der", _search_sql([_word("und"), _word("les"), _word("der")], "(tf0 > 0 OR tf1 > 0) AND NOT tf2 > 0", 0, 20))
 _search("joined", "order_12", _search_sql([_pair("order", "12")], "tf0 > 0", 0, 20))
 _search("folded", "À", _search_sql([_word("a")], "tf0 > 0", 0, 20), graph=DOCUMENT_SQL)
+_search("initial", '^doc + 7', _search_sql([f"CAST(len(t) > 1 AND t[1] = 'doc' AND t[2] = '7' AS INT)"], "tf0 > 0", 0, 20))
+
+
+def _near_sql(a: str, b: str, most: int) -> str:
+    """Occurrences of ``a`` that have a ``b`` with at most ``most`` tokens between."""
+    apart = lambda p, q: f"abs({q} - {p}) BETWEEN 0 AND {most + 1}"
+    places = f"list_filter(generate_series(1, len(t)), lambda q: t[q] = '{b}')"
+    return f"len(list_filter(generate_series(1, len(t)), lambda p: t[p] = '{a}' AND len(list_filter({places}, lambda q: {apart('p', 'q')})) > 0))"
+
+
+_search("near", "NEAR(the und, 3)", _search_sql([_near_sql("the", "und", 3), _near_sql("und", "the", 3)], "tf0 > 0", 0, 200), limit=200)
+_search("near_default", "NEAR(order 7) OR NEAR(of with)", _search_sql([_near_sql("order", "7", 10), _near_sql("7", "order", 10), _near_sql("of", "with", 10), _near_sql("with", "of", 10)], "tf0 > 0 OR tf2 > 0", 0, 60), limit=60)
+# a column that a source doesn't have leaves only the other one
+_search("column_body", "body : the", _search_sql([_word("the")], "tf0 > 0", 0, 30).replace("L1 AS (SELECT entity_id, score FROM", "L1 AS (SELECT entity_id, score FROM (SELECT * FROM").replace("WHERE tf0 > 0) ORDER BY score DESC", "WHERE tf0 > 0) WHERE false) ORDER BY score DESC"), limit=30)
+_search("column_name", "name : (nation OR region)", _search_sql([_word("nation"), _word("region")], "tf0 > 0 OR tf1 > 0", 0, 30).replace("L2 AS (SELECT DISTINCT entity_id FROM (", "L2 AS (SELECT DISTINCT entity_id FROM (SELECT * FROM (").replace("WHERE tf0 > 0 OR tf1 > 0) ORDER BY entity_id LIMIT", "WHERE tf0 > 0 OR tf1 > 0) WHERE false) ORDER BY entity_id LIMIT"), limit=30)
 
 
 @query(f"""{_LEGS},
@@ -247,13 +262,12 @@ _search("folded", "À", _search_sql([_word("a")], "tf0 > 0", 0, 20), graph=DOCUM
     K AS (SELECT entity_id, row_number() OVER (ORDER BY leg, k, entity_id) AS rank FROM C)
     SELECT rank, name, type, (SELECT count(*) FROM O WHERE entity_id = E.id) AS obs_count, (SELECT count(*) FROM K WHERE rank <= 11) > 10 AS has_more FROM K JOIN E ON E.id = K.entity_id WHERE rank <= 10""")
 def ui_search_page(spark, d):
-    return text.ui_search(canonical(spark, d), "customer:14", 10)
+    return text.ui_search(indexed(spark, d), "customer:14", 10)
 
 
 @query(f"SELECT term, count(DISTINCT name) AS documents, count(*) AS occurrences FROM (SELECT name, unnest({_TOKENS.format('body')}) AS term FROM O JOIN E ON E.id = O.entity_id) GROUP BY term", DOCUMENT_SQL)
 def postings_terms(spark, d):
-    inverted = text.postings(text.observation_documents(document_graph(spark, d)))
-    return inverted.groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("positions")).alias("occurrences"))
+    return indexed(spark, d, document_graph).text.terms("body")
 
 
 # --- traversal --------------------------------------------------------------------------------------
@@ -271,7 +285,7 @@ def _reach_sql(seeds: str, depth: int, way: str = "both", kind: str | None = Non
 
 def _near(name: str, start: str, depth: int, way: str = "both", kind: str | None = None, f=traverse.get_neighbors) -> None:
     def g(spark, d):
-        return _seen(*traverse.get_neighbors(canonical(spark, d), start, way, kind, depth))
+        return _seen(*traverse.get_neighbors(laid_out(spark, d), start, way, kind, depth))
 
     g.__name__ = name
     query(_reach_sql(f"'{start}'", depth, way, kind))(g)
@@ -287,12 +301,12 @@ _near("neighbors_outgoing", "part:4", 3, "out")
 
 @query(_reach_sql("'part:3', 'part:4', 'customer:8'", 1))
 def extract_subgraph(spark, d):
-    return _seen(*traverse.extract_subgraph(canonical(spark, d), ["part:3", "part:4", "customer:8", "nope"], 1))
+    return _seen(*traverse.extract_subgraph(laid_out(spark, d), ["part:3", "part:4", "customer:8", "nope"], 1))
 
 
 @query(_reach_sql("'customer:3'", 2))
 def ui_expand(spark, d):
-    return _seen(*traverse.ui_expand(canonical(spark, d), "customer:3", "both", 2))
+    return _seen(*traverse.ui_expand(laid_out(spark, d), "customer:3", "both", 2))
 
 
 _STEPS = "S AS MATERIALIZED (SELECT from_id AS h, to_id AS t FROM R WHERE from_id <> to_id UNION ALL SELECT to_id, from_id FROM R WHERE from_id <> to_id)"
@@ -306,12 +320,12 @@ _STEPS = "S AS MATERIALIZED (SELECT from_id AS h, to_id AS t FROM R WHERE from_i
     Z AS (SELECT min(path) AS path FROM P WHERE dist = 0)
     SELECT u.pos - 1 AS pos, E.name FROM (SELECT unnest(path) AS id, unnest(generate_series(1, len(path))) AS pos FROM Z) u JOIN E ON E.id = u.id""")
 def find_path(spark, d):
-    return traverse.find_path(canonical(spark, d), "part:17", "region:3")
+    return traverse.find_path(laid_out(spark, d), "part:17", "region:3")
 
 
 @query()
 def find_all_paths(spark, d):
-    return traverse.find_all_paths(canonical(spark, d), "part:17", "region:3")
+    return traverse.find_all_paths(laid_out(spark, d), "part:17", "region:3")
 
 
 # --- writes -----------------------------------------------------------------------------------------
@@ -427,7 +441,7 @@ def _vector7(spark, d) -> list[float]:
 
 def _knn(metric: str) -> None:
     def f(spark, d):
-        return vector.search_entities(canonical(spark, d), _vector7(spark, d), 25, None, metric)
+        return vector.search_entities(laid_out(spark, d), _vector7(spark, d), 25, None, metric)
 
     f.__name__ = f"vector_search_{metric}"
     query(f"{_VEC}, K AS (SELECT entity_id, {_DIST[metric]} AS score FROM V, Q ORDER BY score, entity_id LIMIT 25) SELECT name, type, score FROM K JOIN E ON E.id = K.entity_id")(f)
@@ -439,19 +453,19 @@ for _metric in _DIST:
 
 @query(f"{_VEC}, K AS (SELECT entity_id, {_DIST['cos']} AS score FROM V, Q ORDER BY score, entity_id LIMIT 60) SELECT name, type, score FROM K JOIN E ON E.id = K.entity_id WHERE type = 'label:3'")
 def vector_search_typed(spark, d):
-    return vector.search_entities(canonical(spark, d), _vector7(spark, d), 60, "label:3")
+    return vector.search_entities(laid_out(spark, d), _vector7(spark, d), 60, "label:3")
 
 
 @query(f"{_VEC}, K AS (SELECT entity_id, {_DIST['cos']} AS score FROM V, Q ORDER BY score, entity_id LIMIT 46) SELECT name, type, score FROM K JOIN E ON E.id = K.entity_id WHERE name <> 'vec:7' ORDER BY score, id LIMIT 15")
 def vector_search_by_entity(spark, d):
-    return vector.search_by_entity(canonical(spark, d), "vec:7", 15)
+    return vector.search_by_entity(laid_out(spark, d), "vec:7", 15)
 
 
 @query("""SELECT query_id, entity_id, score, rank FROM (SELECT a.entity_id AS query_id, b.entity_id, round(list_cosine_distance(a.embedding, b.embedding), 6) AS score,
     row_number() OVER (PARTITION BY a.entity_id ORDER BY round(list_cosine_distance(a.embedding, b.embedding), 6), b.entity_id) AS rank FROM V a, V b WHERE (a.entity_id - 60000000) % 20 = 0) WHERE rank <= 5""")
 def vector_search_batch(spark, d):
     """Every 20th vector as a query against all."""
-    v = canonical(spark, d).embeddings
+    v = laid_out(spark, d).embeddings
     queries = v.filter("(entity_id - 60000000) % 20 = 0").select(F.col("entity_id").alias("query_id"), "embedding")
     return vector.knn_batch(v, queries, 5)
 
@@ -460,7 +474,7 @@ def vector_search_batch(spark, d):
     Q AS (SELECT CAST(CAST(list(x ORDER BY i) AS FLOAT[]) AS DOUBLE[]) AS q FROM M), K AS (SELECT entity_id, round(list_cosine_distance(embedding, q), 6) AS score FROM V, Q ORDER BY score, entity_id LIMIT 34)
     SELECT name, type, score FROM K JOIN E ON E.id = K.entity_id WHERE name NOT IN ('vec:1', 'vec:2', 'vec:3', 'vec:9') ORDER BY score, id LIMIT 10""")
 def vector_recommend(spark, d):
-    return vector.recommend(canonical(spark, d), ["vec:1", "vec:2", "vec:3"], ["vec:9"], 10)
+    return vector.recommend(laid_out(spark, d), ["vec:1", "vec:2", "vec:3"], ["vec:9"], 10)
 
 
 _POOL = f"""{_VEC}, K AS (SELECT V.entity_id AS id, embedding, list_cosine_similarity(embedding, q) AS rel, {_DIST['cos']} AS score FROM V, Q ORDER BY score, id LIMIT 20),
@@ -472,7 +486,7 @@ _POOL = f"""{_VEC}, K AS (SELECT V.entity_id AS id, embedding, list_cosine_simil
 
 @query(_POOL)
 def vector_mmr_search(spark, d):
-    return vector.mmr_search(canonical(spark, d), _vector7(spark, d), 3)
+    return vector.mmr_search(laid_out(spark, d), _vector7(spark, d), 3)
 
 
 def _hybrid_sql(boost: bool) -> str:
@@ -490,12 +504,12 @@ def _hybrid_sql(boost: bool) -> str:
 
 @query(_hybrid_sql(False), DOCUMENT_SQL)
 def hybrid_search(spark, d):
-    return vector.hybrid_search(document_graph(spark, d), "the of", _vector7(spark, d))
+    return vector.hybrid_search(indexed(spark, d, document_graph), "the of", _vector7(spark, d))
 
 
 @query(_hybrid_sql(True), DOCUMENT_SQL)
 def hybrid_search_boosted(spark, d):
-    return vector.hybrid_search(document_graph(spark, d), "the of", _vector7(spark, d), boost=True)
+    return vector.hybrid_search(indexed(spark, d, document_graph), "the of", _vector7(spark, d), boost=True)
 
 
 def _items(spark, d) -> DataFrame:
@@ -522,7 +536,7 @@ def vector_upsert_embedding(spark, d):
 @query("SELECT concat('vec:', vec_id) AS name, len(embedding)::INTEGER AS dims, '' AS model, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings WHERE vec_id = 11", None)
 def vector_get_embedding(spark, d):
     total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
-    return vector.get_embedding(canonical(spark, d), "vec:11").select("name", "dims", "model", F.round(total, 6).alias("total"))
+    return vector.get_embedding(laid_out(spark, d), "vec:11").select("name", "dims", "model", F.round(total, 6).alias("total"))
 
 
 @query("SELECT count(*) AS left_, sum(vec_id) AS ids FROM embeddings WHERE vec_id <> 11", None)
@@ -533,7 +547,7 @@ def vector_delete_embedding(spark, d):
 
 @query("SELECT count(*) AS embeddings, max(len(embedding))::INTEGER AS dims, count(*) * max(len(embedding)) * 4 AS bytes, 'exact' AS index_kind FROM embeddings", None)
 def vector_store_stats(spark, d):
-    return vector.store_stats(canonical(spark, d))
+    return vector.store_stats(laid_out(spark, d))
 
 
 @query("SELECT (SELECT count(*) FROM V) AS nodes, (SELECT count(*) FROM (SELECT DISTINCT from_id, to_id FROM R WHERE from_id IN (SELECT entity_id FROM V) AND to_id IN (SELECT entity_id FROM V))) AS edges", DOCUMENT_SQL)
@@ -543,28 +557,28 @@ def graph_cache_stats(spark, d):
 
 @query(f"{_VEC} SELECT entity_id, {_DIST['l2sq']} AS score FROM V, Q ORDER BY score, entity_id LIMIT 20")
 def ivf_search_exhaustive(spark, d):
-    index = ivf.train(canonical(spark, d).embeddings, 16, "l2sq")
+    index = ivf.train(laid_out(spark, d).embeddings, 16, "l2sq")
     return index.search(_vector7(spark, d), 20, 16)
 
 
 @query()
 def ivf_search_probed(spark, d):
     """Every vector whose id is divisible by 20 against all, in the 12 nearest of 16 cells."""
-    vectors = canonical(spark, d).embeddings
+    vectors = laid_out(spark, d).embeddings
     asked = vectors.filter("entity_id % 20 = 0").select(F.col("entity_id").alias("query_id"), "embedding")
     return ivf.train(vectors, 16, "cos").search_many(asked, 20, 12)
 
 
 @query("SELECT 'ivf' AS index_kind, count(*) AS embeddings, least(16, count(*)) AS cells FROM embeddings", None)
 def vector_reindex(spark, d):
-    index = ivf.train(canonical(spark, d).embeddings, 16, "cos")
+    index = ivf.train(laid_out(spark, d).embeddings, 16, "cos")
     return index.cells.agg(F.lit("ivf").alias("index_kind"), F.count(F.lit(1)).alias("embeddings"), F.lit(len(index.centroids)).cast("long").alias("cells"))
 
 
 @query()
 def turboquant_search(spark, d):
     q = turboquant.Quantizer(64, 4)
-    return turboquant.search(turboquant.quantize(canonical(spark, d).embeddings, q), q, _vector7(spark, d), 20)
+    return turboquant.search(turboquant.quantize(laid_out(spark, d).embeddings, q), q, _vector7(spark, d), 20)
 
 
 # --- code and streams -------------------------------------------------------------------------------

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import KG
+from .inverted import build_text_index
+from .store import KG, lay_out, shared_dir
 
 #: table, key column, id offset, name prefix, type (SQL expression), observation columns
 NODES = (
@@ -69,6 +71,39 @@ def canonical(spark: SparkSession, sf_dir: str, tables: set[str] | None = None)
     return KG(_union(e), _union(o) if o else none, _union(r) if r else spark.createDataFrame([], "from_id long, to_id long, type string"), v)
 
 
+_LAID: dict[tuple, KG] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, lengths and times of the files behind a folder's tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out, names = [], {n for n, *_ in NODES} | {t for t, *_ in EDGES}
+    for s in fs.listStatus(path):
+        if s.getPath().getName().removesuffix(".parquet") in names:
+            parts = fs.listStatus(s.getPath()) if s.isDirectory() else [s]
+            out += [(p.getPath().toString(), p.getLen(), p.getModificationTime()) for p in parts]
+    return tuple(sorted(out))
+
+
+def laid_out(spark: SparkSession, sf_dir: str, make=None) -> KG:
+    """``canonical`` (or the graph that ``make`` gives) written with a layout, once a session while its tables stay the same."""
+    make = make or canonical
+    key = (f"{spark.sparkContext.applicationId} {id(spark)}", make.__name__, _state(spark, sf_dir))
+    if key not in _LAID:
+        _LAID[key] = lay_out(make(spark, sf_dir), f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}")
+    return _LAID[key]
+
+
+def indexed(spark: SparkSession, sf_dir: str, make=None) -> KG:
+    """``laid_out`` with a text index, built once too."""
+    kg = laid_out(spark, sf_dir, make)
+    key = next(k for k, v in _LAID.items() if v is kg)
+    if kg.text is None:
+        kg = _LAID[key] = kg.with_(text=build_text_index(kg, f"{shared_dir(spark)}/text-{uuid.uuid4().hex}"))
+    return kg
+
+
 def document_graph(spark: SparkSession, sf_dir: str) -> KG:
     """Documents with the vector of the same number, each citing the ones at half and a third of its number."""
     docs = table(spark, sf_dir, "documents")

@@ -6,46 +6,93 @@ from kgloom.operators import ivf, turboquant, vector
 from kgloom.sources.store import build
 
 
-@pytest.fixture(scope="module")
-def store(spark):
-    v = {"ash": [0, 0, 1, 0], "birch": [0, 0.2, 0.95, 0], "cedar": [0, 1, 0, 0], "dill": [0, 0.28, 0.9, 0]}
-    return build(spark, [(n, "doc", []) for n in v], [("ash", "birch", "e")], v)
-
-
 def found(df):
     return [r["name"] for r in df.collect()]
 
 
-def test_search(store):
-    assert found(vector.search_entities(store, [0, 0, 1, 0], 2)) == ["ash", "birch"]
-    assert found(vector.search_by_entity(store, "ash", 2)) == ["birch", "dill"]
-    assert found(vector.recommend(store, ["ash", "birch"], [], 1)) == ["dill"]
-    with pytest.raises(ValueError):
-        vector.recommend(store, [])
-    assert set(found(vector.mmr_search(store, [0, 0, 1, 0], 2, weight=1.0))) == {"ash", "birch"}
-    assert "cedar" in found(vector.mmr_search(store, [0, 0, 1, 0], 2, weight=0.2))
-    assert vector.graph_cache_stats(store).first()[:] == (4, 1)
+class Drawn:
+    """Seeded vectors of named entities, and exact answers by NumPy."""
+
+    def __init__(self, spark, seed=4, n=40, dims=6):
+        rng = np.random.default_rng(seed)
+        self.v = np.round(rng.standard_normal((n, dims)), 3).astype(np.float32).astype(np.float64)
+        self.names, self.kinds = [f"v{i:02d}" for i in range(n)], [f"k{i % 3}" for i in range(n)]
+        self.kg = build(spark, [(a, t, []) for a, t in zip(self.names, self.kinds, strict=True)], [("v00", "v01", "e"), ("v00", "v01", "f"), ("v02", "v00", "e")], dict(zip(self.names, self.v.tolist(), strict=True)))
+
+    def distances(self, q, metric):
+        ip = self.v @ q
+        if metric == "ip":
+            return np.round(1 - ip, 6)
+        if metric == "l2sq":
+            return np.round(((self.v - q) ** 2).sum(1), 6)
+        return np.round(1 - ip / np.linalg.norm(self.v, axis=1) / np.linalg.norm(q), 6)
+
+    def order(self, q, metric="cos"):
+        return np.lexsort((np.arange(len(self.v)), self.distances(np.asarray(q), metric)))
+
+
+@pytest.fixture(scope="module")
+def store(spark):
+    return Drawn(spark)
+
+
+@pytest.mark.parametrize("metric", ["cos", "ip", "l2sq"])
+def test_search(store, metric):
+    q = store.v[3] + 0.05
+    got = vector.search_entities(store.kg, q.tolist(), 7, None, metric).collect()
+    order = store.order(np.float32(q).astype(np.float64), metric)
+    assert [r["name"] for r in got] == [store.names[i] for i in order[:7]]
+    assert found(vector.search_entities(store.kg, q.tolist(), 9, "k1", metric)) == [store.names[i] for i in order[:9] if i % 3 == 1]
+
+
+def test_examples(store):
+    others = lambda q, gone, k: [store.names[i] for i in store.order(q) if i not in gone][:k]
+    assert found(vector.search_by_entity(store.kg, "v05", 4)) == others(store.v[5], {5}, 4)
+    assert found(vector.search_by_entity(store.kg, "v05", 4, exclude_self=False))[0] == "v05"
+    mean = store.v[[1, 2, 2]].mean(0)
+    assert found(vector.recommend(store.kg, ["v01", "v02", "v02"], [], 3)) == others(mean, {1, 2}, 3)
+    away = store.v[[1, 2]].mean(0) - store.v[9]
+    assert found(vector.recommend(store.kg, ["v01", "v02"], ["v09"], 3)) == others(away, {1, 2, 9}, 3)
+    for bad in ([], ["nobody"]):
+        with pytest.raises(ValueError):
+            vector.recommend(store.kg, bad)
+    assert vector.graph_cache_stats(store.kg).first()[:] == (40, 2)
     for bad in ([], [float("nan")], ["x"], [0.0] * 5000):
         with pytest.raises(ValueError):
             vector.parse_embedding(bad)
 
 
+@pytest.mark.parametrize("weight", [1.0, 0.6, 0.2])
+def test_mmr(store, weight):
+    """Greedy choice over the exact pool, one candidate at a time."""
+    q, k, pool = store.v[7], 5, 20
+    unit = store.v / np.linalg.norm(store.v, axis=1)[:, None]
+    left, chosen = [int(i) for i in store.order(q)[:pool]], []
+    while len(chosen) < k:
+        value = lambda i: round(weight * float(unit[i] @ q / np.linalg.norm(q)) - (1 - weight) * max([0.0, *(float(unit[i] @ unit[j]) for j in chosen)]), 9)  # noqa: B023, E731
+        best = max(left, key=lambda i: (value(i), -left.index(i)))
+        left.remove(best)
+        chosen.append(best)
+    assert found(vector.mmr_search(store.kg, q.tolist(), k, pool, weight)) == [store.names[i] for i in chosen]
+
+
 def test_upserts(spark, store):
-    items = spark.createDataFrame([(0, "ash", [0.0, 0.0, 0.0, 1.0], ""), (1, "ghost", [1.0, 0.0, 0.0, 0.0], ""), (2, "birch", [1.0], "")], "pos long, name string, embedding array<float>, model string")
-    grown, outcome = vector.batch_upsert(store, items, 4)
-    assert [r["error"] for r in outcome.orderBy("pos").collect()] == [None, "unknown entity", "wrong dimensions"]
-    assert grown.embeddings.count() == 4
-    assert vector.get_embedding(grown, "ash").first()["embedding"] == [0, 0, 0, 1]
-    assert vector.delete_embedding(grown, "ash")[1] and not vector.delete_embedding(grown, "ghost")[1]
+    fresh, n = np.arange(6.0), len(store.v)
+    rows = [(0, "v03", fresh.tolist(), ""), (1, "ghost", fresh.tolist(), ""), (2, "v04", [1.0], ""), (3, "v03", (fresh + 1).tolist(), "last")]
+    items = spark.createDataFrame(rows, "pos int, name string, embedding array<float>, model string")
+    grown, outcome = vector.batch_upsert(store.kg, items, 6)
+    assert [r["error"] for r in outcome.orderBy("pos").collect()] == [None, "unknown entity", "wrong dimensions", None]
+    assert grown.embeddings.count() == n
+    assert vector.get_embedding(grown, "v03").first()[:] == ("v03", 6, "last", (fresh + 1).tolist())
+    assert vector.delete_embedding(grown, "v03")[1] and not vector.delete_embedding(grown, "ghost")[1]
 
 
 def test_batch_equals_single(spark, store):
-    q = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0, 0.0])], "query_id long, embedding array<float>")
+    q = spark.createDataFrame([(i, store.v[i].tolist()) for i in range(0, 40, 9)], "query_id long, embedding array<float>")
     for metric in ("cos", "ip", "l2sq"):
-        got = {(r["query_id"], r["rank"]): (r["entity_id"], r["score"]) for r in vector.knn_batch(store.embeddings, q, 3, metric, block=1).collect()}
-        for i, v in ((1, [1, 0, 0, 0]), (2, [0, 1, 0, 0])):
-            want = [(r["entity_id"], r["score"]) for r in vector.knn(store.embeddings, v, 3, metric).collect()]
-            assert [got[i, k][0] for k in (1, 2, 3)] == [w[0] for w in want]
+        got = {(r["query_id"], r["rank"]): r["entity_id"] - 1 for r in vector.knn_batch(store.kg.embeddings, q, 3, metric, block=2).collect()}
+        for i in range(0, 40, 9):
+            assert [got[i, k] for k in (1, 2, 3)] == store.order(store.v[i], metric)[:3].tolist()
 
 
 def test_ivf(spark):
