@@ -6,24 +6,17 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
+from .blocks import ROWS, best_of, matrix_distance, matrix_of, packed, unpacked
 from .vector import clamp_k, knn
 
 ROUNDS = 15
 
 
-def matrix_distance(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    ip = a @ b.T
-    if metric == "ip":
-        return 1 - ip
-    if metric == "l2sq":
-        return np.maximum(0, (a**2).sum(1)[:, None] - 2 * ip + (b**2).sum(1)[None, :])
-    size = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
-    return np.where(size == 0, 1.0, 1 - ip / np.where(size == 0, 1, size))
-
-
 def centroids(rows: np.ndarray, cells: int, metric: str) -> np.ndarray:
     """Farthest-point seeds from row 0 on, then at most 15 Lloyd rounds; an empty cell keeps its centroid."""
     k = min(cells, len(rows))
@@ -49,69 +42,43 @@ class IvfIndex:
     cells: DataFrame  # entity_id, embedding, cell
     centroids: np.ndarray
     metric: str
+    nprobe: int = 8
+    kind = "ivf"
 
-    def search(self, query: Sequence[float], k: int, nprobe: int = 8) -> DataFrame:
+    def search(self, query: Sequence[float], k: int, nprobe: int | None = None) -> DataFrame:
         """entity_id, score of the nearest in the ``nprobe`` cells closest to the query.
 
         A table written by ``cell`` is read only in those partitions.
         """
-        n = max(1, min(nprobe, len(self.centroids)))
+        n = max(1, min(nprobe or self.nprobe, len(self.centroids)))
         d = matrix_distance(np.asarray([query], np.float64), self.centroids, self.metric)[0]
         chosen = np.argsort(d, kind="stable")[:n].tolist()
         return knn(self.cells.filter(F.col("cell").isin(*chosen)), query, clamp_k(k), self.metric)
 
-    def search_many(self, queries: DataFrame, k: int, nprobe: int = 8, block: int = 256) -> DataFrame:
-        """query_id, entity_id, score: as ``search`` for each of ``queries`` (query_id, embedding).
+    def search_many(self, queries: DataFrame, k: int, nprobe: int = 8, block: int = ROWS) -> DataFrame:
+        """query_id, entity_id, score, rank: as ``search`` for each of ``queries`` (query_id, embedding).
 
-        Queries are sent in blocks, each a scan in which a cell's vectors meet the queries that look into it; a task keeps
-        its k best for each query.
+        Each query goes to the cells it looks into; blocks of a cell's queries meet blocks of its vectors by a join on the cell.
         """
-        n, out, rows = max(1, min(nprobe, len(self.centroids))), None, []
-
-        def add(rows: list) -> DataFrame:
-            part = self._scan(rows, k, n)
-            return part if out is None else out.unionByName(part)
-
-        for r in queries.select("query_id", "embedding").toLocalIterator():
-            rows.append(r)
-            if len(rows) == block:
-                out, rows = add(rows), []
-        if rows or out is None:
-            out = add(rows)
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "entity_id"))
-        return out.withColumn("place", place).filter(F.col("place") <= k).drop("place")
-
-    def _scan(self, rows: list, k: int, n: int) -> DataFrame:
-        import pyarrow as pa
-
-        metric, ids = self.metric, np.array([r["query_id"] for r in rows], np.int64)
-        asked = np.array([r["embedding"] for r in rows], np.float64).reshape(len(rows), -1)
-        looks = np.zeros((len(rows), len(self.centroids)), bool)
-        if rows:
-            chosen = np.argsort(matrix_distance(asked, self.centroids, metric), axis=1, kind="stable")[:, :n]
-            np.put_along_axis(looks, chosen, True, 1)
-        sent = self.cells.sparkSession.sparkContext.broadcast((asked, looks))
-
-        def run(batches):
-            q, looks = sent.value
-            best = [(np.zeros(0), np.zeros(0, np.int64))] * len(q)
+        n, c, metric = max(1, min(nprobe, len(self.centroids))), self.centroids, self.metric
+
+        def probe(batches):
             for batch in batches:
-                if not batch.num_rows or not len(q):
-                    continue
-                v = batch.column("embedding").flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.float64)
-                key, cell = batch.column("entity_id").to_numpy(), batch.column("cell").to_numpy()
-                for c in np.unique(cell):
-                    own, who = np.flatnonzero(cell == c), np.flatnonzero(looks[:, c])
-                    for i, d in zip(who, np.round(matrix_distance(q[who], v[own], metric), 6), strict=True):
-                        s, e = np.concatenate([best[i][0], d]), np.concatenate([best[i][1], key[own]])
-                        top = np.lexsort((e, s))[:k]
-                        best[i] = s[top], e[top]
-            sizes = [len(s) for s, _ in best]
-            flat = [np.concatenate([x[j] for x in best]) if best else np.zeros(0, kind) for j, kind in ((1, np.int64), (0, np.float64))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), *map(pa.array, flat)], names=["query_id", "entity_id", "score"])
-
-        wanted = np.flatnonzero(looks.any(0)).tolist()
-        return self.cells.filter(F.col("cell").isin(*wanted) if wanted else F.lit(False)).select("entity_id", "embedding", "cell").mapInArrow(run, "query_id long, entity_id long, score double")
+                if batch.num_rows:
+                    q = matrix_of(batch.column("embedding")).astype(np.float64)
+                    cells = np.argsort(matrix_distance(q, c, metric), axis=1, kind="stable")[:, :n]
+                    at = pa.array(np.repeat(np.arange(len(q)), n))
+                    yield pa.RecordBatch.from_arrays([pa.array(cells.ravel(), pa.int32()), batch.column("query_id").take(at), batch.column("embedding").take(at)], names=["cell", "query_id", "embedding"])
+
+        probes = queries.select("query_id", "embedding").filter("embedding is not null").mapInArrow(probe, "cell int, query_id long, embedding array<float>")
+        asked = stored(packed(probes.repartition("cell").sortWithinPartitions("cell"), "query_id", block, by="cell").toDF("cell", "q_ids", "q_matrix", "q_dims"), "queries")
+
+        def score(row: dict):
+            ids, v = unpacked(row["ids"], row["matrix"], row["dims"])
+            q_ids, q = unpacked(row["q_ids"], row["q_matrix"], row["q_dims"])
+            return q_ids, ids, matrix_distance(q, v, metric)
+
+        return best_of(packed(self.cells, "entity_id", block, by="cell").join(asked, "cell"), k, score)
 
     def upsert(self, vectors: DataFrame) -> IvfIndex:
         """The index with ``vectors`` (entity_id, embedding) in place of those of the same ids; centroids stay."""
@@ -125,13 +92,14 @@ class IvfIndex:
         """The index and ``vectors``, of which no id is in it yet: nothing is looked up or shuffled."""
         return replace(self, cells=self.cells.unionByName(assign(vectors, self.centroids, self.metric)))
 
-    def save(self, path: str) -> None:
-        self.cells.write.partitionBy("cell").parquet(path)
+    def save(self, path: str) -> IvfIndex:
+        """The index with its cells written as partitions, of which a search reads the probed ones alone."""
+        dealt = self.cells.select("entity_id", "embedding", "cell").repartitionByRange("cell", "entity_id").sortWithinPartitions("cell", "entity_id")
+        dealt.write.partitionBy("cell").parquet(path)
+        return replace(self, cells=self.cells.sparkSession.read.schema("entity_id long, embedding array<float>, cell int").parquet(path))
 
 
 def assign(vectors: DataFrame, c: np.ndarray, metric: str) -> DataFrame:
-    import pyarrow as pa
-
     sent = vectors.sparkSession.sparkContext.broadcast(c)
 
     def run(batches):

@@ -8,11 +8,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cache, cached_property
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.vectors import distance
+from ..sources.store import stored
+from .blocks import best_of, packed, unpacked
+from .vector import knn
 
 U = np.uint64
 #: Fixed values of the generator and of the store's seed.
@@ -163,6 +169,12 @@ class Quantizer:
         y, sign = self._parts(packed)
         return (y @ q + math.sqrt(math.pi / 2) / self.width * rest * (sign @ (self.projection @ q))) * size
 
+    def products_many(self, packed: np.ndarray, rest: np.ndarray, size: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        """The same with many queries, a row each; codes are unpacked once."""
+        q = self.rotate(np.asarray(queries, np.float64))
+        y, sign = self._parts(packed)
+        return (q @ y.T + math.sqrt(math.pi / 2) / self.width * rest * ((q @ self.projection.T) @ sign.T)) * size
+
 
 def quantize(vectors: DataFrame, quantizer: Quantizer) -> DataFrame:
     """entity_id, code, rest, size: the compact table that searches scan."""
@@ -200,6 +212,84 @@ def search(codes: DataFrame, quantizer: Quantizer, query: Sequence[float], k: in
     return codes.mapInArrow(run, "entity_id long, score double").orderBy("score", "entity_id").limit(k)
 
 
+@dataclass(frozen=True)
+class CodeIndex:
+    """Stored codes, scanned for the nearest by estimate, and the vectors, of which the best are read for the exact distance.
+
+    A search takes ``wider`` times as many by estimate as are asked for.  Changes are dead ids and further tables of codes.
+    """
+
+    codes: DataFrame  # entity_id, code, rest, size
+    vectors: DataFrame  # entity_id, embedding
+    quantizer: Quantizer
+    metric: str
+    wider: int = 8
+    kind = "turboquant"
+
+    def search(self, query: Sequence[float], k: int) -> DataFrame:
+        """entity_id, score of the nearest; distances are exact."""
+        best = [r["entity_id"] for r in search(self.codes, self.quantizer, query, k * self.wider, self.metric).collect()]  # at most 100 * wider rows
+        return knn(self.vectors.filter(F.col("entity_id").isin(*best)), query, k, self.metric)
+
+    def search_many(self, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
+        """query_id, entity_id, score, rank for each of ``queries`` (query_id, embedding): a block of codes is decoded once for a block of queries."""
+        asked = stored(packed(queries, "query_id", block).toDF("q_ids", "q_matrix", "q_dims"), "queries")
+        quantizer, metric = self.quantizer, self.metric
+
+        def score(row: dict):
+            q_ids, q = unpacked(row["q_ids"], row["q_matrix"], row["q_dims"])
+            codes = np.frombuffer(row["codes"], np.uint8).reshape(row["n"], -1)
+            rest, size = (np.frombuffer(row[c], "<f4").astype(np.float64) for c in ("rest", "size"))
+            ip = quantizer.products_many(codes, rest, size, q)
+            return q_ids, np.frombuffer(row["ids"], "<i8"), _distances(ip, size, np.linalg.norm(q, axis=1), metric)
+
+        wide = best_of(_packed_codes(self.codes).crossJoin(asked), k * self.wider, score)
+        pairs = wide.select("query_id", "entity_id").join(self.vectors.select("entity_id", "embedding"), "entity_id")
+        exact = pairs.join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
+        found = exact.select("query_id", "entity_id", F.round(distance(F.col("embedding"), F.col("q"), metric), 6).alias("score"))
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "entity_id"))
+        return found.withColumn("rank", place).filter(F.col("rank") <= k)
+
+    def remove(self, ids: DataFrame) -> CodeIndex:
+        gone = ids.select("entity_id")
+        return replace(self, codes=self.codes.join(gone, "entity_id", "left_anti"), vectors=self.vectors.join(gone, "entity_id", "left_anti"))
+
+    def upsert(self, vectors: DataFrame) -> CodeIndex:
+        rest = self.remove(vectors)
+        new = stored(quantize(vectors, self.quantizer), "codes")
+        return replace(rest, codes=rest.codes.unionByName(new), vectors=rest.vectors.unionByName(vectors.select("entity_id", "embedding")))
+
+
+def _distances(ip: np.ndarray, size: np.ndarray, own: np.ndarray, metric: str) -> np.ndarray:
+    """Of products (a row for each query) with vectors and queries of these norms."""
+    if metric == "ip":
+        return 1 - ip
+    if metric == "l2sq":
+        return np.maximum(0, size[None, :] ** 2 + own[:, None] ** 2 - 2 * ip)
+    both = own[:, None] * size[None, :]
+    return np.where(both == 0, 1.0, 1 - ip / np.where(both == 0, 1, both))
+
+
+def _packed_codes(codes: DataFrame) -> DataFrame:
+    """Codes in blocks, a row for each Arrow batch."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                parts = [batch.column("entity_id").to_numpy().astype("<i8"), *(batch.column(c).to_numpy().astype("<f4") for c in ("rest", "size"))]
+                raw = b"".join(batch.column("code").to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int32()), pa.array([raw], pa.binary()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names=["n", "codes", "ids", "rest", "size"])
+
+    return codes.select("entity_id", "code", "rest", "size").mapInArrow(run, "n int, codes binary, ids binary, rest binary, size binary")
+
+
+def code_index(vectors: DataFrame, quantizer: Quantizer, metric: str = "cos", wider: int = 8) -> CodeIndex:
+    """Codes of all vectors, written once."""
+    own = vectors.select("entity_id", "embedding").filter("embedding is not null")
+    return CodeIndex(stored(quantize(own, quantizer), "codes"), own, quantizer, metric, wider)
+
+
 def store_quantizer(dims: int, bits: int = 4) -> Quantizer:
     """The quantizer of a vector store, which takes 384 to 1,536 dimensions."""
     if not MIN_DIMS <= dims <= MAX_DIMS:
@@ -207,8 +297,4 @@ def store_quantizer(dims: int, bits: int = 4) -> Quantizer:
     return Quantizer(dims, bits)
 
 
-def reindexed(kind: str, n: int) -> dict:
-    return {"reindexed": True, "indexKind": kind, "embeddingCount": n}
-
-
-__all__ = ["Quantizer", "codebook", "quantize", "reindexed", "search", "splitmix", "store_quantizer"]
+__all__ = ["CodeIndex", "Quantizer", "code_index", "codebook", "quantize", "search", "splitmix", "store_quantizer"]

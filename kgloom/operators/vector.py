@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import distance
-from ..sources.store import KG
+from ..sources.store import KG, stored
+from .blocks import ROWS, best_of, matrix_distance, packed, unpacked
 from .text import search_ids
 
 MAX_DIMS = 4096
@@ -46,78 +47,57 @@ def knn(vectors: DataFrame, query: Sequence[float], k: int, metric: str = "cos")
     return scored.orderBy("score", "entity_id").limit(clamp_k(k))
 
 
-def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cos", block: int = 256) -> DataFrame:
-    """query_id, entity_id, score of the ``k`` nearest for many queries (query_id, embedding), on Arrow blocks.
+def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cos", block: int = ROWS) -> DataFrame:
+    """query_id, entity_id, score, rank of the ``k`` nearest for many queries (query_id, embedding).
 
-    Queries are sent in blocks of at most ``block``, each a scan of the vectors with one matrix product a batch; a task
-    keeps its k best for each query, so the shuffle holds tasks * queries * k rows.
+    Both sides are packed into blocks, and each block of queries meets each block of vectors as one matrix product; Spark sends the
+    queries to every task where they are small, and deals pairs of partitions where they are not.  A task keeps its k best for each query.
     """
-    import pyarrow as pa
-
-    spark, out, rows = vectors.sparkSession, None, []
-    dims = None
-
-    def scan(rows: list) -> DataFrame:
-        ids = [r["query_id"] for r in rows]
-        q = spark.sparkContext.broadcast(np.array([r["embedding"] for r in rows], np.float64))
-
-        def run(batches):
-            best = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                v = batch.column("embedding").flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.float64)
-                key = batch.column("entity_id").to_numpy()
-                ip = q.value @ v.T
-                if metric == "ip":
-                    d = 1 - ip
-                elif metric == "cos":
-                    size = np.linalg.norm(q.value, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
-                    d = np.where(size == 0, 1.0, 1 - ip / np.where(size == 0, 1, size))
-                else:
-                    d = (q.value**2).sum(1)[:, None] - 2 * ip + (v**2).sum(1)[None, :]
-                d = np.round(d, 6)
-                for i in range(len(ids)):
-                    s, e = np.concatenate([best[i][0], d[i]]), np.concatenate([best[i][1], key])
-                    top = np.lexsort((e, s))[:k]
-                    best[i] = s[top], e[top]
-            n = [len(s) for s, _ in best]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), n)), pa.array(np.concatenate([e for _, e in best])), pa.array(np.concatenate([s for s, _ in best]))], names=["query_id", "entity_id", "score"])
-
-        return vectors.select("entity_id", "embedding").mapInArrow(run, "query_id long, entity_id long, score double")
-
-    for r in queries.select("query_id", "embedding").toLocalIterator():
-        dims = dims or len(r["embedding"])
-        rows.append(r)
-        if len(rows) == block:
-            part, rows = scan(rows), []
-            out = part if out is None else out.unionByName(part)
-    if rows or out is None:
-        part = scan(rows) if rows else vectors.select(F.col("entity_id").alias("query_id"), "entity_id", F.lit(0.0).alias("score")).limit(0)
-        out = part if out is None else out.unionByName(part)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "entity_id"))
-    return out.withColumn("rank", place).filter(F.col("rank") <= k)
+    asked = stored(packed(queries, "query_id", block).toDF("q_ids", "q_matrix", "q_dims"), "queries")
+
+    def score(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, v = unpacked(row["ids"], row["matrix"], row["dims"])
+        q_ids, q = unpacked(row["q_ids"], row["q_matrix"], row["q_dims"])
+        return q_ids, ids, matrix_distance(q, v, metric)
+
+    return best_of(packed(vectors, "entity_id", block).crossJoin(asked), k, score)
+
+
+def nearest(kg: KG, query: Sequence[float], k: int, metric: str) -> DataFrame:
+    """``knn``, by the graph's index if it has one of this metric."""
+    if kg.index is not None and kg.index.metric == metric:
+        return kg.index.search(query, clamp_k(k))
+    return knn(kg.embeddings, query, k, metric)
 
 
 def _resolved(kg: KG, hits: DataFrame, entity_type: str | None) -> DataFrame:
-    rows = kg.entities.join(hits, F.col("id") == F.col("entity_id")).select("id", "name", "type", "score")
+    few = None
+    if kg.layout is not None:  # at most MAX_K rows
+        got = hits.collect()
+        hits, few = kg.entities.sparkSession.createDataFrame(got, "entity_id long, score double"), [r["entity_id"] for r in got]
+    rows = kg.name_of(few).join(hits, F.col("id") == F.col("entity_id")).select("id", "name", "type", "score")
     return rows.filter(F.col("type") == entity_type) if entity_type else rows
 
 
 def search_entities(kg: KG, query: Sequence[float], k: int = 10, entity_type: str | None = None, metric: str = "cos") -> DataFrame:
     """name, type, score; the type filter comes after the top k."""
-    return _resolved(kg, knn(kg.embeddings, query, k, metric), entity_type).orderBy("score", "id").select("name", "type", "score")
+    return _resolved(kg, nearest(kg, query, k, metric), entity_type).orderBy("score", "id").select("name", "type", "score")
+
+
+def _embeddings_of(kg: KG, ids: list[int] | None) -> DataFrame:
+    return kg.embeddings if ids is None else kg.embeddings.filter(F.col("entity_id").isin(*ids))
 
 
 def embedding_of(kg: KG, name: str) -> list[float] | None:
-    row = kg.embeddings.join(kg.entities.filter(F.col("name") == name).select(F.col("id").alias("entity_id")), "entity_id", "left_semi").select("embedding").first()
+    rows, ids = kg.chosen([name])
+    row = _embeddings_of(kg, ids).join(rows.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").select("embedding").first()
     return list(row["embedding"]) if row else None
 
 
 def _excluding(kg: KG, query: Sequence[float], k: int, excluded: Sequence[str], entity_type: str | None, metric: str) -> DataFrame:
     k = clamp_k(k)
     fetch = min(max(3 * k + len(set(excluded)), k), MAX_K)
-    rows = _resolved(kg, knn(kg.embeddings, query, fetch, metric), entity_type)
+    rows = _resolved(kg, nearest(kg, query, fetch, metric), entity_type)
     return rows.filter(~F.col("name").isin(*excluded) if excluded else F.lit(True)).orderBy("score", "id").limit(k).select("name", "type", "score")
 
 
@@ -131,7 +111,8 @@ def search_by_entity(kg: KG, name: str, k: int = 10, entity_type: str | None = N
 def centroid(kg: KG, names: Sequence[str]) -> DataFrame:
     """pos, value: the mean of the named vectors; a name given twice counts twice."""
     asked = kg.entities.sparkSession.createDataFrame([(n,) for n in names], "name string")
-    rows = kg.embeddings.join(kg.entities.join(F.broadcast(asked), "name").select(F.col("id").alias("entity_id")), "entity_id")
+    own, ids = kg.chosen(names)
+    rows = _embeddings_of(kg, ids).join(own.join(F.broadcast(asked), "name").select(F.col("id").alias("entity_id")), "entity_id")
     return rows.select(F.posexplode("embedding").alias("pos", "x")).groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("value"))
 
 
@@ -164,7 +145,8 @@ def mmr_search(kg: KG, query: Sequence[float], k: int = 10, fetch_k: int | None
     """rank, name, type, score (the MMR value); the pool of at most 100 rows is ordered in one task."""
     k, weight = clamp_k(k), max(0.0, min(1.0, weight))
     fetch = max(k, min(MAX_K, fetch_k or max(20, 4 * k)))
-    pool = _resolved(kg, knn(kg.embeddings, query, fetch, metric), entity_type).join(kg.embeddings, F.col("id") == F.col("entity_id")).select("id", "name", "type", "score", "embedding")
+    pool = _resolved(kg, nearest(kg, query, fetch, metric), entity_type)
+    pool = pool.join(_embeddings_of(kg, kg.few(pool)), F.col("id") == F.col("entity_id")).select("id", "name", "type", "score", "embedding")
     q = np.asarray(query, np.float64)
 
     def choose(rows):
@@ -193,7 +175,7 @@ def hybrid_search(kg: KG, text: str, query: Sequence[float], text_weight: float
     ``boost`` adds 0.1 * d / (d + 5) to the score of an entity with d embedded out-neighbours.
     """
     k = clamp_k(k)
-    near = knn(kg.embeddings, query, 3 * k, metric)
+    near = nearest(kg, query, 3 * k, metric)
     # both legs have at most 300 rows, which one task ranks
     vec = near.select(F.col("entity_id").alias("id"), (F.row_number().over(Window.orderBy("score", "entity_id")) - 1).alias("r")).select("id", (F.lit(vec_weight) / (RRF + F.col("r"))).alias("vec_score"))
     found = search_ids(kg, text, None, 0, 3 * k).select("id", (F.row_number().over(Window.orderBy("rank")) - 1).alias("r")).select("id", (F.lit(text_weight) / (RRF + F.col("r"))).alias("text_score"))
@@ -223,7 +205,8 @@ def batch_upsert(kg: KG, items: DataFrame, dims: int | None = None) -> tuple[KG,
     last = judged.filter("error is null").groupBy(F.col("id").alias("entity_id")).agg(F.max_by(F.struct("embedding", "model"), "pos").alias("v"))
     new = last.select("entity_id", F.col("v.embedding").cast("array<float>").alias("embedding"), F.col("v.model").alias("model"))
     old = kg.embeddings.join(new.select("entity_id"), "entity_id", "left_anti").select("entity_id", "embedding", "model")
-    return kg.with_(embeddings=old.unionByName(new)), judged.select("pos", "name", "error")
+    index = kg.index and kg.index.upsert(stored(new, "upserted").select("entity_id", "embedding"))
+    return kg.with_(embeddings=old.unionByName(new), index=index), judged.select("pos", "name", "error")
 
 
 def upsert_embedding(kg: KG, name: str, values: Sequence[float], model: str = "", dims: int | None = None) -> KG:
@@ -236,16 +219,19 @@ def upsert_embedding(kg: KG, name: str, values: Sequence[float], model: str = ""
 
 def get_embedding(kg: KG, name: str) -> DataFrame:
     """name, dims, model, embedding; no row where there is none."""
-    return kg.entities.filter(F.col("name") == name).join(kg.embeddings, F.col("id") == F.col("entity_id")).select("name", F.size("embedding").alias("dims"), "model", "embedding")
+    rows, ids = kg.chosen([name])
+    return rows.join(_embeddings_of(kg, ids), F.col("id") == F.col("entity_id")).select("name", F.size("embedding").alias("dims"), "model", "embedding")
 
 
 def delete_embedding(kg: KG, name: str) -> tuple[KG, bool]:
-    gone = kg.entities.filter(F.col("name") == name).select(F.col("id").alias("entity_id"))
+    gone = kg.chosen([name])[0].select(F.col("id").alias("entity_id"))
     had = not kg.embeddings.join(gone, "entity_id", "left_semi").isEmpty()
-    return kg.with_(embeddings=kg.embeddings.join(gone, "entity_id", "left_anti").select("entity_id", "embedding", "model")), had
+    index = kg.index and kg.index.remove(gone)
+    return kg.with_(embeddings=kg.embeddings.join(gone, "entity_id", "left_anti").select("entity_id", "embedding", "model"), index=index), had
 
 
-def store_stats(kg: KG, index_kind: str = "exact") -> DataFrame:
+def store_stats(kg: KG, index_kind: str | None = None) -> DataFrame:
+    index_kind = index_kind or (kg.index.kind if kg.index is not None else "exact")
     dims = F.coalesce(F.max(F.size("embedding")), F.lit(0))
     n = F.count(F.lit(1))
     return kg.embeddings.agg(n.alias("embeddings"), dims.alias("dims"), (n * dims * 4).alias("bytes"), F.lit(index_kind).alias("index_kind"))

@@ -8,9 +8,11 @@ from collections.abc import Callable, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import code, ivf, read, text, traverse, vector, write
-from ..sources.store import KG, shared_dir
+from ..operators import code, hnsw, ivf, read, text, traverse, turboquant, vector, write
+from ..sources.inverted import BODY, NAME, build_text_index
+from ..sources.store import KG, shared_dir, stored
 from ..streaming import watch
 
 READ, WRITE, VECTOR, CODE = "read", "write", "vector", "code"
@@ -54,10 +56,10 @@ def _vector(args: dict, key: str = "embedding") -> list[float]:
 class Session:
     """A graph and the operations on it; writes replace the graph of the session."""
 
-    def __init__(self, kg: KG, categories: Sequence[str] = (READ, WRITE, VECTOR, CODE), metric: str = "cos", projects: dict[str, KG] | None = None) -> None:
+    def __init__(self, kg: KG, categories: Sequence[str] = (READ, WRITE, VECTOR, CODE), metric: str = "cos", projects: dict[str, KG] | None = None, index_kind: str = "hnsw") -> None:
         self.kg, self.categories, self.metric = kg, set(categories), metric
         self.projects = projects or {}
-        self.index = "exact"
+        self.index_kind = index_kind
         self.boost = False
 
     @property
@@ -113,9 +115,19 @@ def _triples(s: Session, args: dict) -> DataFrame:
     return s.frame([(r["from"], r["to"], write.validate_name(r["relationType"], "relationType")) for r in rows], "`from` string, `to` string, type string")
 
 
+def _texts(rows: DataFrame, source: str, key: str, column: str) -> DataFrame:
+    idx = F.col("idx") if "idx" in rows.columns else F.lit(0)
+    return rows.select(F.lit(source).alias("source"), F.col(key).alias("entity_id"), idx.cast("long").alias("idx"), F.col(column).alias("text"))
+
+
 @_operation(WRITE)
 def create_entities(s, a):
+    index = s.kg.text
     s.kg, created = write.create_entities(s.kg, _entities(s, a))
+    if index is not None:  # what is new goes into a segment of its own
+        created = stored(created, "created")
+        bodies = created.select("id", F.posexplode("observations").alias("idx", "body"))
+        s.kg = s.kg.with_(text=index.insert(_texts(created, NAME, "id", "name").unionByName(_texts(bodies, BODY, "id", "body"))))
     return created
 
 
@@ -128,13 +140,22 @@ def create_relations(s, a):
 @_operation(WRITE)
 def add_observations(s, a):
     rows = [(i, j, o["entityName"], b) for i, o in enumerate(a["observations"]) for j, b in enumerate(o["contents"])]
+    old = s.kg
     s.kg = write.add_observations(s.kg, s.frame([(i * (1 << 20) + j, n, b) for i, j, n, b in rows], "pos long, name string, body string"))
+    if old.text is not None:
+        few = old.chosen(sorted({r[2] for r in rows}))[0].select(F.col("id").alias("entity_id"))
+        own = s.kg.observations.join(few, "entity_id", "left_semi").select("entity_id", "idx", "body")
+        new = own.join(old.observations.select("entity_id", "idx"), ["entity_id", "idx"], "left_anti")
+        s.kg = s.kg.with_(text=old.text.insert(_texts(new, BODY, "entity_id", "body")))
     return len(rows)
 
 
 @_operation(WRITE)
 def delete_entities(s, a):
-    s.kg = write.delete_entities(s.kg, s.frame([(n,) for n in _names(a, "entityNames")], "name string"))
+    names, old = _names(a, "entityNames"), s.kg
+    s.kg = write.delete_entities(s.kg, s.frame([(n,) for n in names], "name string"))
+    if old.text is not None:
+        s.kg = s.kg.with_(text=old.text.delete_entities(stored(old.chosen(names)[0].select("id"), "gone")))
 
 
 @_operation(WRITE)
@@ -163,7 +184,10 @@ def merge_entities(s, a):
 
 @_operation(WRITE)
 def compact(s, a):
-    s.kg = s.kg.compact(f"{shared_dir(s.spark)}/compact-{uuid.uuid4().hex}")
+    """The graph in a written layout, its words indexed anew."""
+    path = f"{shared_dir(s.spark)}/compact-{uuid.uuid4().hex}"
+    laid = s.kg.compact(path)
+    s.kg = laid.with_(text=build_text_index(laid, f"{path}/text"), index=s.kg.index)
 
 
 @_operation(READ)
@@ -307,9 +331,17 @@ def hybrid_search(s, a):
 
 @_operation(VECTOR)
 def vector_reindex(s, a):
-    index = ivf.train(s.kg.embeddings, metric=s.metric)
-    s.index = "ivf"
-    return index
+    """Trains the session's kind of index over all vectors; searches use it from then on."""
+    vectors = s.kg.embeddings
+    if s.index_kind == "ivf":
+        index = ivf.train(vectors, metric=s.metric).save(f"{shared_dir(s.spark)}/cells-{uuid.uuid4().hex}")
+    elif s.index_kind == "turboquant":
+        dims = vectors.agg(F.max(F.size("embedding"))).first()[0] or 1
+        index = turboquant.code_index(vectors, turboquant.Quantizer(dims, 4), s.metric)
+    else:
+        index = hnsw.train(vectors, s.metric)
+    s.kg = s.kg.with_(index=index)
+    return s.kg.embeddings.agg(F.lit(True).alias("reindexed"), F.lit(index.kind).alias("index_kind"), F.count(F.lit(1)).alias("embeddings"))
 
 
 @_operation(VECTOR)
@@ -320,7 +352,7 @@ def vector_refresh_graph_cache(s, a):
 
 @_operation(VECTOR)
 def vector_store_stats(s, a):
-    return vector.store_stats(s.kg, s.index)
+    return vector.store_stats(s.kg)
 
 
 @_operation(CODE)

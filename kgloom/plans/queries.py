@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import code as code_ops
-from ..operators import ivf, read, text, traverse, turboquant, vector, write
+from ..operators import blocks, hnsw, ivf, read, text, traverse, turboquant, vector, write
 from ..sources.store import KG
 from ..sources.tables import DOCUMENT_SQL, GRAPH_SQL, canonical, document_graph, indexed, laid_out, table
 from ..streaming.watch import quiet_sessions
@@ -465,9 +465,8 @@ def vector_search_by_entity(spark, d):
     row_number() OVER (PARTITION BY a.entity_id ORDER BY round(list_cosine_distance(a.embedding, b.embedding), 6), b.entity_id) AS rank FROM V a, V b WHERE (a.entity_id - 60000000) % 20 = 0) WHERE rank <= 5""")
 def vector_search_batch(spark, d):
     """Every 20th vector as a query against all."""
-    v = laid_out(spark, d).embeddings
-    queries = v.filter("(entity_id - 60000000) % 20 = 0").select(F.col("entity_id").alias("query_id"), "embedding")
-    return vector.knn_batch(v, queries, 5)
+    kg = laid_out(spark, d)
+    return vector.knn_batch(kg.embeddings, _asked(kg), 5)
 
 
 @query("""A AS (SELECT unnest(generate_series(1, 64)) AS i), M AS (SELECT i, (SELECT avg(embedding[i]) FROM V WHERE entity_id IN (60000001, 60000002, 60000003)) - (SELECT avg(embedding[i]) FROM V WHERE entity_id IN (60000009)) AS x FROM A),
@@ -561,12 +560,61 @@ def ivf_search_exhaustive(spark, d):
     return index.search(_vector7(spark, d), 20, 16)
 
 
+def _asked(kg: KG) -> DataFrame:
+    """Every vector whose id is divisible by 20."""
+    return kg.embeddings.filter("(entity_id - 60000000) % 20 = 0").select(F.col("entity_id").alias("query_id"), "embedding")
+
+
+def _by_ivf(kg: KG, k: int) -> DataFrame:
+    return ivf.train(kg.embeddings, 16, "cos").search_many(_asked(kg), k, 12)
+
+
+def _by_hnsw(kg: KG, k: int) -> DataFrame:
+    return hnsw.train(kg.embeddings, "cos").search_many(_asked(kg), k)
+
+
+def _by_codes(kg: KG, k: int) -> DataFrame:
+    return turboquant.code_index(kg.embeddings, turboquant.Quantizer(64, 4)).search_many(_asked(kg), k)
+
+
+def _index(name: str, find: Callable[[KG, int], DataFrame]) -> None:
+    """Searches of an index with every 20th vector, and whether they find 0.9 or more of the 20 nearest."""
+
+    def found(spark, d):
+        return find(laid_out(spark, d), 20)
+
+    def measured(spark, d):
+        kg = laid_out(spark, d)
+        exact = vector.knn_batch(kg.embeddings, _asked(kg), 20)
+        return blocks.recall(find(kg, 20), exact).select("queries", (F.col("recall") >= 0.9).alias("recalled"))
+
+    found.__name__, measured.__name__ = f"{name}_search", f"{name}_recall"
+    query()(found)
+    query("SELECT count(*) AS queries, true AS recalled FROM embeddings WHERE vec_id % 20 = 0", None)(measured)
+
+
+_index("hnsw", _by_hnsw)
+_index("turboquant_batch", _by_codes)
+
+
 @query()
 def ivf_search_probed(spark, d):
-    """Every vector whose id is divisible by 20 against all, in the 12 nearest of 16 cells."""
-    vectors = laid_out(spark, d).embeddings
-    asked = vectors.filter("entity_id % 20 = 0").select(F.col("entity_id").alias("query_id"), "embedding")
-    return ivf.train(vectors, 16, "cos").search_many(asked, 20, 12)
+    """In the 12 nearest of 16 cells."""
+    return _by_ivf(laid_out(spark, d), 20)
+
+
+@query("SELECT count(*) AS queries, true AS recalled FROM embeddings WHERE vec_id % 20 = 0", None)
+def ivf_recall(spark, d):
+    kg = laid_out(spark, d)
+    return blocks.recall(_by_ivf(kg, 20), vector.knn_batch(kg.embeddings, _asked(kg), 20)).select("queries", (F.col("recall") >= 0.9).alias("recalled"))
+
+
+@query("""SELECT query_id, entity_id, score, rank FROM (SELECT a.entity_id AS query_id, b.entity_id, round(list_cosine_distance(a.embedding, b.embedding), 6) AS score,
+    row_number() OVER (PARTITION BY a.entity_id ORDER BY round(list_cosine_distance(a.embedding, b.embedding), 6), b.entity_id) AS rank FROM V a, V b WHERE (a.entity_id - 60000000) % 20 = 0) WHERE rank <= 5""")
+def ivf_search_batch(spark, d):
+    """All cells: the exact neighbours, by way of the index."""
+    kg = laid_out(spark, d)
+    return ivf.train(kg.embeddings, 16, "cos").search_many(_asked(kg), 5, 16)
 
 
 @query("SELECT 'ivf' AS index_kind, count(*) AS embeddings, least(16, count(*)) AS cells FROM embeddings", None)
@@ -575,10 +623,10 @@ def vector_reindex(spark, d):
     return index.cells.agg(F.lit("ivf").alias("index_kind"), F.count(F.lit(1)).alias("embeddings"), F.lit(len(index.centroids)).cast("long").alias("cells"))
 
 
-@query()
+@query(f"{_VEC} SELECT entity_id, {_DIST['cos']} AS score FROM V, Q ORDER BY score, entity_id LIMIT 10")
 def turboquant_search(spark, d):
-    q = turboquant.Quantizer(64, 4)
-    return turboquant.search(turboquant.quantize(laid_out(spark, d).embeddings, q), q, _vector7(spark, d), 20)
+    """The ten nearest of the eighty best codes, by exact distances."""
+    return turboquant.code_index(laid_out(spark, d).embeddings, turboquant.Quantizer(64, 6), wider=8).search(_vector7(spark, d), 10)
 
 
 # --- code and streams -------------------------------------------------------------------------------
