@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import ast
 import fnmatch
+import heapq
 import os
 import re
 from collections.abc import Iterator
@@ -11,9 +11,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scopes import scan, scan_python
 from ..sources.store import KG
 from .text import search_ids
-from .vector import batch_upsert, clamp_k, knn
+from .vector import batch_upsert, clamp_k, nearest
 
 MAX_FILE = 10 * 1024 * 1024
 MAX_SYMBOLS = 20_000
@@ -28,24 +29,6 @@ LANGUAGES = {
     "cts": "typescript", "tsx": "tsx", "go": "go", "java": "java", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp", "rb": "ruby", "php": "php",
 }
 
-_NAME = r"[A-Za-z_$][\w$]*"
-#: For each language (kind, pattern) of definitions; the pattern's group 'n' is the name.
-_DEFS = {
-    "rust": [("function", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:(?:async|const|unsafe|extern(?:\s+\"[^\"]*\")?)\s+)*fn\s+(?P<n>{_NAME})"), ("class", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|union|type)\s+(?P<n>{_NAME})"), ("interface", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+(?P<n>{_NAME})"), ("module", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+(?P<n>{_NAME})"), ("macro", rf"^\s*macro_rules!\s*(?P<n>{_NAME})")],
-    "go": [("method", rf"^func\s+\([^)]*\)\s*(?P<n>{_NAME})"), ("function", rf"^func\s+(?P<n>{_NAME})"), ("type", rf"^\s*type\s+(?P<n>{_NAME})")],
-    "java": [("class", rf"^\s*(?:(?:public|private|protected|static|final|abstract|sealed)\s+)*(?:class|enum|record)\s+(?P<n>{_NAME})"), ("interface", rf"^\s*(?:(?:public|private|protected|static|abstract)\s+)*interface\s+(?P<n>{_NAME})"), ("method", rf"^\s+(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)*(?!return\b|new\b|else\b|throw\b)[\w<>\[\], ?]+\s+(?P<n>{_NAME})\s*\([^;{{}}]*\)\s*(?:throws [\w, .]+)?\s*[{{;]")],
-    "c": [("function", rf"^(?!\s*(?:if|for|while|switch|return|else)\b)[A-Za-z_][\w\s*]*?[\s*](?P<n>{_NAME})\s*\([^;{{}}]*\)\s*\{{"), ("class", rf"^\s*(?:typedef\s+)?(?:struct|enum|union)\s+(?P<n>{_NAME})\s*\{{"), ("macro", rf"^\s*#\s*define\s+(?P<n>{_NAME})")],
-    "javascript": [("function", rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(?P<n>{_NAME})"), ("class", rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(?P<n>{_NAME})"), ("function", rf"^\s*(?:export\s+)?(?:const|let|var)\s+(?P<n>{_NAME})\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|{_NAME})\s*(?::[^=]+)?=>"), ("method", rf"^\s+(?:(?:public|private|protected|static|async|readonly|get|set)\s+)*(?!if\b|for\b|while\b|switch\b|catch\b|function\b|return\b)(?P<n>{_NAME})\s*\([^;{{}}]*\)\s*(?::[^{{]+)?\{{")],
-    "ruby": [("method", r"^\s*def\s+(?:self\.)?(?P<n>[A-Za-z_]\w*[?!=]?)"), ("class", rf"^\s*class\s+(?P<n>{_NAME})"), ("module", rf"^\s*module\s+(?P<n>{_NAME})")],
-    "php": [("function", rf"^\s*(?:(?:public|private|protected|static|abstract|final)\s+)*function\s+&?(?P<n>{_NAME})"), ("class", rf"^\s*(?:(?:abstract|final|readonly)\s+)*(?:class|enum)\s+(?P<n>{_NAME})"), ("interface", rf"^\s*(?:interface|trait)\s+(?P<n>{_NAME})")],
-}
-_DEFS["cpp"] = [*_DEFS["c"], ("class", rf"^\s*(?:template\s*<[^>]*>\s*)?(?:class|struct)\s+(?P<n>{_NAME})"), ("module", rf"^\s*namespace\s+(?P<n>{_NAME})")]
-_DEFS["typescript"] = _DEFS["tsx"] = [*_DEFS["javascript"], ("interface", rf"^\s*(?:export\s+)?interface\s+(?P<n>{_NAME})"), ("type", rf"^\s*(?:export\s+)?(?:type|enum)\s+(?P<n>{_NAME})"), ("module", rf"^\s*(?:export\s+)?namespace\s+(?P<n>{_NAME})")]
-_COMPILED = {lang: [(kind, re.compile(p)) for kind, p in rules] for lang, rules in _DEFS.items()}
-_CALL = re.compile(rf"(?<![\w$])(?P<n>{_NAME})!?\s*\(")
-_KEYWORDS = frozenset("if for while switch return catch sizeof function match fn def func elseif foreach print echo and or not new defined".split())
-
-
 def language_of(path: str) -> str | None:
     name = path.rsplit("/", 1)[-1]
     return LANGUAGES.get(name.rsplit(".", 1)[-1].lower()) if "." in name else None
@@ -56,76 +39,18 @@ def _short(text: str, most: int) -> str:
     return text if len(text) <= most else text[:most] + "…"
 
 
-def _python(text: str) -> tuple[list[dict], list[dict]] | None:
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
-        return None
-    lines, defs, refs = text.splitlines(), [], []
-    for parent in ast.walk(tree):
-        for node in ast.iter_child_nodes(parent):
-            if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                kind = "class" if isinstance(node, ast.ClassDef) else "method" if isinstance(parent, ast.ClassDef) else "function"
-                defs.append({"kind": kind, "name": node.name, "line_start": node.lineno, "line_end": node.end_lineno, "signature": _short(lines[node.lineno - 1], SIGNATURE), "doc": _short(ast.get_docstring(node) or "", DOC)})
-            elif isinstance(node, ast.Call):
-                f = node.func
-                name = f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
-                if name:
-                    refs.append({"kind": "call", "name": name, "line": node.lineno})
-    return defs, refs
-
-
-def _end_of(lines: list[str], i: int, lang: str) -> int:
-    """Last line (from 1) of what begins on line ``i`` (from 0)."""
-    if lang in ("ruby", "python"):
-        indent = len(lines[i]) - len(lines[i].lstrip())
-        for j in range(i + 1, len(lines)):
-            if lines[j].strip() and len(lines[j]) - len(lines[j].lstrip()) <= indent:
-                return j + 1 if lang == "ruby" and lines[j].strip() == "end" else j
-        return len(lines)
-    depth, opened = 0, False
-    for j in range(i, len(lines)):
-        for c in lines[j]:
-            if c == "{":
-                depth, opened = depth + 1, True
-            elif c == "}":
-                depth -= 1
-            elif c == ";" and not opened:
-                return j + 1
-        if opened and depth <= 0:
-            return j + 1
-        if not opened and j > i + 8:
-            return i + 1
-    return len(lines) if opened else i + 1
-
-
 def parse(path: str, text: str) -> tuple[list[dict], list[dict]]:
     """Definitions (kind, name, line_start, line_end, signature, doc, snippet) and references (kind, name, line)."""
     lang = language_of(path)
     if lang is None or not text.strip():
         return [], []
-    lines = text.splitlines()
-    found = _python(text) if lang == "python" else None
-    if found is None:
-        rules = _COMPILED.get(lang) or [("class", re.compile(rf"^\s*class\s+(?P<n>{_NAME})")), ("function", re.compile(rf"^\s*(?:async\s+)?def\s+(?P<n>{_NAME})"))]
-        defs, refs = [], []
-        for i, line in enumerate(lines):
-            at = set()
-            for kind, rule in rules:
-                joined = line if "(" not in line or ")" in line else " ".join(x.strip() if j else x for j, x in enumerate(lines[i : i + 6]))
-                if (m := rule.match(joined)) and m["n"] not in at and m["n"] not in _KEYWORDS and len(defs) < MAX_SYMBOLS:
-                    at.add(m["n"])
-                    before = lines[i - 1].strip() if i else ""
-                    doc = re.sub(r"^[/#*! ]+", "", before) if re.match(r"//|#(?!\s*(?:define|include|\[))|\*", before) else ""
-                    defs.append({"kind": kind, "name": m["n"], "line_start": i + 1, "line_end": _end_of(lines, i, lang), "signature": _short(line, SIGNATURE), "doc": _short(doc, DOC)})
-            for m in _CALL.finditer(line):
-                if m["n"] not in at and m["n"] not in _KEYWORDS:
-                    refs.append({"kind": "call", "name": m["n"], "line": i + 1})
-        found = defs, refs
-    defs = found[0][:MAX_SYMBOLS]
+    defs, refs = (scan_python(text) if lang == "python" else None) or scan(text, lang)
+    defs, lines = defs[:MAX_SYMBOLS], text.split("\n")
     for d in defs:
+        d["signature"] = _short(lines[d["line_start"] - 1], SIGNATURE)
+        d["doc"] = _short(next((x for x in d["doc"].splitlines() if x.strip()), ""), DOC)
         d["snippet"] = _short("\n".join(lines[d["line_start"] - 1 : d["line_end"]]), SNIPPET)
-    return defs, found[1]
+    return defs, refs[: MAX_SYMBOLS - len(defs)]
 
 
 def _ignored(rel: str, rules: list[tuple[bool, str, bool]], is_dir: bool) -> bool:
@@ -215,36 +140,67 @@ def symbols(parsed: DataFrame) -> DataFrame:
     return named.select("qualified", "file", "lang", "hash", "kind", "name", "line_start", "line_end", "signature", "doc", "snippet").dropDuplicates(["qualified"])
 
 
+def _held(batches: Iterator) -> Iterator:
+    """Rows (file, line, spot, last, qualified) by file and line, definitions first: each reference with the definition that holds it.
+
+    Definitions that have begun stand in a heap by their length; those that have ended leave it when they come up, so a file
+    takes time in proportion to its rows.
+    """
+    import pyarrow as pa
+
+    here, open_, n = None, [], 0
+    for batch in batches:
+        out: list[tuple] = []
+        for file, line, spot, last, qualified in zip(*(batch.column(c).to_pylist() for c in ("file", "line", "spot", "last", "qualified")), strict=True):
+            if file != here:
+                here, open_, n = file, [], 0
+            if qualified is not None:
+                heapq.heappush(open_, (last - line, n, last, qualified))
+                n += 1
+                continue
+            while open_ and open_[0][2] < line:
+                heapq.heappop(open_)
+            out.append((file, spot, open_[0][3] if open_ else file))
+        if out:
+            files, spots, holders = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(files), pa.array(spots, pa.int32()), pa.array(holders)], names=["file", "spot", "from"])
+
+
 def edges(parsed: DataFrame, found: DataFrame) -> DataFrame:
     """from, to, type: what files define, and what symbols (or files) call or reference by an unambiguous name."""
     defines = found.select(F.col("file").alias("from"), F.col("qualified").alias("to"), F.lit("defines").alias("type"))
     single = found.groupBy("name").agg(F.count(F.lit(1)).alias("c"), F.any_value("qualified").alias("to")).filter("c = 1").select("name", "to")
-    refs = parsed.select("file", F.posexplode("refs").alias("rpos", "r")).select("file", "rpos", "r.*").join(single, "name")
-    d = found.select(F.col("file").alias("dfile"), "qualified", "line_start", "line_end")
-    inside = (F.col("file") == F.col("dfile")) & F.col("line").between(F.col("line_start"), F.col("line_end"))
-    held = refs.join(d, inside, "left")
-    span = F.coalesce(F.col("line_end") - F.col("line_start"), F.lit(1 << 30))
-    tightest = held.groupBy("file", "rpos", "kind", "to").agg(F.min_by(F.coalesce("qualified", "file"), F.struct(span, F.coalesce("qualified", F.lit("")))).alias("from"))
-    uses = tightest.filter(F.col("from") != F.col("to")).select("from", "to", F.when(F.col("kind") == "call", "calls").otherwise("references").alias("type")).distinct()
-    return defines.unionByName(uses)
+    refs = parsed.select("file", F.posexplode("refs").alias("spot", "r")).select("file", "spot", "r.*")
+    spans = found.select("file", F.col("line_start").alias("line"), F.lit(-1).alias("spot"), F.col("line_end").alias("last"), "qualified")
+    none = F.lit(None)
+    rows = spans.unionByName(refs.select("file", "line", "spot", none.cast("int").alias("last"), none.cast("string").alias("qualified")))
+    swept = rows.repartition("file").sortWithinPartitions("file", "line", "spot", "last", "qualified").mapInArrow(_held, "file string, spot int, `from` string")
+    uses = refs.join(swept, ["file", "spot"]).join(single, "name").filter(F.col("from") != F.col("to"))
+    return defines.unionByName(uses.select("from", "to", F.when(F.col("kind") == "call", "calls").otherwise("references").alias("type")).distinct())
 
 
 def code_index(files: DataFrame, before: DataFrame | None = None, force: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Symbols, edges and a tally (outcome, files) of files (file, content).
+    """Symbols, edges and a tally (files_indexed, files_skipped, files_failed, symbols, relations) of files (file, content).
 
-    ``before`` (file, hash) are files indexed earlier: equal ones are skipped unless ``force``.
+    ``before`` (file, hash) are files indexed earlier: equal ones are skipped unless ``force``.  A file without content could not be read.
     """
-    parsed = parse_files(files)
-    outcome = F.lit("indexed")
+    read = files.filter("content is not null")
+    failed = files.filter("content is null")
+    hashed = read.select("file", "content", F.sha2("content", 256).alias("hash"))
     if before is not None and not force:
         old = before.select("file", "hash").distinct()
-        skipped = parsed.join(old, ["file", "hash"], "left_semi").select(F.lit("skipped").alias("outcome"))
-        parsed = parsed.join(old, ["file", "hash"], "left_anti")
+        skipped, fresh = hashed.join(old, ["file", "hash"], "left_semi"), hashed.join(old, ["file", "hash"], "left_anti")
     else:
-        skipped = parsed.limit(0).select(F.lit("skipped").alias("outcome"))
+        skipped, fresh = hashed.limit(0), hashed
+    parsed = parse_files(fresh)
     found = symbols(parsed)
-    tally = parsed.select(outcome.alias("outcome")).unionByName(skipped).groupBy("outcome").agg(F.count(F.lit(1)).alias("files"))
-    return found, edges(parsed, found), tally
+    links = edges(parsed, found)
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    parts = [count(parsed, "files_indexed"), count(skipped, "files_skipped"), count(failed, "files_failed"), count(found, "symbols"), count(links, "relations")]
+    tally = parts[0]
+    for part in parts[1:]:
+        tally = tally.crossJoin(F.broadcast(part))  # one row each
+    return found, links, tally
 
 
 def as_graph(found: DataFrame, links: DataFrame) -> KG:
@@ -312,7 +268,7 @@ def code_embed(kg: KG, items: DataFrame) -> tuple[KG, DataFrame]:
 
 def code_semantic_search(kg: KG, query: list[float], kind: str | None = None, lang: str | None = None, limit: int = 20) -> DataFrame:
     limit = max(1, min(limit, 500))
-    near = knn(kg.embeddings, query, clamp_k(5 * limit))
+    near = nearest(kg, query, clamp_k(5 * limit), "cos")
     rows = kg.entities.filter(F.col("type").startswith("code:")).join(near, F.col("id") == F.col("entity_id")).select("id", "name", "type", "score")
     full = metadata(kg, rows)
     for column, value in (("kind", kind), ("lang", lang)):

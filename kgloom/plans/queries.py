@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators import code as code_ops
 from ..operators import blocks, hnsw, ivf, read, text, traverse, turboquant, vector, write
-from ..sources.store import KG
-from ..sources.tables import DOCUMENT_SQL, GRAPH_SQL, canonical, document_graph, indexed, laid_out, table
+from ..sources.store import KG, stored
+from ..sources.tables import CODE, CODE_SQL, DOCUMENT_SQL, GRAPH_SQL, canonical, code_tree, document_graph, indexed, laid_out, table
 from ..streaming.watch import quiet_sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,7 +21,8 @@ def query(sql: str | None = None, graph: str | None = GRAPH_SQL):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = f"WITH RECURSIVE {graph}{',' if not sql.lstrip().startswith('SELECT') else ''} {sql}" if graph else sql
+            lead = f"{graph}{',' if not sql.lstrip().startswith('SELECT') else ''} " if graph else ""
+            ORACLE_SQL[f.__name__] = sql if graph is None else f"WITH RECURSIVE {lead}{sql}"
         return f
 
     return add
@@ -631,64 +632,74 @@ def turboquant_search(spark, d):
 
 # --- code and streams -------------------------------------------------------------------------------
 
-#: A small tree of sources.
-SOURCES = {
-    "src/lib.rs": "/// Doubles.\npub fn alpha(x: u32) -> u32 {\n    beta(x) * 2\n}\n\nfn beta(x: u32) -> u32 { x }\n\npub struct Thing {\n    a: u32,\n}\n\npub trait Walker {\n    fn walk(&self);\n}\n\nmacro_rules! twice { ($e:expr) => { $e + $e } }\n",
-    "app.py": "class Reader:\n    def load(self, path):\n        return decode(path)\n\n\ndef decode(path):\n    return path\n\n\ndef main():\n    Reader().load(decode('x'))\n",
-    "web/main.ts": "export interface Shape { area(): number }\nexport class Circle implements Shape {\n  area(): number {\n    return square(2);\n  }\n}\nfunction square(x: number) { return x * x; }\n",
-    "cmd/run.go": "package main\n\nfunc helper(a int) int { return a }\n\nfunc main() { helper(1) }\n",
-}
+def _code(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return code_ops.code_index(code_tree(spark, d))
 
 
-def sample_code(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return code_ops.code_index(spark.createDataFrame([(k, bytearray(v.encode())) for k, v in SOURCES.items()], "file string, content binary"))
+def code_graph(spark: SparkSession, d: str) -> KG:
+    found, links, _ = _code(spark, d)
+    return code_ops.as_graph(stored(found, "symbols"), stored(links, "links"))
 
 
-def _sample_graph(spark: SparkSession) -> KG:
-    found, links, _ = sample_code(spark)
-    return code_ops.as_graph(found, links)
-
-
-@query()
+@query(f"""{CODE_SQL} SELECT qualified, kind, lang, a AS line_start, b AS line_end FROM Y UNION ALL SELECT concat("from", ' -> ', "to"), type, '', 0, 0 FROM L""", "")
 def code_index(spark, d):
-    found, links, _ = sample_code(spark)
+    found, links, _ = _code(spark, d)
     return found.select("qualified", "kind", "lang", "line_start", "line_end").unionByName(links.select(F.concat_ws(" -> ", "from", "to").alias("qualified"), F.col("type").alias("kind"), F.lit("").alias("lang"), F.lit(0).alias("line_start"), F.lit(0).alias("line_end")))
 
 
-@query("SELECT 'indexed' AS outcome, CAST(4 AS BIGINT) AS files", None)
+@query(f"{CODE_SQL} SELECT (SELECT count(*) FROM documents WHERE doc_id % 3 <> 1) AS files_indexed, (SELECT count(*) FROM documents WHERE doc_id % 3 = 1) AS files_skipped, CAST(0 AS BIGINT) AS files_failed, (SELECT count(*) FROM Y WHERE k % 3 <> 1) AS symbols, (SELECT count(*) FROM L WHERE \"from\" NOT LIKE '%.ts%' AND \"to\" NOT LIKE '%.ts%') AS relations", "")
 def code_index_tally(spark, d):
-    return sample_code(spark)[2]
+    """A second run after a third of the files were indexed: those are skipped."""
+    files = code_tree(spark, d)
+    before = files.filter("file like '%.ts'").select("file", F.sha2("content", 256).alias("hash"))
+    return code_ops.code_index(files, before)[2]
 
 
-@query()
+_ROW = "concat(a, '-', b) AS lines"
+
+
+@query(f"{CODE_SQL} SELECT qualified AS name, kind, {_ROW} FROM Y WHERE k = 4", "")
 def code_outline(spark, d):
-    return code_ops.code_outline(_sample_graph(spark), "src/lib.rs")
+    return code_ops.code_outline(laid_out(spark, d, code_graph), "src/f4.ts").select("name", "kind", "lines")
 
 
-@query()
+@query(f"{CODE_SQL} SELECT qualified AS name, 'code:method' AS type, file, lang, {_ROW} FROM Y WHERE name = 'g12'", "")
 def code_search(spark, d):
-    return code_ops.code_search(_sample_graph(spark), "alpha", lang="rust")
+    return code_ops.code_search(indexed(spark, d, code_graph), "g12", kind="method").select("name", "type", "file", "lang", "lines")
 
 
-@query("SELECT 'src/lib.rs::beta' AS name, 'code:function' AS type, 'src/lib.rs::alpha' AS callers, '' AS callees", None)
+@query(f"""{CODE_SQL} SELECT 'src/f6.rs::f6' AS name, 'code:function' AS type, (SELECT string_agg("from", ',' ORDER BY "from") FROM L WHERE "to" = 'src/f6.rs::f6' AND type <> 'defines') AS callers,
+    (SELECT string_agg("to", ',' ORDER BY "to") FROM L WHERE "from" = 'src/f6.rs::f6' AND type <> 'defines') AS callees""", "")
 def code_get_symbol(spark, d):
-    return code_ops.code_get_symbol(_sample_graph(spark), "beta").select("name", "type", F.array_join("callers", ",").alias("callers"), F.array_join("callees", ",").alias("callees"))
-
-
-def _embedded(spark: SparkSession) -> tuple[KG, DataFrame]:
-    hot = lambda i: [1.0 if j == i else 0.0 for j in range(code_ops.DIMS)]
-    items = spark.createDataFrame([(0, "src/lib.rs::alpha", hot(0)), (1, "src/lib.rs::beta", hot(1)), (2, "nope", hot(2)), (3, "app.py::main", [1.0])], "pos long, name string, embedding array<float>")
-    return code_ops.code_embed(_sample_graph(spark), items)
-
-
-@query("SELECT unnest([0, 1, 2, 3])::BIGINT AS pos, unnest(['src/lib.rs::alpha', 'src/lib.rs::beta', 'nope', 'app.py::main']) AS name, unnest([NULL, NULL, 'unknown entity', 'wrong dimensions']) AS error", None)
+    return code_ops.code_get_symbol(laid_out(spark, d, code_graph), "f6").select("name", "type", F.array_join("callers", ",").alias("callers"), F.array_join("callees", ",").alias("callees"))
+
+
+def _embedded(spark: SparkSession, d: str) -> tuple[KG, DataFrame]:
+    """Each function with the vector of its document's number, twelve times over for the 768 dimensions; ghosts; short vectors."""
+    v = table(spark, d, "embeddings").withColumn("k", F.col("vec_id").cast("long"))
+    own = table(spark, d, "documents").select(F.col("doc_id").cast("long").alias("k"))
+    suffix = F.element_at(F.array(*(F.lit(x) for x, _ in CODE)), (F.col("k") % 3 + 1).cast("int"))
+    name = F.concat(F.lit("src/f"), F.col("k").cast("string"), F.lit("."), suffix, F.lit("::f"), F.col("k").cast("string"))
+    wide = F.flatten(F.array_repeat(F.col("embedding").cast("array<float>"), code_ops.DIMS // 64))
+    rows = v.join(own, "k", "left_semi")
+    ok = rows.select("k", name.alias("name"), wide.alias("embedding"))
+    ghost = rows.select((F.col("k") + 1_000_000).alias("k"), F.concat(name, F.lit("x")).alias("name"), wide.alias("embedding"))
+    short = rows.select((F.col("k") + 2_000_000).alias("k"), name.alias("name"), F.slice("embedding", 1, 3).cast("array<float>").alias("embedding"))
+    items = ok.unionByName(ghost).unionByName(short).withColumnRenamed("k", "pos")
+    return code_ops.code_embed(laid_out(spark, d, code_graph), items)
+
+
+@query(f"""{CODE_SQL}, W AS (SELECT k, qualified FROM Y JOIN embeddings ON vec_id = k WHERE kind = 'function') SELECT k AS pos, qualified AS name, NULL::VARCHAR AS error FROM W
+    UNION ALL SELECT k + 1000000, concat(qualified, 'x'), 'unknown entity' FROM W UNION ALL SELECT k + 2000000, qualified, 'wrong dimensions' FROM W""", "")
 def code_embed(spark, d):
-    return _embedded(spark)[1]
+    return _embedded(spark, d)[1]
 
 
-@query("SELECT unnest(['src/lib.rs::alpha', 'src/lib.rs::beta']) AS name, unnest(['code:function', 'code:function']) AS type, unnest([0.0, 1.0]) AS score", None)
+@query(f"""{CODE_SQL}, Q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 7), K AS (SELECT qualified, kind, lang, round(list_cosine_distance(CAST(embedding AS DOUBLE[]), q), 6) AS score
+    FROM Y JOIN embeddings ON vec_id = k, Q WHERE kind = 'function' ORDER BY score LIMIT 50) SELECT qualified AS name, concat('code:', kind) AS type, score FROM K WHERE lang = 'rust' ORDER BY score LIMIT 10""", "")
 def code_semantic_search(spark, d):
-    return code_ops.code_semantic_search(_embedded(spark)[0], [1.0] + [0.0] * (code_ops.DIMS - 1)).select("name", "type", "score")
+    query = [x for _ in range(code_ops.DIMS // 64) for x in _vector7(spark, d)]
+    return code_ops.code_semantic_search(_embedded(spark, d)[0], query, lang="rust", limit=10).select("name", "type", "score")
 
 
 @query("""SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS "end", count(*) AS changes FROM (

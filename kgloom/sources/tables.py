@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from functools import reduce
 
@@ -117,6 +118,46 @@ def document_graph(spark: SparkSession, sf_dir: str) -> KG:
     )
 
 
+#: Sources made of documents, three languages in turn: K is the document's number, P its half, J its rest by 7, TEXT its text.
+CODE = (
+    ("rs", "/*TEXT*/\npub struct TK {\n    a: u32,\n}\npub fn fK(x: u32) -> u32 {\n    let s = \"} fn no(\";\n    fP(x)\n}\nimpl SJ for TK {\n    fn gK(&self) -> u32 { fK(1) }\n}\n"),
+    ("ts", "/*TEXT*/\nexport class TK implements SJ {\n  gK(): number {\n    return fP(1);\n  }\n}\nexport function fK(x: number): number {\n  const s = `} function no(`;\n  return x;\n}\n"),
+    ("py", '"""TEXT"""\nclass TK(object):\n    def gK(self, x):\n        return fP(x)\n\ndef fK(x):\n    s = "def no("\n    return x\n'),
+)
+_TRAITS = 7
+
+
+def code_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file, content: a source file for each document, its text in a comment; the first files of the first language also define traits."""
+    key = F.col("doc_id").cast("long")
+    names = {"K": key, "P": F.floor(key / 2), "J": key % _TRAITS}
+    body = F.translate(F.coalesce("text", F.lit("")), '*"\\\r\x00`', "+'/  '")
+
+    def made(template: str) -> Column:
+        parts = re.split(r"(TEXT|(?<=[a-zA-Z])[KPJ]\b|(?<=[a-zA-Z])[KPJ](?=[(<]))", template)
+        return F.concat(*(body if x == "TEXT" else names[x].cast("string") if x in names else F.lit(x) for x in parts))
+
+    content = F.lit(None).cast("string")
+    for i, (_, template) in enumerate(CODE):
+        trait = F.when(key < len(CODE) * _TRAITS, F.concat(F.lit("pub trait S"), F.floor(key / len(CODE)).cast("string"), F.lit(" { }\n"))).otherwise("") if i == 0 else F.lit("")
+        content = F.when(key % len(CODE) == i, F.concat(made(template), trait)).otherwise(content)
+    suffix = F.element_at(F.array(*(F.lit(x) for x, _ in CODE)), (key % len(CODE) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("src/f"), key.cast("string"), F.lit("."), suffix).alias("file"), content.cast("binary").alias("content"))
+
+
+#: Symbols Y (k, qualified, kind, name, lang, a, b: lines) and edges L ("from", "to", type) of ``code_tree``.
+CODE_SQL = """D AS (SELECT doc_id AS k, doc_id // 2 AS p, doc_id % 7 AS j, doc_id % 3 AS m, len(coalesce(text, '')) - len(replace(coalesce(text, ''), chr(10), '')) AS n,
+            concat('src/f', doc_id, '.', ['rs', 'ts', 'py'][doc_id % 3 + 1]) AS file, ['rust', 'typescript', 'python'][doc_id % 3 + 1] AS lang FROM documents),
+    Y AS (SELECT k, file, lang, concat(file, '::T', k) AS qualified, 'class' AS kind, concat('T', k) AS name, n + 2 AS a, n + [4, 6, 4][m + 1] AS b FROM D
+          UNION ALL SELECT k, file, lang, concat(file, '::f', k), 'function', concat('f', k), n + [5, 7, 6][m + 1], n + [8, 10, 8][m + 1] FROM D
+          UNION ALL SELECT k, file, lang, concat(file, '::g', k), 'method', concat('g', k), n + [10, 3, 3][m + 1], n + [10, 5, 4][m + 1] FROM D
+          UNION ALL SELECT k, file, lang, concat(file, '::S', k // 3), 'class', concat('S', k // 3), n + 12, n + 12 FROM D WHERE m = 0 AND k < 21),
+    U AS (SELECT concat(file, CASE m WHEN 0 THEN '::f' ELSE '::g' END, k) AS src, concat('f', p) AS target, 'calls' AS type FROM D
+          UNION ALL SELECT concat(file, '::g', k), concat('f', k), 'calls' FROM D WHERE m = 0
+          UNION ALL SELECT CASE m WHEN 0 THEN file ELSE concat(file, '::T', k) END, concat('S', j), 'references' FROM D WHERE m < 2),
+    L AS (SELECT file AS "from", qualified AS "to", 'defines' AS type FROM Y UNION ALL SELECT DISTINCT src, qualified, type FROM U JOIN Y ON Y.name = U.target WHERE src <> qualified)"""
+
+
 def _sql_parts() -> str:
     e = " UNION ALL ".join(f"SELECT {o} + CAST({k} AS BIGINT) AS id, concat('{p}', {k}) AS name, {kind} AS type FROM {t}" for t, k, o, p, kind, _ in NODES)
     o = " UNION ALL ".join(f"SELECT {off} + CAST({k} AS BIGINT) AS entity_id, CAST({i} AS BIGINT) AS idx, {c} AS body FROM {t}" for t, k, off, _, _, cs in NODES for i, c in enumerate(cs))
