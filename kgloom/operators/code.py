@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import fnmatch
 import heapq
-import os
-import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,26 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions.scopes import scan, scan_python
 from ..sources.store import KG
+from ..sources.tree import language_of, read_tree
 from .text import search_ids
 from .vector import batch_upsert, clamp_k, nearest
 
-MAX_FILE = 10 * 1024 * 1024
 MAX_SYMBOLS = 20_000
-MAX_FILES = 200_000
 SIGNATURE, DOC, SNIPPET = 512, 512, 2000
-SKIPPED_DIRS = {"target", "node_modules", ".git", "dist", "build"}
 DIMS = 768
 
-#: Language by file extension.
-LANGUAGES = {
-    "rs": "rust", "py": "python", "pyi": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "mts": "typescript",
-    "cts": "typescript", "tsx": "tsx", "go": "go", "java": "java", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp", "rb": "ruby", "php": "php",
-}
-
-def language_of(path: str) -> str | None:
-    name = path.rsplit("/", 1)[-1]
-    return LANGUAGES.get(name.rsplit(".", 1)[-1].lower()) if "." in name else None
-
 
 def _short(text: str, most: int) -> str:
     text = text.strip()
@@ -53,59 +38,9 @@ def parse(path: str, text: str) -> tuple[list[dict], list[dict]]:
     return defs, refs[: MAX_SYMBOLS - len(defs)]
 
 
-def _ignored(rel: str, rules: list[tuple[bool, str, bool]], is_dir: bool) -> bool:
-    out = False
-    for negated, pattern, dirs_only in rules:
-        if dirs_only and not is_dir:
-            continue
-        anchored = "/" in pattern
-        if fnmatch.fnmatch(rel, pattern.lstrip("/")) or (not anchored and fnmatch.fnmatch(rel.rsplit("/", 1)[-1], pattern)):
-            out = not negated
-    return out
-
-
-def walk(root: str) -> Iterator[tuple[str, str]]:
-    """(relative path, path) of the source files below ``root``: no hidden, ignored, foreign or oversized ones.
-
-    Spark's file sources skip names that begin with an underscore, so the listing is made here.
-    """
-    rules: list[tuple[bool, str, bool]] = []
-    ignore = os.path.join(root, ".gitignore")
-    if os.path.isfile(ignore):
-        with open(ignore, encoding="utf-8", errors="replace") as f:
-            for line in (x.strip() for x in f):
-                if line and not line.startswith("#"):
-                    body = line[1:] if line.startswith("!") else line
-                    rules.append((line.startswith("!"), body.rstrip("/"), body.endswith("/")))
-    n = 0
-    for here, dirs, files in os.walk(root):
-        rel = os.path.relpath(here, root).replace(os.sep, "/")
-        inside = lambda x, rel=rel: x if rel == "." else f"{rel}/{x}"
-        dirs[:] = sorted(d for d in dirs if not d.startswith(".") and d not in SKIPPED_DIRS and not _ignored(inside(d), rules, True))
-        for f in sorted(files):
-            path = os.path.join(here, f)
-            if not f.startswith(".") and language_of(f) and not _ignored(inside(f), rules, False) and os.path.getsize(path) <= MAX_FILE:
-                yield inside(f), path
-                n += 1
-                if n >= MAX_FILES:
-                    return
-
-
-def read_files(spark: SparkSession, root: str, parts: int = 8) -> DataFrame:
-    """file, content of the sources below a folder that the executors see too."""
-    import pyarrow as pa
-
-    listed = spark.createDataFrame(list(walk(root)) or [("", "")], "file string, path string").filter("file <> ''").repartition(parts, "file")
-
-    def run(batches):
-        for batch in batches:
-            body = []
-            for p in batch.column("path").to_pylist():
-                with open(p, "rb") as f:
-                    body.append(f.read())
-            yield pa.RecordBatch.from_arrays([batch.column("file"), pa.array(body, pa.binary())], names=["file", "content"])
-
-    return listed.mapInArrow(run, "file string, content binary")
+def read_files(spark: SparkSession, root: str) -> DataFrame:
+    """file, content of the sources below a folder, by the tree's data source."""
+    return read_tree(spark, root)
 
 
 _SYMBOL = "file string, lang string, hash string, defs array<struct<kind:string,name:string,line_start:int,line_end:int,signature:string,doc:string,snippet:string>>, refs array<struct<kind:string,name:string,line:int>>"
@@ -284,3 +219,20 @@ def purge_files(kg: KG, files: DataFrame) -> KG:
     own = kg.entities.join(files.select("name"), "name", "left_semi").select("id")
     defined = kg.relations.filter(F.col("type") == "defines").join(own, F.col("from_id") == F.col("id"), "left_semi").select(F.col("to_id").alias("id"))
     return _without(kg, own.unionByName(defined).distinct())
+
+
+def known_files(kg: KG) -> DataFrame:
+    """file, hash of the files of an index."""
+    files = kg.entities.filter("type = 'code:file'").select("id", F.col("name").alias("file"))
+    hashes = kg.observations.filter(F.col("body").startswith("hash: ")).select(F.col("entity_id").alias("id"), F.substring("body", 7, 64).alias("hash"))
+    return files.join(hashes, "id").select("file", "hash")
+
+
+def merged(kg: KG | None, found: DataFrame, links: DataFrame, gone: DataFrame | None = None) -> KG:
+    """An index with the symbols and edges of files that were read anew, in place of what it had of them, and without files ``gone`` (file)."""
+    new = as_graph(found, links)
+    if kg is None:
+        return new
+    out = found.select(F.col("file").alias("name")).distinct()
+    old = purge_files(kg, out if gone is None else out.unionByName(gone.select(F.col("file").alias("name"))))
+    return KG(*(getattr(old, t).unionByName(getattr(new, t).select(*getattr(old, t).columns)) for t in ("entities", "observations", "relations", "embeddings")))

@@ -76,9 +76,7 @@ class Session:
         return self.spark.createDataFrame(rows, schema)
 
     def project(self, args: dict) -> KG:
-        name = args.get("project", "default")
-        if not re.fullmatch(r"[A-Za-z0-9_-]{1,64}", name):
-            raise ValueError("project must be 1 to 64 letters, digits, _ or -")
+        name = _project_name(args)
         if name not in self.projects:
             raise ValueError(f"project '{name}' is not indexed")
         return self.projects[name]
@@ -355,17 +353,35 @@ def vector_store_stats(s, a):
     return vector.store_stats(s.kg)
 
 
+def _project_name(a: dict) -> str:
+    name = a.get("project", "default")
+    if not re.fullmatch(r"[A-Za-z0-9_-]{1,64}", name):
+        raise ValueError("project must be 1 to 64 letters, digits, _ or -")
+    return name
+
+
+def _take_up(s: Session, name: str, found: DataFrame, links: DataFrame, gone: DataFrame | None = None) -> None:
+    """The project's graph with files that changed, written once so that plans stay short."""
+    kg = code.merged(s.projects.get(name), stored(found, "symbols"), stored(links, "links"), gone)
+    s.projects[name] = KG(*(stored(getattr(kg, t), f"code-{t}") for t in ("entities", "observations", "relations", "embeddings")))
+
+
 @_operation(CODE)
 def code_index(s, a):
-    found, links, tally = code.code_index(code.read_files(s.spark, _text(a, "path")), None, a.get("force", False))
-    s.projects[a.get("project", "default")] = code.as_graph(found, links)
+    name = _project_name(a)
+    old = s.projects.get(name)
+    found, links, tally = code.code_index(code.read_files(s.spark, _text(a, "path")), None if old is None else code.known_files(old), a.get("force", False))
+    tally = stored(tally, "tally")
+    _take_up(s, name, found, links)
     return tally
 
 
 @_operation(CODE)
 def code_watch(s, a):
+    name = _project_name(a)
+
     def keep(found, links, tally, gone):
-        s.projects[a.get("project", "default")] = code.as_graph(found, links)
+        _take_up(s, name, found, links, gone)
 
     return watch.code_watch(s.spark, _text(a, "path"), keep, f"{shared_dir(s.spark)}/watch-{uuid.uuid4().hex}")
 
