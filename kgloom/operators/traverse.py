@@ -140,6 +140,68 @@ def find_path(kg: KG, source: str, target: str) -> DataFrame:
     return named(path)
 
 
+MAX_PAIRS = 4096
+
+
+def find_paths(kg: KG, pairs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """pair_id, pos, name: ``find_path`` for many pairs (pair_id, source, target) at once; no rows for a pair without a path.
+
+    All pairs grow together from their targets: a node of a level carries a bit for each pair that reaches it there, in columns of 64, so a
+    level is one join with the edges and one aggregation however many pairs there are.  A pair whose source is reached grows no further.  Then
+    all paths walk down the levels together, each to the least neighbour that has its bit.  At most ``MAX_PAIRS`` pairs in a call.
+    """
+    spark = kg.entities.sparkSession
+    ids = lambda name, to: kg.entities.select(F.col("name").alias(name), F.col("id").alias(to))
+    asked = pairs.select("pair_id", "source", "target").join(ids("source", "a"), "source").join(ids("target", "b"), "target").select("pair_id", "a", "b")
+    got = asked.orderBy("pair_id").limit(MAX_PAIRS + 1).collect()
+    if len(got) > MAX_PAIRS:
+        raise ValueError(f"over {MAX_PAIRS} pairs")
+    numbered = spark.createDataFrame([(i, r["pair_id"], r["a"], r["b"]) for i, r in enumerate(got)], "n int, pair_id long, a long, b long")
+    words = [f"w{i}" for i in range(-(-len(got) // 64))]
+    bit = lambda i: F.when(F.shiftright("n", 6) == i, F.expr("shiftleft(1L, n & 63)")).otherwise(F.lit(0).cast("long"))
+    marks = lambda rows, node: rows.groupBy(F.col(node).alias("id")).agg(*(F.bit_or(bit(i)).alias(w) for i, w in enumerate(words)))
+    has = F.lit(False)
+    for i, w in enumerate(words):
+        has = has | ((F.shiftright("n", 6) == i) & (F.expr(f"shiftrightunsigned({w}, n & 63) & 1L") == 1))
+    steps = _steps(kg.relations, "both").select("here", "there").filter("here <> there")
+    # paths: n, node, and what is left of the way; a pair joins the walk at its own level
+    open_, found = numbered, []
+    if not got:
+        return spark.createDataFrame([], "pair_id long, pos int, name string")
+    levels = [stored(marks(numbered, "b"), "level")]
+    visited = levels[0]
+    for depth in range(max_depth + 1):
+        done = stored(open_.join(levels[-1], open_["a"] == levels[-1]["id"]).filter(has).select("n", "pair_id", "a", "b"), "met")
+        found.append(done)
+        open_ = stored(open_.join(done.select("n"), "n", "left_anti"), "open")
+        if depth == max_depth or open_.isEmpty():
+            break
+        rest = [F.bit_or(bit(i)).alias(f"o{i}") for i in range(len(words))]
+        grown = levels[-1].crossJoin(F.broadcast(open_.agg(*rest)))  # one row: the pairs still open
+        grown = grown.select("id", *((F.col(w).bitwiseAND(F.col(f"o{i}"))).alias(w) for i, w in enumerate(words)))
+        some = lambda: F.greatest(*(F.col(w) != 0 for w in words), F.lit(False))
+        moved = grown.filter(some()).join(steps, F.col("id") == F.col("here")).groupBy(F.col("there").alias("id")).agg(*(F.bit_or(w).alias(w) for w in words))
+        old = visited.select("id", *(F.col(w).alias(f"v{i}") for i, w in enumerate(words)))
+        fresh = moved.join(old, "id", "left").select("id", *(F.col(w).bitwiseAND(F.bitwise_not(F.coalesce(F.col(f"v{i}"), F.lit(0).cast("long")))).alias(w) for i, w in enumerate(words)))
+        levels.append(stored(fresh.filter(some()), "level"))
+        if levels[-1].isEmpty():
+            break
+        visited = stored(visited.unionByName(levels[-1]).groupBy("id").agg(*(F.bit_or(w).alias(w) for w in words)), "visited")
+    none = spark.createDataFrame([], "n int, pair_id long, node long, pos int")
+    at, out = none, []
+    for depth in range(len(found) - 1, -1, -1):
+        here = at.unionByName(found[depth].select("n", "pair_id", F.col("a").alias("node"), F.lit(0).alias("pos"))) if depth < len(found) else at
+        here = stored(here, "walk")
+        out.append(here)
+        if depth:
+            near = here.join(steps, F.col("node") == F.col("here")).join(levels[depth - 1], F.col("there") == F.col("id")).filter(has)
+            at = near.groupBy("n", "pair_id", "pos").agg(F.min("there").alias("node")).select("n", "pair_id", "node", (F.col("pos") + 1).alias("pos"))
+    whole = out[0]
+    for part in out[1:]:
+        whole = whole.unionByName(part)
+    return whole.join(kg.name_of(None).select(F.col("id").alias("node"), "name"), "node").select("pair_id", "pos", "name")
+
+
 def find_all_paths(kg: KG, source: str, target: str, max_depth: int = 6, max_paths: int = 50, distinct: bool = False) -> DataFrame:
     """path_id, pos, name of simple undirected paths, shortest first, then by ids.
 

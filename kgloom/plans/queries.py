@@ -324,6 +324,16 @@ def find_path(spark, d):
     return traverse.find_path(laid_out(spark, d), "part:17", "region:3")
 
 
+@query(f"""{_STEPS}, W AS MATERIALIZED (SELECT DISTINCT h, t FROM S), P AS (SELECT s_suppkey AS pair, 2000000 + s_suppkey AS a, 1000000 + s_suppkey AS b FROM supplier),
+    B AS (SELECT pair, a, b AS id, 0 AS dist FROM P UNION SELECT pair, a, W.t, B.dist + 1 FROM B JOIN W ON W.h = B.id WHERE B.dist < 4 AND B.id <> a)
+    SELECT pair AS pair_id, min(dist) AS hops FROM B WHERE id = a GROUP BY pair""")
+def find_path_pairs(spark, d):
+    """A shortest path from a customer to the supplier of the same number, for all suppliers in one run."""
+    key = F.col("s_suppkey").cast("long")
+    pairs = table(spark, d, "supplier").select(key.alias("pair_id"), F.concat(F.lit("customer:"), key).alias("source"), F.concat(F.lit("supplier:"), key).alias("target"))
+    return traverse.find_paths(laid_out(spark, d), pairs).groupBy("pair_id").agg(F.max("pos").alias("hops"))
+
+
 @query()
 def find_all_paths(spark, d):
     return traverse.find_all_paths(laid_out(spark, d), "part:17", "region:3")

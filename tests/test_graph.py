@@ -85,6 +85,18 @@ def test_paths(pair):
     assert [r["name"] for r in traverse.find_path(kg, some[2], some[2]).collect()] == [some[2]]
 
 
+def test_many_paths(pair, spark):
+    """All pairs of a graph in one run, a path for each as ``find_path`` gives it."""
+    plain, kg = pair
+    some = [n for n, _, _ in plain.entities][:14]
+    asked = [(i, a, b) for i, (a, b) in enumerate(itertools.product(some, some))] + [(999, "nobody", some[0])]
+    got = {}
+    for r in traverse.find_paths(kg, spark.createDataFrame(asked, "pair_id long, source string, target string")).collect():
+        got.setdefault(r["pair_id"], {})[r["pos"]] = r["name"]
+    want = {i: dict(enumerate(plain.path(a, b))) for i, a, b in asked[:-1]}
+    assert len(asked) > 64 and got == {i: p for i, p in want.items() if p}
+
+
 @pytest.mark.parametrize("way,kind,depth", [("both", None, 1), ("OUTGOING", None, 3), ("in", "l1", 2), ("both", "l0", 2), ("out", "no such", 2), ("both", None, 0)])
 def test_neighbours(pair, way, kind, depth):
     plain, kg = pair
