@@ -41,14 +41,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: lineage ends there."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` written once to the shared folder and read back: lineage ends there.  With ``by`` its values are folders of their own."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     conf = df.sparkSession.conf
     before = conf.get(_BATCH, None)
     conf.set(_BATCH, str(_BATCH_BYTES))
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         conf.unset(_BATCH) if before is None else conf.set(_BATCH, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
