@@ -6,6 +6,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from kgloom.llm import fm_quality, minhash_tensor, mix_flow, repair_tokens, secret_forest, substring_chains, surrogates, toxicity_chain, winnow
+from kgloom.llm import exact_dedup as exact_dedup_module
 from kgloom.llm.exact_dedup import exact_dedup
 from kgloom.llm.queries import CATEGORIES
 from pyspark.sql import functions as F
@@ -106,14 +107,40 @@ def test_loose_group(spark):
     assert got == brute_groups(rows, 4, 80, 100)
 
 
-def test_bounded_filter(spark):
-    """However small the filter, results stay; rows it finds alone go straight through, without an exchange."""
-    docs = spark.createDataFrame([(i, f"text {i % 70}", "en", "s", 1) for i in range(100)], DOCS)
-    full = sorted(map(tuple, exact_dedup(docs).collect()))
-    assert sorted(map(tuple, exact_dedup(docs, max_filter_bits=64).collect())) == full and sum(r[3] for r in full) == 70
-    plan = exact_dedup(docs, max_filter_bits=1024)._jdf.queryExecution().optimizedPlan().toString()
+def _exchanged(df):
+    """Rows that exchanges of a query that has run have written, by the keys they were dealt by."""
+    plan, out = df._jdf.queryExecution().executedPlan().toString(), []
+    for line in plan.splitlines():
+        if "Exchange hashpartitioning" in line:
+            out.append(line.split("hashpartitioning(")[1].split("#")[0])
+    return out
+
+
+@pytest.mark.parametrize("most", [1 << 28, 1 << 12])
+def test_filter_in_rounds(spark, most):
+    """However small what is broadcast, results stay, and rows that the filter finds alone go straight through, without an exchange."""
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, f"text {rng.randrange(900)}" if i % 3 else "the hot one", "en", "s", 1) for i in range(1200)] + [(None, None, "", "", 0), (5000, "", "", "", 0)], DOCS)
+    texts = {}
+    for r in docs.collect():
+        texts.setdefault(r["text"] or "", []).append(r["doc_id"])
+    want = {(d, max(x for x in g if x is not None), len(g)) for g in texts.values() for d in g}
+    found = exact_dedup(docs, max_filter_bits=most)
+    rows = found.collect()
+    assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in rows} == want and sum(r["kept"] for r in rows) == len(texts)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
     straight = plan.split("Union")[1].split("Join")[0]
     assert "NOT maybe" in straight and "Aggregate" not in straight.split("Relation")[0]
+    assert set(_exchanged(found)) <= {"text_sha256"}
+
+
+def test_filter_shuffles_buckets(spark):
+    """Pass one sends a row for each task and bucket, not for each text; repeated positions alone are in the words."""
+    at = spark.range(0, 100_000, 1, 4).select((F.col("id") * 7 % (1 << 21)).alias("position"))
+    at = at.unionByName(spark.createDataFrame([(7 * 5,), (7 * 9,), (3,), (3,)], "position long"))
+    words = {r["word"]: r["mask"] for r in exact_dedup_module._repeated(at).collect()}
+    assert words == {0: -(1 << 63) + (1 << 35) + (1 << 3)}
+    assert "collect_list" in exact_dedup_module._repeated(at)._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_grammar_has_no_frequent_pair():
