@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,13 +55,17 @@ def _vector(args: dict, key: str = "embedding") -> list[float]:
 
 
 class Session:
-    """A graph and the operations on it; writes replace the graph of the session."""
+    """A graph and the operations on it; writes replace the graph of the session.
 
-    def __init__(self, kg: KG, categories: Sequence[str] = (READ, WRITE, VECTOR, CODE), metric: str = "cos", projects: dict[str, KG] | None = None, index_kind: str = "hnsw") -> None:
+    After ``settle`` writes its tables are written to the shared folder, so that plans do not grow with the writes.
+    """
+
+    def __init__(self, kg: KG, categories: Sequence[str] = (READ, WRITE, VECTOR, CODE), metric: str = "cos", projects: dict[str, KG] | None = None, index_kind: str = "hnsw", settle: int = 4) -> None:
         self.kg, self.categories, self.metric = kg, set(categories), metric
         self.projects = projects or {}
         self.index_kind = index_kind
         self.boost = False
+        self.settle, self._writes = settle, 0
 
     @property
     def spark(self) -> SparkSession:
@@ -70,7 +75,15 @@ class Session:
         """The operation's result: DataFrames (entities and relations as a pair), or a value of a write."""
         if name not in OPERATIONS or OPERATIONS[name][0] not in self.categories:
             raise UnknownOperation(name)
-        return OPERATIONS[name][1](self, args or {})
+        before = self.kg
+        result = OPERATIONS[name][1](self, args or {})
+        if self.kg is not before and name != "compact":
+            self._writes += 1
+            if self._writes % self.settle == 0:
+                parts = ("entities", "observations", "relations", "embeddings")
+                same = {t for t in parts if getattr(self.kg, t) is getattr(before, t)} if self.settle == 1 else set()
+                self.kg = replace(self.kg, **{t: stored(getattr(self.kg, t), f"session-{t}") for t in parts if t not in same})
+        return result
 
     def frame(self, rows: list[tuple], schema: str) -> DataFrame:
         return self.spark.createDataFrame(rows, schema)
