@@ -15,6 +15,7 @@ whole; other columns are ignored; rows with equal doc_id are rows of their own.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -135,9 +136,13 @@ def find_spans(docs: DataFrame, items: DataFrame, max_item_words: int = 1 << 20)
     One row for each document and portion of the items; ``row`` tells the documents apart.
     """
     spark = docs.sparkSession
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id())
+    portions = _portions(items, max_item_words)
+    first, second = next(portions), next(portions, None)
+    if second is not None:  # passes are united by row: they must read the same numbers
+        numbered = stored(numbered, "leak-rows")
     out, many = None, None
-    for ids, texts in _portions(items, max_item_words):
+    for ids, texts in itertools.chain([first], [second] if second is not None else [], portions):
         sent = spark.sparkContext.broadcast((ids, texts))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -157,7 +162,6 @@ def find_spans(docs: DataFrame, items: DataFrame, max_item_words: int = 1 << 20)
                     names=["row", "doc_id", "n_words", "spans", "items"],
                 )
 
-        numbered = narrow.withColumn("row", F.monotonically_increasing_id())
         found = numbered.mapInArrow(run, _FOUND)
         many, out = (True, out.unionByName(found)) if out is not None else (False, found)
     return out if not many else stored(out, "leak-spans").groupBy("row").agg(
