@@ -75,6 +75,11 @@ def image(s: np.ndarray) -> np.ndarray:
     return np.packbits(cell.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which images (rows of 64-bit words) differ; of a signed word NumPy would count those of its absolute value."""
+    return np.bitwise_count((a ^ b).view(U)).sum(-1, dtype=np.int64)
+
+
 def _fixed(rows: list[np.ndarray], n: int) -> pa.Array:
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * n, pa.int32()), pa.array(flat.view(np.int64)))
@@ -187,7 +192,7 @@ def _nearest(c: np.ndarray, g: np.ndarray, n: np.ndarray, bits: np.ndarray, left
     g, found = g.copy(), []
     for x in range(left):
         y = right[(g[right] != g[x]) & (den * np.minimum(n[x], n[right]) >= num * np.maximum(n[x], n[right]))]
-        differ = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+        differ = unlike(bits[x], bits[y])
         ok = differ * (den + num) <= (den - num) * (n[x] + n[y])
         y, share = y[ok], differ[ok] / (n[x] + n[y[ok]])
         while len(y):
@@ -222,7 +227,7 @@ def _tested(members: DataFrame, num: int, den: int, nearest: bool = False) -> Da
             x, y = np.nonzero(may)
             for s in range(0, len(x), 1 << 16):  # images of some pairs at a time
                 a, b = p[x[s : s + (1 << 16)], 0], right[y[s : s + (1 << 16)]]
-                differ = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
+                differ = unlike(bits[a], bits[b])
                 ok = differ * (den + num) <= (den - num) * (n[a] + n[b])
                 out.append(np.stack([c[a[ok]], c[b[ok]]]))
         return tuple(np.concatenate(out, 1))

@@ -98,3 +98,14 @@ def test_fit_holds_little():
     for step in (1, 4, 100):
         assert np.allclose(toxicity_chain._Sums(at, sizes, step).of(values), whole)
     assert not toxicity_chain._Sums(at[:0], sizes * 0).of(values).any()
+
+
+def test_images_bound_the_difference():
+    """Images never differ in more bits than their sets in members, whatever the sign of a word."""
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.integers(1, 200))
+        s, t = (np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for _ in range(2))
+        t = np.unique(np.concatenate([s[: n // 2], t]))
+        a, b = minhash_tensor.image(s), minhash_tensor.image(t)
+        assert minhash_tensor.unlike(a[None], b[None])[0] == sum(bin(int(x) & (2**64 - 1)).count("1") for x in a ^ b) <= len(np.setxor1d(s, t))
