@@ -13,7 +13,7 @@ from .mix_flow import mix_sources
 from .phrase_parse import phrase_fingerprints
 from .prefix_louds import conversation_trie
 from .repair_tokens import token_output
-from .secret_forest import example_findings, fit_secrets, scan_secrets
+from .secret_forest import count_transitions, example_findings, fit_secrets, scan_secrets
 from .shared import documents
 from .substring_chains import shared_passages
 from .surrogates import replace_pii
@@ -72,7 +72,8 @@ def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(documents(spark, sf_dir), fit_secrets(example_findings()))
+    docs = documents(spark, sf_dir)
+    return scan_secrets(docs, fit_secrets(example_findings(), table=count_transitions(docs)))
 
 
 def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,15 @@
 """Secret scan: candidate strings, and a random forest that removes false positives.
 
-Candidates are runs of token characters that mix character classes, found on the bytes of a batch.  A candidate's
-features are its length, entropy, the kinds of transitions between its characters, how much of it dictionary
+Candidates are runs of ``LEAST`` or more token characters that mix character classes, found on the bytes of a batch.  A candidate's
+features are its length, entropy, how likely the transitions between its characters are in the corpus (``count_transitions``: all texts are
+counted), how often its character classes change, how much of it dictionary
 words cover, whether it lies in a path or address, and the words beside it.  The forest (bagged CART trees
 over binned features) is fitted on the driver on at most ``max_findings`` labelled findings.  Where a repository has
 none, ``example_findings`` makes a seeded set of typical true and false ones.
 
 Defined cases: null or empty texts have no candidates; without labelled findings, or with one label only, every
-score is the share of label 1 (0.5 with none); a candidate of any length is scored on all of it; repeated findings
+score is the share of label 1 (0.5 with none); a run shorter than ``LEAST`` or of one character class is no candidate, a longer one is
+scored on all of it; without counted transitions, or in an empty corpus, all are equally likely; repeated findings
 are rows of their own; other columns are ignored.
 """
 
@@ -18,17 +20,18 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import _is, span_bounds, string_buffers
+from .bytewords import _is, slices, span_bounds, string_buffers
+from .shared import sparing
 
-LEAST = 16
-_TOKEN = _is((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A)) | _is((0x2B, 0x2B), (0x2D, 0x2F), (0x3D, 0x3D)) | _is((0x5F, 0x5F), (0x7E, 0x7E))
+LEAST = 8
+_TOKEN = _is((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A)) | _is((0x2B, 0x2B), (0x2D, 0x2F)) | _is((0x5F, 0x5F), (0x7E, 0x7E))
 _DIGIT, _UP, _LOW = _is((0x30, 0x39)), _is((0x41, 0x5A)), _is((0x61, 0x7A))
 #: Words of the kind that names, paths and identifiers are made of.
 DICTIONARY = frozenset(
@@ -38,13 +41,50 @@ DICTIONARY = frozenset(
 )
 NAMING = frozenset("token key secret password passwd pwd api apikey auth bearer credential credentials access private aws signature".split())
 HARMLESS = frozenset("sha sha1 sha256 md5 hash checksum commit digest uuid guid id integrity etag revision blob path url file version image".split())
-FEATURES = ("length", "entropy", "digits", "uppers", "marks", "transitions", "hex", "covered", "vowels", "slashes", "dots", "repeats", "path", "assigned", "quoted", "named", "harmless", "uuid")
+FEATURES = ("length", "entropy", "digits", "uppers", "marks", "transitions", "hex", "covered", "vowels", "slashes", "dots", "repeats", "path", "assigned", "quoted", "named", "harmless", "uuid", "likely")
+
+#: Classes of characters between which transitions are counted: each letter, digits, all others.
+_CLASSES = 28
+_CLASS = np.full(256, 27, np.uint8)
+_CLASS[0x30:0x3A] = 26
+_CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = np.arange(26)
+EVEN = np.full((_CLASSES, _CLASSES), -math.log2(_CLASSES))
+
+
+def count_transitions(docs: DataFrame) -> np.ndarray:
+    """log2 of how often a class follows another in the texts, one added to each count; the driver gets 784 numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_CLASSES * _CLASSES, np.int64)
+        for batch in batches:
+            for part in slices(batch.column("text")):
+                data, offsets = string_buffers(part)
+                kinds = _CLASS[data].astype(np.int16)
+                pairs = kinds[:-1] * _CLASSES + kinds[1:]
+                keep = np.ones(len(pairs), bool)
+                inner = offsets[(offsets > 0) & (offsets < len(data))]
+                keep[inner - 1] = False
+                total += np.bincount(pairs[keep], minlength=len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["pair", "n"])
+
+    found = docs.select("text").mapInArrow(sparing(run), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    table = np.ones(_CLASSES * _CLASSES)
+    for r in found:
+        table[r["pair"]] += r["n"]
+    table = table.reshape(_CLASSES, _CLASSES)
+    return np.log2(table / table.sum(1, keepdims=True))
 
 
 def candidates(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, and the row, start and end of each candidate in them."""
+    """Bytes, and the row, start and end of each candidate in them; up to two = that end a run belong to it, one between two runs does not."""
     data, offsets = string_buffers(column)
     starts, ends, _ = span_bounds(_TOKEN[data], offsets)
+    stop = offsets[np.searchsorted(offsets, starts, "right")] if len(starts) else starts
+    padded = np.append(data, np.zeros(3, np.uint8))
+    more = np.where(ends < stop, padded[ends] == 0x3D, False).astype(np.int64)
+    more += (more > 0) & (ends + 1 < stop) & (padded[ends + 1] == 0x3D)
+    goes_on = (ends + more < stop) & _TOKEN[padded[ends + more]]
+    ends = ends + np.where(goes_on, 0, more)
     keep = ends - starts >= LEAST
     starts, ends = starts[keep], ends[keep]
     count = lambda t: np.array([int(t[data[a:b]].sum()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
@@ -58,8 +98,9 @@ def _kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3
 
 
-def features(token: str, before: str, after: str) -> list[float]:
+def features(token: str, before: str, after: str, table: np.ndarray = EVEN) -> list[float]:
     n = len(token)
+    classes = _CLASS[np.frombuffer(token.encode(), np.uint8)]
     counts = Counter(token)
     kinds = [_kind(c) for c in token]
     parts = [p.lower() for p in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", token)]
@@ -72,6 +113,7 @@ def features(token: str, before: str, after: str) -> list[float]:
         sum(a == b for a, b in zip(token, token[1:], strict=False)) / max(1, n - 1), float(bool(re.search(r"(https?:|[/\\~.]|\w:)$", before.rstrip()[-8:]) or token.startswith(("/", "./", "../")))),
         float(bool(re.search(r"[=:]\s*[\"']?$", before[-6:]))), float(before[-1:] in "\"'" and after[:1] in "\"'" and bool(before)), float(any(w in NAMING for w in near)),
         float(any(w in HARMLESS for w in near)), float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", token))),
+        float(table[classes[:-1], classes[1:]].mean()),
     ]
 
 
@@ -81,6 +123,7 @@ class Forest:
 
     share: float
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    table: np.ndarray = field(default_factory=lambda: EVEN)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if not self.trees:
@@ -147,11 +190,15 @@ def example_findings(n: int = 2400, seed: int = 23) -> list[tuple[str, str, str,
         word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
         if i % 2:
             token = rng.choice([pick(hexs, rng.choice([32, 40, 48, 64])), pick(b64, rng.randint(20, 64)), pick(b64[:62], rng.randint(24, 48)), "AK" + pick(b64[:26] + "234567", 18), rng.choice(["pk_", "sk_", "tok-", "gh_"]) + pick(b64[:62], rng.randint(24, 40))])
+            if i % 8 == 1:  # passwords: short, beside a name of the kind
+                token = pick(b64[:62] + "-_+", rng.randint(8, 15)) + rng.choice("0123456789") + rng.choice("ABCDEFGH")
+            elif i % 8 == 3:  # parts joined by marks: numbers of an account and a random tail, or signed claims
+                token = rng.choice([f"xo{pick('abprs', 2)}-{pick('0123456789', 12)}-{pick('0123456789', 12)}-{pick(b64[:62], 24)}", f"eyJ{pick(b64[:62], 20)}.eyJ{pick(b64[:62], rng.randint(20, 60))}.{pick(b64[:62] + '-_', 43)}"])
             q = rng.choice(['"', "'", ""])
             before = rng.choice([f"{rng.choice(sorted(NAMING))}{rng.choice([' = ', '=', ': '])}{q}", f"{word()} {rng.choice(sorted(NAMING))} {q}", f"Authorization: Bearer {q}"])
             out.append((f"{word()} {before}", token, f"{q} {word()}", 1))
         else:
-            kind = rng.randrange(8)
+            kind = rng.randrange(12)
             before, after = f"{word()} ", f" {word()}"
             if kind == 0:
                 token = "/".join(rng.choice(words) for _ in range(rng.randint(4, 7))) + f"/{word()}{rng.randint(1, 99)}.html"
@@ -169,19 +216,28 @@ def example_findings(n: int = 2400, seed: int = 23) -> list[tuple[str, str, str,
                 token = rng.choice("ax0-=") * rng.randint(10, 30) + "a1" + rng.choice("ax0") * 8
             elif kind == 6:
                 token, before = rng.choice(["YOUR_API_KEY_HERE_1", "xxxxxxxxxxxxxxxxxxx1", "changeme-changeme-1", "EXAMPLE0000000000KEY"]), f"{word()} key = \""
+            elif kind == 7:  # identifiers, also beside the word key
+                token = "_".join(rng.choice(words) for _ in range(rng.randint(2, 5))) + f"_{rng.choice(['v', ''])}{rng.randint(1, 2030)}"
+                before = f"{word()} {rng.choice(['primary key', 'foreign key', 'column', 'field', 'key ='])} "
+            elif kind == 8:  # integrity values
+                token, before = rng.choice(["sha256-", "sha384-", "sha512-"]) + pick(b64, rng.choice([43, 64, 86])) + "==", f"{word()} {rng.choice(['integrity', 'integrity='])}{rng.choice([' ', chr(34)])}"
+            elif kind == 9:  # words of the text with digits and capitals
+                token = word() + word().capitalize() + word() + str(rng.randint(0, 99))
+            elif kind == 10:
+                token, before = pick(hexs, rng.choice([8, 12, 40, 48, 64])), f"{word()} {word()} {rng.choice(['at', 'from', 'in', 'revision', 'blob'])} "
             else:
                 token = f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}T{rng.randint(10, 23)}-{rng.randint(10, 59)}-00Z"
             out.append((before, token, after, 0))
     return out
 
 
-def fit_secrets(findings: list[tuple[str, str, str, int]], max_findings: int = 20_000, **settings) -> Forest:
-    """Fit on labelled findings (before, token, after, label); the first ``max_findings`` in a seeded order."""
+def fit_secrets(findings: list[tuple[str, str, str, int]], max_findings: int = 20_000, table: np.ndarray = EVEN, **settings) -> Forest:
+    """Fit on labelled findings (before, token, after, label); the first ``max_findings`` in a seeded order; ``table`` of ``count_transitions``."""
     rows = list(findings)
     random.Random(1).shuffle(rows)
     rows = rows[:max_findings]
-    x = np.array([features(t, b, a) for b, t, a, _ in rows]) if rows else np.zeros((0, len(FEATURES)))
-    return fit_forest(x, np.array([y for *_, y in rows], float), **settings)
+    x = np.array([features(t, b, a, table) for b, t, a, _ in rows]) if rows else np.zeros((0, len(FEATURES)))
+    return replace(fit_forest(x, np.array([y for *_, y in rows], float), **settings), table=table)
 
 
 def scan_secrets(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> DataFrame:
@@ -197,7 +253,7 @@ def scan_secrets(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> Dat
                 lo, hi = offsets[r], offsets[r + 1]
                 token = data[a:b].tobytes().decode()
                 tokens.append(token)
-                rows.append(features(token, data[max(lo, a - 64) : a].tobytes().decode(errors="ignore"), data[b : min(hi, b + 40)].tobytes().decode(errors="ignore")))
+                rows.append(features(token, data[max(lo, a - 64) : a].tobytes().decode(errors="ignore"), data[b : min(hi, b + 40)].tobytes().decode(errors="ignore"), sent.value.table))
             score = sent.value.score(np.array(rows).reshape(len(rows), len(FEATURES)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(row)), pa.array(starts - offsets[row]), pa.array(ends - offsets[row]), pa.array(tokens, pa.string()), pa.array(score), pa.array(score >= threshold)],

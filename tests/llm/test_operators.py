@@ -395,4 +395,4 @@ def test_secrets(spark, none):
     assert got[1]["secret"] and not (2 in got and got[2]["secret"]) and set(got) <= {1, 2}
     assert docs.filter("doc_id = 1").first()["text"].encode()[got[1]["start"] : got[1]["end"]].decode() == got[1]["token"]
     assert secret_forest.scan_secrets(none, forest).count() == 0
-    assert secret_forest.fit_secrets([]).score(np.zeros((2, 18))).tolist() == [0.5, 0.5]
+    assert secret_forest.fit_secrets([]).score(np.zeros((2, len(secret_forest.FEATURES)))).tolist() == [0.5, 0.5]
