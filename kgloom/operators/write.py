@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import KG
+from ..sources.store import KG, stored
 from .read import NotFound
 
 MAX_NAME = 1024
@@ -19,14 +19,20 @@ def validate_name(name: str, what: str = "name") -> str:
     return name
 
 
-def _number(rows: DataFrame, after: DataFrame, order: list[str]) -> DataFrame:
-    """``rows`` with ids that follow the greatest of ``after`` (one row: m)."""
-    # a request has at most MAX_BATCH rows and a bulk load is numbered by ranges, so no large window runs in one task
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+def number(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with their ``place`` (from 1) in an order."""
+    # a request has at most MAX_BATCH rows and a bulk load is numbered by ranges, so no large window runs in one task; the ranges are
+    # written, as two plans over them would be dealt into different ones
+    ranged = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = F.row_number().over(Window.partitionBy("part").orderBy(*order))
-    return ranged.withColumn("inside", inside).join(before, "part").crossJoin(F.broadcast(after)).withColumn("id", F.coalesce("m", F.lit(0)) + F.col("before") + F.col("inside")).drop("part", "inside", "before", "m")
+    return ranged.withColumn("inside", inside).join(before, "part").withColumn("place", F.col("before") + F.col("inside")).drop("part", "inside", "before")
+
+
+def _number(rows: DataFrame, after: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with ids that follow the greatest of ``after`` (one row: m)."""
+    return number(rows, order).crossJoin(F.broadcast(after)).withColumn("id", F.coalesce("m", F.lit(0)) + F.col("place")).drop("place", "m")
 
 
 def create_entities(kg: KG, new: DataFrame) -> tuple[KG, DataFrame]:
