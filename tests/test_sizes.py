@@ -1,6 +1,6 @@
-"""Requests larger than a test's other ones."""
+"""Requests larger than a test's other ones: more pairs than go at once, batches of several ranges."""
 
-from kgloom.operators import write
+from kgloom.operators import traverse, write
 from kgloom.sources.store import build
 from pyspark.sql import functions as F
 
@@ -22,3 +22,17 @@ def test_new_entities_of_several_ranges(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_more_pairs_than_go_at_once(spark, monkeypatch):
+    """Portions give what one run gives (before: an error)."""
+    chain = [(f"e{i}", f"e{i + 1}", "l") for i in range(9)]
+    kg = build(spark, [(f"e{i}", "k", []) for i in range(10)] + [("lone", "k", [])], chain)
+    asked = [(7 * i + j, f"e{i}", f"e{j}") for i in range(4) for j in range(5)] + [(100, "e0", "lone"), (101, "e3", "e3")]
+    pairs = spark.createDataFrame(asked, "pair_id long, source string, target string")
+    monkeypatch.setattr(traverse, "MAX_PAIRS", 6)
+    found = {}
+    for r in traverse.find_paths(kg, pairs).collect():
+        found.setdefault(r["pair_id"], {})[r["pos"]] = r["name"]
+    want = {p: [f"e{k}" for k in (range(int(a[1:]), int(b[1:]) + 1) if a <= b else range(int(a[1:]), int(b[1:]) - 1, -1))] for p, a, b in asked if b != "lone"}
+    assert {p: [x[i] for i in sorted(x)] for p, x in found.items()} == want
