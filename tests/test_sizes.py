@@ -1,6 +1,7 @@
 """Requests larger than a test's other ones: more pairs than go at once, batches of several ranges."""
 
 from kgloom.operators import traverse, write
+from kgloom.sources import inverted
 from kgloom.sources.store import build
 from pyspark.sql import functions as F
 
@@ -36,3 +37,36 @@ def test_more_pairs_than_go_at_once(spark, monkeypatch):
         found.setdefault(r["pair_id"], {})[r["pos"]] = r["name"]
     want = {p: [f"e{k}" for k in (range(int(a[1:]), int(b[1:]) + 1) if a <= b else range(int(a[1:]), int(b[1:]) - 1, -1))] for p, a, b in asked if b != "lone"}
     assert {p: [x[i] for i in sorted(x)] for p, x in found.items()} == want
+
+
+def test_blocks_are_gathered_in_their_task():
+    """Postings are the words of each text, in the order of their keys (before: gathered by three shuffles of every word)."""
+    import pyarrow as pa
+
+    texts = [("body", 9 - i % 5, i, ["w", f"v{i % 3}", "w"][: i % 4]) for i in range(40)] + [("name", 1, 0, ["w"]), ("name", 2, 0, [])]
+    want = {}
+    for source, entity, idx, words in texts:
+        for p, w in enumerate(words):
+            want.setdefault((source, w, entity, idx, len(words)), []).append(p)
+    columns = zip(*texts, strict=True)
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string())), strict=True)], names=["source", "entity_id", "idx", "t"])
+    found = {}
+    for block in inverted._blocks(iter([batch.slice(0, 7), batch.slice(7, 0), batch.slice(7)])):
+        for r in block.to_pylist():
+            keys = [(d["entity_id"], d["idx"]) for d in r["docs"]]
+            assert keys == sorted(keys) and r["max_tf"] == max(len(d["pos"]) for d in r["docs"]) and r["min_len"] == min(d["len"] for d in r["docs"])
+            for d in r["docs"]:
+                found[(r["source"], r["term"], d["entity_id"], d["idx"], d["len"])] = d["pos"]
+    assert found == want
+
+
+def test_blocks_have_a_bound_of_texts_and_words(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(inverted, "BLOCK", 3)
+    monkeypatch.setattr(inverted, "WORDS", 10)
+    sizes = [1, 1, 1, 1, 30, 0, 4, 4, 4, 0, 0, 0, 0]
+    batch = pa.RecordBatch.from_arrays([pa.array(["body"] * len(sizes)), pa.array(range(len(sizes)), pa.int64()), pa.array([0] * len(sizes), pa.int64()), pa.array([["a"] * n for n in sizes])], names=["source", "entity_id", "idx", "t"])
+    blocks = list(inverted._blocks(iter([batch])))
+    found = [[(d["entity_id"], d["len"]) for r in b.to_pylist() for d in r["docs"]] for b in blocks]
+    assert found == [[(0, 1), (1, 1), (2, 1)], [(3, 1), (4, 30)], [(6, 4), (7, 4)], [(8, 4)], []]
