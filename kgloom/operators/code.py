@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scopes import scan, scan_python
-from ..sources.store import KG
+from ..sources.store import KG, stored
 from ..sources.tree import language_of, read_tree
 from .text import search_ids
 from .vector import batch_upsert, clamp_k, nearest
@@ -127,7 +127,7 @@ def code_index(files: DataFrame, before: DataFrame | None = None, force: bool =
         skipped, fresh = hashed.join(old, ["file", "hash"], "left_semi"), hashed.join(old, ["file", "hash"], "left_anti")
     else:
         skipped, fresh = hashed.limit(0), hashed
-    parsed = parse_files(fresh)
+    parsed = stored(parse_files(fresh), "parsed")  # each file is parsed once, whatever reads of it follow
     found = symbols(parsed)
     links = edges(parsed, found)
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))

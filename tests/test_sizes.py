@@ -1,6 +1,6 @@
 """Requests larger than a test's other ones: more pairs than go at once, batches of several ranges."""
 
-from kgloom.operators import traverse, write
+from kgloom.operators import code, traverse, write
 from kgloom.sources import inverted
 from kgloom.sources.store import build
 from pyspark.sql import functions as F
@@ -70,3 +70,17 @@ def test_blocks_have_a_bound_of_texts_and_words(monkeypatch):
     blocks = list(inverted._blocks(iter([batch])))
     found = [[(d["entity_id"], d["len"]) for r in b.to_pylist() for d in r["docs"]] for b in blocks]
     assert found == [[(0, 1), (1, 1), (2, 1)], [(3, 1), (4, 30)], [(6, 4), (7, 4)], [(8, 4)], []]
+
+
+def test_files_are_parsed_once(spark):
+    """Symbols, edges and the tally take one parse of each file (before: one for each use of what was parsed)."""
+    parsed = spark.sparkContext.accumulator(0)
+
+    def counted(f):
+        parsed.add(1)
+        return f
+
+    files = spark.createDataFrame([(f"src/f{i}.py", f"def f{i}():\n    return f{i + 1}()\n".encode()) for i in range(6)], "file string, content binary")
+    found, links, tally = code.code_index(files.select(F.udf(counted, "string")("file").alias("file"), "content"))
+    assert sorted(r["type"] for r in links.select("type").collect()) == ["calls"] * 5 + ["defines"] * 6
+    assert found.count() == 6 and parsed.value == 6
