@@ -127,7 +127,7 @@ def _maybe(ids: DataFrame, n: int) -> tuple[bytes, int]:
 def _confirm(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of classes whose full sets are similar enough."""
     pairs = stored(pairs, "near-pairs")
-    own = stored(classes.join(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "c", "left_semi").select("c", "cid", F.col("doc_id").alias("first"), F.xxhash64("doc_id").alias("h")), "near-own")
+    own = stored(classes.join(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().hint("merge"), "c", "left_semi").select("c", "cid", F.col("doc_id").alias("first"), F.xxhash64("doc_id").alias("h")), "near-own")
     # the document of each class, by id; of more than a few ids a bitmap, which lets others through that the join below leaves out
     texts, n = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long")).alias("h"), "text"), own.count()
     sent = shift = None
@@ -258,6 +258,16 @@ def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
+def _repeated(classes: DataFrame, m: int) -> DataFrame:
+    """key, c, least: the classes of each table key that has several, and the least of them."""
+    first, second = F.slice("keys", 1, m), F.slice("keys", m + 1, m)
+    table = classes.select("c", F.posexplode(first).alias("i", "x"), second.alias("rest")).select("c", "i", "x", F.posexplode("rest").alias("j", "y"))
+    keyed = table.select("c", F.xxhash64("i", "x", "j", "y").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    # m * m rows of each class, which Spark takes for one and would send through the driver
+    return keyed.join(shared.select("key", "least").hint("merge"), "key")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, m: int = 10, r: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id (of the shingle set), n_links (of the class), text_hash: a row for each row of ``docs``."""
     signed = stored(signatures(docs, k, m, r), "near-signatures")
@@ -267,15 +277,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     # classes are told apart by 128 bits, and numbered for the links
     classes = stored(grouped.join(shapes, "cid").withColumn("c", F.monotonically_increasing_id()), "near-classes")
 
-    first, second = F.slice("keys", 1, m), F.slice("keys", m + 1, m)
-    table = classes.select("c", F.posexplode(first).alias("i", "x"), second.alias("rest")).select("c", "i", "x", F.posexplode("rest").alias("j", "y"))
-    keyed = table.select("c", F.xxhash64("i", "x", "j", "y").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    hits = stored(keyed.join(shared.select("key", "least"), "key"), "near-hits")
+    hits = stored(_repeated(classes, m), "near-hits")
 
-    shape = classes.select("c", "n", "bits")
+    shape = classes.select("c", "n", "bits").hint("merge")  # its arrays are larger than Spark takes them for
     stars = hits.filter("c <> least").select(F.col("c").alias("a"), F.col("least").alias("b")).distinct()
-    sized = stars.join(shape.select(F.col("c").alias("a"), "n", F.col("bits").alias("x")), "a").join(shape.select(F.col("c").alias("b"), F.col("n").alias("o"), F.col("bits").alias("y")), "b")
+    sized = stars.join(shape.select(F.col("c").alias("a"), "n", F.col("bits").alias("x")).hint("merge"), "a").join(shape.select(F.col("c").alias("b"), F.col("n").alias("o"), F.col("bits").alias("y")).hint("merge"), "b")
     links = _confirm(docs, sized.filter(_may_link("n", "o", "x", "y", num, den)).select("a", "b"), classes, k, num, den)
     roots = components(links)
 

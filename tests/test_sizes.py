@@ -1,5 +1,6 @@
 """Requests larger than a test's other ones: more pairs than go at once, batches of several ranges."""
 
+from kgloom.llm.minhash_tensor import _repeated
 from kgloom.operators import code, traverse, write
 from kgloom.sources import inverted
 from kgloom.sources.store import build
@@ -84,3 +85,11 @@ def test_files_are_parsed_once(spark):
     found, links, tally = code.code_index(files.select(F.udf(counted, "string")("file").alias("file"), "content"))
     assert sorted(r["type"] for r in links.select("type").collect()) == ["calls"] * 5 + ["defines"] * 6
     assert found.count() == 6 and parsed.value == 6
+
+
+def test_table_keys_are_not_broadcast(spark):
+    """A hundred keys of each class stay out of the driver (before: a broadcast, as Spark sized them like the classes)."""
+    classes = spark.createDataFrame([(i, [i % 3, *range(1, 20)]) for i in range(6)], "c long, keys array<long>")
+    hits = _repeated(classes, 10)
+    assert "Broadcast" not in hits._jdf.queryExecution().executedPlan().toString()
+    assert hits.count() == 6 * 100 and {r["least"] for r in hits.collect()} == {0, 1, 2}
