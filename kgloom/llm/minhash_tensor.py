@@ -181,7 +181,8 @@ def _met(members: DataFrame) -> DataFrame:
     at, top = F.xxhash64("c"), F.col("g") == F.col("top")
     own = F.when(top, F.col("others") + F.pmod(at, F.col("tops"))).otherwise(F.pmod(at, F.col("others"))).cast("int")
     last = F.when(top, F.col("others")).otherwise(F.col("others") + F.col("tops")) - 1
-    dealt = members.join(sizes, "key").withColumn("own", own).withColumn("last", last)
+    # members' images repeat, so their files are a small part of their rows, and Spark would send them all through the driver
+    dealt = members.hint("merge").join(sizes.hint("merge"), "key").withColumn("own", own).withColumn("last", last)
     met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("last"))))
     return met.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "c", "g", "n", "bits")
 
@@ -298,10 +299,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     number = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n_links"))
-    named = classes.select("cid", "c", "doc_id").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    named = classes.select("cid", "c", "doc_id").join(roots.withColumnRenamed("node", "c").hint("merge"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    known = named.join(least, "root").join(number, "c", "left").select("cid", "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    out = signed.select("doc_id", "text_hash", "n", "cid").join(known, "cid", "left")
+    known = named.join(least.hint("merge"), "root").join(number.hint("merge"), "c", "left").select("cid", "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    out = signed.select("doc_id", "text_hash", "n", "cid").join(known.hint("merge"), "cid", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.hex("cid").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "text_hash")
 

@@ -3,7 +3,7 @@
 import os
 import shutil
 
-from kgloom.llm.minhash_tensor import _repeated
+from kgloom.llm.minhash_tensor import BITS, _met, _repeated
 from kgloom.operators import code, traverse, write
 from kgloom.plans import queries
 from kgloom.sources import inverted
@@ -110,3 +110,12 @@ def test_upserted_rows_are_those_of_the_sql(spark, tmp_path):
     rows = queries.QUERIES["upsert_entities"](spark, str(tmp_path)).collect()
     assert sorted(r["name"] for r in rows) == sorted([f"part:{k}" for k in keys] + [f"new:{k + far}" for k in keys for far in (0, 1_000_000_000)])
     assert {r["entity_type"] for r in rows} == {"upserted"} and all(r["observations"].endswith(" | fresh") for r in rows)
+
+
+def test_members_of_keys_are_not_broadcast(spark, tmp_path):
+    """Images of members stay out of the driver, however small their files are (before: files of 10 MB were sent as rows of hundreds)."""
+    rows = spark.range(4000).select((F.col("id") % 7).alias("key"), "id", F.array(*(F.lit(i).cast("long") for i in range(BITS))).alias("bits"))
+    rows.select("key", F.col("id").alias("c"), (F.col("id") % 3).alias("g"), F.lit(9).cast("long").alias("n"), "bits").write.parquet(f"{tmp_path}/members")
+    met = _met(spark.read.parquet(f"{tmp_path}/members"))
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    assert met.select("c").distinct().count() == 4000
