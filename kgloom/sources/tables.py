@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .inverted import build_text_index
-from .store import KG, lay_out, shared_dir
+from .store import KG, PARTS, lay_out, shared_dir
 
 #: table, key column, id offset, name prefix, type (SQL expression), observation columns
 NODES = (
@@ -72,7 +73,7 @@ def canonical(spark: SparkSession, sf_dir: str, tables: set[str] | None = None)
     return KG(_union(e), _union(o) if o else none, _union(r) if r else spark.createDataFrame([], "from_id long, to_id long, type string"), v)
 
 
-_LAID: dict[tuple, KG] = {}
+_LAID: dict[tuple, tuple[KG, set[str]]] = {}
 
 
 def _state(spark: SparkSession, sf_dir: str) -> tuple:
@@ -87,21 +88,32 @@ def _state(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(sorted(out))
 
 
-def laid_out(spark: SparkSession, sf_dir: str, make=None) -> KG:
-    """``canonical`` (or the graph that ``make`` gives) written with a layout, once a session while its tables stay the same."""
+def _key(spark: SparkSession, sf_dir: str, make) -> tuple:
+    return f"{spark.sparkContext.applicationId} {id(spark)}", make.__name__, _state(spark, sf_dir)
+
+
+def laid_out(spark: SparkSession, sf_dir: str, make=None, parts: Sequence[str] = PARTS) -> KG:
+    """``canonical`` (or the graph that ``make`` gives) with a layout: each of ``parts`` is written once a session while the tables stay the same.
+
+    The other tables are there too, unsorted where nothing has asked for them yet.
+    """
     make = make or canonical
-    key = (f"{spark.sparkContext.applicationId} {id(spark)}", make.__name__, _state(spark, sf_dir))
-    if key not in _LAID:
-        _LAID[key] = lay_out(make(spark, sf_dir), f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}")
-    return _LAID[key]
+    key = _key(spark, sf_dir, make)
+    kg, done = _LAID.get(key) or (make(spark, sf_dir), set())
+    missing = [p for p in parts if p not in done]
+    if missing or kg.layout is None:
+        kg = lay_out(kg, f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}", parts=missing)
+        _LAID[key] = kg, done | set(missing)
+    return kg
 
 
-def indexed(spark: SparkSession, sf_dir: str, make=None) -> KG:
+def indexed(spark: SparkSession, sf_dir: str, make=None, parts: Sequence[str] = PARTS) -> KG:
     """``laid_out`` with a text index, built once too."""
-    kg = laid_out(spark, sf_dir, make)
-    key = next(k for k, v in _LAID.items() if v is kg)
+    kg = laid_out(spark, sf_dir, make, parts)
     if kg.text is None:
-        kg = _LAID[key] = kg.with_(text=build_text_index(kg, f"{shared_dir(spark)}/text-{uuid.uuid4().hex}"))
+        key = _key(spark, sf_dir, make or canonical)
+        kg = kg.with_(text=build_text_index(kg, f"{shared_dir(spark)}/text-{uuid.uuid4().hex}"))
+        _LAID[key] = kg, _LAID[key][1]
     return kg
 
 

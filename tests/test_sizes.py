@@ -6,7 +6,7 @@ import shutil
 from kgloom.llm.minhash_tensor import BITS, _met, _repeated
 from kgloom.operators import code, traverse, write
 from kgloom.plans import queries
-from kgloom.sources import inverted
+from kgloom.sources import inverted, tables
 from kgloom.sources.store import build
 from pyspark.sql import functions as F
 
@@ -119,3 +119,17 @@ def test_members_of_keys_are_not_broadcast(spark, tmp_path):
     met = _met(spark.read.parquet(f"{tmp_path}/members"))
     assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
     assert met.select("c").distinct().count() == 4000
+
+
+def test_only_the_tables_a_query_reads_are_laid_out(spark, monkeypatch):
+    """Degrees and walks write entities and relations, and what comes later adds to them (before: all texts and vectors too)."""
+    written, laid = [], tables.lay_out
+    monkeypatch.setattr(tables, "_LAID", {})
+    monkeypatch.setattr(tables, "lay_out", lambda kg, path, parts: written.append(list(parts)) or laid(kg, path, parts=parts))
+    data = "/root/testdata/sf0.001"
+    first = queries.QUERIES["degree_by_type"](spark, data).collect()
+    assert written == [["entities", "relations"]] and sum(r["entities"] for r in first) == tables.canonical(spark, data).entities.count()
+    whole = tables.laid_out(spark, data)
+    assert written == [["entities", "relations"], ["observations", "embeddings"]] and whole.layout is not None
+    assert tables.laid_out(spark, data, parts=("relations",)) is whole and len(written) == 2
+    assert tables.indexed(spark, data, parts=("entities",)).text is tables.indexed(spark, data).text is not None and len(written) == 2
