@@ -101,11 +101,14 @@ class Query:
         n = len(self.phrases)
         own = rows.select("entity_id", "len", *(s.alias(f"s{i}") for i, s in enumerate(starts)))
         kept = {i: F.col(f"s{i}") for i in range(n)}
-        for _, members, most in self.near():
+        for g, (_, members, most) in enumerate(self.near()):
             windows = [_windows(i, members, len(self.phrases[i].words) + most) for i in members]
             all_there = reduce(Column.__and__, [F.size(f"s{i}") > 0 for i in members])
+            # a generator keeps the windows of a row from being found anew for each place that is held against them
+            found = F.when(all_there, F.flatten(F.array(*windows))).otherwise(F.array().cast("array<struct<a: int, b: int>>"))
+            own = own.withColumn(f"near{g}", F.explode(F.array(found)))
             for i in members:
-                kept[i] = F.when(all_there, F.filter(F.col(f"s{i}"), _inside(F.flatten(F.array(*windows))))).otherwise(F.array().cast("array<int>"))
+                kept[i] = F.filter(F.col(f"s{i}"), _inside(F.col(f"near{g}")))
         return own.select("entity_id", "len", *(F.size(kept[i]).alias(f"tf{i}") for i in range(n)), *(F.size(f"s{i}").alias(f"all{i}") for i in range(n)))
 
     def test(self, node: tuple | None = None) -> Column:

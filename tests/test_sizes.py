@@ -4,7 +4,7 @@ import os
 import shutil
 
 from kgloom.llm.minhash_tensor import BITS, _met, _repeated
-from kgloom.operators import code, traverse, write
+from kgloom.operators import code, text, traverse, write
 from kgloom.plans import queries
 from kgloom.sources import inverted, tables
 from kgloom.sources.store import build
@@ -133,3 +133,12 @@ def test_only_the_tables_a_query_reads_are_laid_out(spark, monkeypatch):
     assert written == [["entities", "relations"], ["observations", "embeddings"]] and whole.layout is not None
     assert tables.laid_out(spark, data, parts=("relations",)) is whole and len(written) == 2
     assert tables.indexed(spark, data, parts=("entities",)).text is tables.indexed(spark, data).text is not None and len(written) == 2
+
+
+def test_windows_of_a_long_text_are_found_once(spark):
+    """NEAR over a text that has its words thousands of times (before: its windows were found anew for each of them)."""
+    rows = spark.createDataFrame([(1, ["a", "b"] * 1500), (2, ["a"] * 30 + ["c"] * 40 + ["b"])], "entity_id long, t array<string>")
+    counted = text.scanned(rows, text.parse("NEAR(a b, 2)"))
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan
+    assert [tuple(r) for r in counted.select("entity_id", "tf0", "tf1", "all0", "all1").orderBy("entity_id").collect()] == [(1, 1500, 1500, 1500, 1500), (2, 0, 0, 30, 1)]
