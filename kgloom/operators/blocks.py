@@ -74,10 +74,15 @@ def best_of(pairs: DataFrame, k: int, score: Callable[[dict], tuple[np.ndarray,
             for i in range(batch.num_rows):
                 asked, ids, d = score({n: c[i] for n, c in columns.items()})
                 d = np.round(d, 6)
+                # those that can be among the best: no farther than the k-th of the row, ties too
+                worst = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(d), np.inf)
                 for j, q in enumerate(asked.tolist()):
                     own = ids[j] if ids.ndim == 2 else ids
                     s, e = best.get(q, (np.zeros(0), np.zeros(0, np.int64)))
-                    s, e = np.concatenate([s, d[j]]), np.concatenate([e, own])
+                    at = np.flatnonzero(d[j] <= (min(worst[j], s[-1]) if len(s) == k else worst[j]))
+                    if not len(at) and len(s):
+                        continue
+                    s, e = np.concatenate([s, d[j, at]]), np.concatenate([e, own[at]])
                     top = np.lexsort((e, s))[:k]
                     top = top[np.isfinite(s[top])]
                     best[q] = s[top], e[top]

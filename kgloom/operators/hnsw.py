@@ -1,6 +1,7 @@
 """Hierarchical navigable small worlds: a proximity graph for each shard of the vectors, searched greedily.
 
-Shards of at most ``SHARD`` vectors are dealt by a hash of their id and built where they meet, in an Arrow task: every node has a
+Shards are dealt by a hash of the vectors' ids and built where they meet, in an Arrow task; there are sixteen, so that a search costs
+little more in a larger table, unless they get smaller than ``_LEAST`` or larger than ``SHARD`` vectors: every node has a
 level, drawn from a hash of its id with geometric chances; on each level a node is linked to near nodes of that level that are nearer to it than
 to any neighbour chosen before (the diversity rule), and back.  A shard is one row: ids, vectors, and for each level the links.
 
@@ -11,7 +12,6 @@ vectors are marks beside the shards: walked through, never returned; new ones ar
 
 from __future__ import annotations
 
-import heapq
 import struct
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
@@ -25,9 +25,15 @@ from ..sources.store import stored
 from .blocks import best_of, matrix_distance, matrix_of, packed, unpacked
 from .vector import clamp_k
 
-SHARD = 4096
+SHARD = 1 << 18
+#: How many shards there are as long as they have between ``_LEAST`` and ``SHARD`` / 2 vectors; a search asks them all.
+_SHARDS_MEANT, _LEAST = 16, 2048
 LINKS, EF_BUILD, EF_SEARCH = 16, 64, 96
 _BLOCK = 512
+#: Vectors of a shard up to which near ones are found by comparing all; the others are put in by searching those before.
+_ALL = 4096
+#: Searches that go side by side, and nodes that each follows in a step.
+_SIDE, _STEP = 128, 4
 
 
 def levels_of(ids: np.ndarray, links: int) -> np.ndarray:
@@ -51,6 +57,101 @@ def _chosen(order: np.ndarray, near: np.ndarray, among: np.ndarray, most: int) -
     return out + rest[: most - len(out)]
 
 
+class Near:
+    """Distances from queries to chosen rows, of vectors made ready once."""
+
+    def __init__(self, v: np.ndarray, metric: str) -> None:
+        self.metric = metric
+        self.v = self.ready(v).astype(np.float32)
+        self.size = (self.v**2).sum(1) if metric == "l2sq" else None
+
+    def ready(self, v: np.ndarray) -> np.ndarray:
+        if self.metric != "cos":
+            return v
+        size = np.linalg.norm(v, axis=1)[:, None]
+        return v / np.where(size == 0, 1, size)
+
+    def of(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Of each query (ready) to its own row; for ``l2sq`` less the query's square, which changes no order."""
+        ip = np.einsum("ij,ij->i", q, self.v[rows])
+        return self.size[rows] - 2 * ip if self.size is not None else 1 - ip
+
+
+def _beam(near: Near, links: np.ndarray, q: np.ndarray, start: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and distances of the ``ef`` best found from ``start`` (a node each) along ``links`` (-1: none), unsorted, for all queries side by side."""
+    n, step = len(q), min(_STEP, ef)
+    seen = np.zeros((n, len(links)), bool)
+    node, dist, done = np.full((n, ef), -1, np.int32), np.full((n, ef), np.inf, np.float32), np.ones((n, ef), bool)
+    node[:, 0], dist[:, 0], done[:, 0] = start, near.of(q, start), False
+    seen[np.arange(n), start] = True
+    on = np.arange(n)
+    while len(on):
+        open_ = np.where(done[on], np.inf, dist[on])
+        at = np.argpartition(open_, step - 1, axis=1)[:, :step]
+        rows = on[:, None]
+        ok = np.isfinite(np.take_along_axis(open_, at, 1))
+        on, at, rows, ok = (x[ok.any(1)] for x in (on, at, rows, ok))
+        done[rows, at] = True
+        to = np.where(ok[:, :, None], links[node[rows, at]], -1).reshape(len(on), links.shape[1] * step)
+        to.sort(axis=1)
+        new = to >= 0
+        new[:, 1:] &= to[:, 1:] != to[:, :-1]
+        new &= ~seen[rows, to]
+        i, j = np.nonzero(new)
+        seen[on[i], to[i, j]] = True
+        d = np.full(to.shape, np.inf, np.float32)
+        d[i, j] = near.of(q[on[i]], to[i, j])
+        all_d = np.concatenate([dist[on], d], axis=1)
+        best = np.argpartition(all_d, ef - 1, axis=1)[:, :ef]
+        dist[on] = np.take_along_axis(all_d, best, 1)
+        node[on] = np.take_along_axis(np.concatenate([node[on], to], axis=1), best, 1)
+        done[on] = np.take_along_axis(np.concatenate([done[on], ~new], axis=1), best, 1)
+    return np.where(np.isfinite(dist), node, -1), dist
+
+
+def _grown(v: np.ndarray, metric: str, most: int, ef: int) -> list[np.ndarray]:
+    """As ``_linked``, for many rows: in an order by chance, each is linked to diverse rows of those found by a search of the ones before.
+
+    Parts of an eighth of what is there are put in at once.
+    """
+    n = len(v)
+    order = np.random.default_rng(n).permutation(n)
+    v, near = v[order], Near(v[order], metric)
+    links = np.full((n, most), -1, np.int32)
+    for i, own in enumerate(_linked(v[:_ALL], metric, most, ef)):
+        links[i, : len(own)] = own
+    gates = np.arange(min(256, _ALL))
+
+    def diverse(i: int, own: np.ndarray, most: int) -> np.ndarray:
+        d = matrix_distance(v[i : i + 1], v[own], metric)[0]
+        by = np.argsort(d, kind="stable")
+        own, d = own[by], d[by]
+        return own[_chosen(np.arange(len(own)), d, matrix_distance(v[own], v[own], metric), most)]
+
+    size = _ALL
+    while size < n:
+        end, back = min(n, size + size // 8), {}
+        for a in range(size, end, _SIDE):
+            b = min(end, a + _SIDE)
+            start = gates[matrix_distance(near.v[a:b], near.v[gates], "l2sq" if metric == "l2sq" else "ip").argmin(1)]
+            found, _ = _beam(near, links[:size], near.v[a:b], start, ef)
+            for i, own in zip(range(a, b), found, strict=True):
+                own = diverse(i, own[own >= 0], most // 2)
+                links[i, : len(own)] = own
+                for j in own.tolist():
+                    back.setdefault(j, []).append(i)
+        for j, more in back.items():
+            own = np.concatenate([links[j][links[j] >= 0], np.array(more, np.int32)])
+            own = own if len(own) <= most else diverse(j, own, most)
+            links[j] = -1
+            links[j, : len(own)] = own
+        size = end
+    out: list[np.ndarray] = [np.zeros(0, np.int32)] * n
+    for i, own in zip(order.tolist(), links, strict=True):
+        out[i] = order[own[own >= 0]].astype(np.int32)
+    return out
+
+
 def _linked(v: np.ndarray, metric: str, most: int, ef: int) -> list[np.ndarray]:
     """Neighbours of every row: diverse near rows, and back, ``most`` at most."""
     n, want = len(v), min(ef, len(v) - 1)
@@ -90,7 +191,7 @@ def build(ids: np.ndarray, v: np.ndarray, metric: str, links: int = LINKS, ef: i
     parts = []
     for k in range(int(level.max(initial=0)) + 1):
         nodes = np.flatnonzero(level >= k).astype(np.int32)
-        near = _linked(v[nodes], metric, 2 * links if k == 0 else links, ef)
+        near = (_linked if len(nodes) <= _ALL else _grown)(v[nodes], metric, 2 * links if k == 0 else links, ef)
         flat = nodes[np.concatenate(near)] if near else np.zeros(0, np.int32)
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in near])]).astype("<i4")
         parts.append(struct.pack("<ii", len(nodes), len(flat)) + nodes.astype("<i4").tobytes() + offsets.tobytes() + flat.astype("<i4").tobytes())
@@ -114,42 +215,39 @@ class World:
             at += 12 + 8 * nodes + 4 * flat
         self.entry = int(place[0]) if len(ids) else -1
 
-    def _near(self, level: int, i: int) -> np.ndarray:
-        row, offsets, near = self.levels[level]
-        return near[offsets[row[i]] : offsets[row[i] + 1]]
+    def search_many(self, q: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places (-1: none) and distances of the ``ef`` best nodes found for each query, nearest first."""
+        ef = min(ef, len(self.ids))
+        place, d = np.full((len(q), ef), -1), np.full((len(q), ef), np.inf)
+        if self.entry < 0:
+            return place, d
+        near = Near(self.v, self.metric)
+        tables = []
+        for row, offsets, to in self.levels:
+            size = np.diff(offsets)
+            table = np.full((len(self.ids), max(1, int(size.max(initial=0)))), -1, np.int32)
+            nodes = np.repeat(np.flatnonzero(row >= 0), size)
+            table[nodes, np.arange(len(to)) - np.repeat(offsets[:-1], size)] = to
+            tables.append(table)
+        for a in range(0, len(q), _SIDE):
+            part = q[a : a + _SIDE]
+            own = near.ready(part).astype(np.float32)
+            at = np.full(len(part), self.entry)
+            for table in tables[:0:-1]:
+                node, dist = _beam(near, table, own, at, 1)
+                at = node[:, 0]
+            node, _ = _beam(near, tables[0], own, at, ef)
+            for i, x in enumerate(node):
+                x = x[x >= 0]
+                exact = matrix_distance(part[i : i + 1], self.v[x], self.metric)[0]
+                by = np.argsort(exact, kind="stable")
+                place[a + i, : len(x)], d[a + i, : len(x)] = x[by], exact[by]
+        return place, d
 
     def search(self, q: np.ndarray, ef: int) -> list[tuple[float, int]]:
         """Distance and place of the ``ef`` best nodes found."""
-        if self.entry < 0:
-            return []
-        at = lambda nodes: matrix_distance(q[None], self.v[nodes], self.metric)[0]
-        now, d = self.entry, float(at([self.entry])[0])
-        for level in range(len(self.levels) - 1, 0, -1):
-            while len(near := self._near(level, now)):
-                dist = at(near)
-                j = int(dist.argmin())
-                if dist[j] >= d:
-                    break
-                now, d = int(near[j]), float(dist[j])
-        seen = np.zeros(len(self.ids), bool)
-        seen[now] = True
-        open_, best = [(d, now)], [(-d, now)]
-        while open_:
-            d, now = heapq.heappop(open_)
-            if len(best) >= ef and d > -best[0][0]:
-                break
-            near = self._near(0, now)
-            near = near[~seen[near]]
-            if not len(near):
-                continue
-            seen[near] = True
-            for x, j in zip(at(near).tolist(), near.tolist(), strict=True):
-                if len(best) < ef or x < -best[0][0]:
-                    heapq.heappush(open_, (x, j))
-                    heapq.heappush(best, (-x, j))
-                    if len(best) > ef:
-                        heapq.heappop(best)
-        return sorted((-d, j) for d, j in best)
+        place, d = self.search_many(q[None], ef)
+        return [(float(x), int(j)) for x, j in zip(d[0], place[0], strict=True) if j >= 0]
 
 
 _SHARDS = "shard long, ids binary, matrix binary, dims int, graph binary"
@@ -157,7 +255,8 @@ _SHARDS = "shard long, ids binary, matrix binary, dims int, graph binary"
 
 def _shards(vectors: DataFrame, metric: str, links: int, ef: int, most: int) -> DataFrame:
     rows = vectors.select("entity_id", "embedding").filter("embedding is not null")
-    n = max(1, -(-rows.count() // max(1, most // 2)))  # a hash deals unevenly: half full on average
+    count = rows.count()
+    n = max(1, -(-count // max(1, min(most // 2, max(_LEAST, -(-count // _SHARDS_MEANT))))))  # a hash deals unevenly: half full on average
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(shard: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +282,7 @@ def _shards(vectors: DataFrame, metric: str, links: int, ef: int, most: int) ->
             yield from out(here, parts)
 
     tasks = min(n, max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 64))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("entity_id"), F.lit(n))).repartition(tasks, "shard").sortWithinPartitions("shard", "entity_id")
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("entity_id"), F.lit(n))).repartitionByRange(tasks, "shard").sortWithinPartitions("shard", "entity_id")
     return stored(dealt.select("shard", "entity_id", "embedding").mapInArrow(run, _SHARDS), "worlds")
 
 
@@ -205,7 +304,7 @@ class HnswIndex:
 
     def search_many(self, queries: DataFrame, k: int, ef: int = EF_SEARCH) -> DataFrame:
         """query_id, entity_id, score, rank of the ``k`` nearest found for each of ``queries`` (query_id, embedding)."""
-        asked = stored(packed(queries, "query_id", 256).toDF("q_ids", "q_matrix", "q_dims"), "queries")
+        asked = stored(packed(queries, "query_id", 2048).toDF("q_ids", "q_matrix", "q_dims"), "queries")
         metric, out = self.metric, None
         for shards, marks in self._parts():
 
@@ -213,21 +312,17 @@ class HnswIndex:
                 ids, v = unpacked(row["ids"], row["matrix"], row["dims"])
                 q_ids, q = unpacked(row["q_ids"], row["q_matrix"], row["q_dims"])
                 world, gone = World(ids, v, row["graph"], metric), np.frombuffer(row["gone"], "<i8") if row.get("gone") else None
-                width = min(ef, len(ids))
-                found, d = np.full((len(q), width), -1, np.int64), np.full((len(q), width), np.inf)
-                for i in range(len(q)):
-                    hits = world.search(q[i], ef)
-                    own = ids[[j for _, j in hits]]
-                    dist = np.array([x for x, _ in hits])
-                    if gone is not None:
-                        dist[np.isin(own, gone)] = np.inf
-                    found[i, : len(own)], d[i, : len(own)] = own, dist
+                place, d = world.search_many(q, ef)
+                found = np.where(place >= 0, ids[place], -1)
+                if gone is not None:
+                    d[np.isin(found, gone)] = np.inf
                 return q_ids, found, d
 
             rows = shards
             if marks is not None:
                 rows = _marked(shards, marks)
-            part = best_of(rows.crossJoin(asked), k, score).drop("rank")
+            # written here, with few bytes in an Arrow batch: a shard is a large row
+            part = stored(best_of(rows.crossJoin(asked), k, score).drop("rank"), "found")
             out = part if out is None else out.unionByName(part)
         return _ranked(out, k)
 

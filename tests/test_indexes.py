@@ -129,3 +129,15 @@ def test_null_vectors_are_left_out(spark):
     for found in (vector.knn_batch(df, asked, 5), hnsw.train(df).search_many(asked, 5), turboquant.code_index(df, turboquant.Quantizer(2, 4)).search_many(asked, 5)):
         assert [r["entity_id"] for r in found.orderBy("rank").collect()] == [1, 3]
     assert df.filter(F.col("embedding").isNull()).count() == 1
+
+
+def test_shards_grow_with_the_table(spark):
+    """Twice the vectors are in as many shards, of which each is asked, and a shard that is grown by searches finds what brute force does."""
+    v = np.random.default_rng(5).standard_normal((6000, 16)).astype(np.float32).astype(np.float64)
+    world = hnsw.World(np.arange(6000), v, hnsw.build(np.arange(6000), v, "l2sq"), "l2sq")
+    place, _ = world.search_many(v[::20], 96)
+    want = brute(v, np.arange(6000), np.arange(0, 6000, 20), 10, "l2sq")
+    assert len({(i * 20, int(j)) for i, own in enumerate(place[:, :10]) for j in own} & want) / len(want) >= 0.9
+    few = spark.range(33_000).select(F.col("id").alias("entity_id"), F.array(F.rand(1).cast("float"), F.rand(2).cast("float")).alias("embedding"))
+    more = few.unionByName(few.withColumn("entity_id", F.col("entity_id") + 33_000))
+    assert hnsw.train(few, "l2sq", 4, 8).shards.count() == hnsw.train(more, "l2sq", 4, 8).shards.count() == 16
