@@ -2,6 +2,7 @@
 
 In every stage null texts are empty, rows that repeat are rows of their own, an empty table gives an empty one, texts of any length are read whole,
 and columns beside ``doc_id``, ``text`` and ``source`` pass through whatever they are called; what else a stage defines is said there.
+Stages that hand whole rows to Python bound the session's Arrow batches in bytes, as their plans run when the caller writes them.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from kgloom.llm.repair_tokens import token_output
 from kgloom.llm.shared import documents, stored
 from kgloom.llm.toxicity_chain import drop_toxic, fit_chain
 from kgloom.llm.winnow import drop_contaminated
+from kgloom.sources.store import small_batches
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,6 +26,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     An empty text is never toxic; without labelled rows nothing is; the fit takes labelled rows in the order of a hash of their id, so ties
     and repeated ids change nothing from run to run.
     """
+    small_batches(spark)
     return drop_toxic(docs, fit_chain(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), CATEGORIES))
 
 
@@ -40,6 +43,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     An item of fewer than ten words is one window; items without words, or an empty benchmark, take nothing out.
     """
+    small_batches(spark)
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -56,6 +60,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     An empty text is its end id alone; null ids come first, equal ids are ordered by a hash of the text, then the text; other columns end here.
     """
+    small_batches(spark)
     return token_output(docs, tokenizer_path(TOKENIZER), end_id=0).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

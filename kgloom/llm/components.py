@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import sparing, stored
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -68,9 +68,9 @@ def _forest(most: int):
 
 def components(edges: DataFrame, max_rounds: int = 60, alone: int = 1 << 20) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b) that isn't its component's least node, the root."""
-    now = stored(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_forest(1 << 20), "a long, b long"), "edges")
+    now = stored(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(sparing(_forest(1 << 20)), "a long, b long"), "edges")
     if now.count() <= alone:
-        return stored(now.coalesce(1).mapInArrow(_forest(max(alone, 1 << 20)), "a long, b long").toDF("node", "root"), "roots")
+        return stored(now.coalesce(1).mapInArrow(sparing(_forest(max(alone, 1 << 20))), "a long, b long").toDF("node", "root"), "roots")
     now = stored(now.distinct(), "edges")
     seen = None
     for _ in range(max_rounds):

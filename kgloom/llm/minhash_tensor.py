@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import NON_SPACE, U, counter_hash, gram_hashes, mix64, slices, word_slices
 from .components import components
-from .shared import fresh, stored
+from .shared import fresh, sparing, stored
 
 #: Rows that are sent to every task, and so pass through the driver; of more ids a bitmap of at most 2**CELLS bits is sent, and
 #: documents to drop are joined by a shuffle.
@@ -103,7 +103,7 @@ def signatures(docs: DataFrame, k: int, m: int, r: int) -> DataFrame:
                     bits.append(image(s))
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_hash"), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), _fixed(keys, 2 * m), _fixed(bits, BITS)], names=["doc_id", "text_hash", "n", "cid", "keys", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n long, cid binary, keys array<long>, bits array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(sparing(run), "doc_id long, text_hash long, n long, cid binary, keys array<long>, bits array<long>")
 
 
 def _may_link(n: str, o: str, x: str, y: str, num: int, den: int) -> Column:
@@ -161,11 +161,11 @@ def _confirm(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, num:
                 keep.append(den * shared >= num * (len(both) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    read = texts.mapInArrow(sets, "doc_id long, cid binary, members binary").alias("r").join(own.alias("o"), (F.col("r.cid") == F.col("o.cid")) & F.col("doc_id").eqNullSafe(F.col("first")))
+    read = texts.mapInArrow(sparing(sets), "doc_id long, cid binary, members binary").alias("r").join(own.alias("o"), (F.col("r.cid") == F.col("o.cid")) & F.col("doc_id").eqNullSafe(F.col("first")))
     found = stored(read.select("c", "members"), "near-sets")
     left = pairs.join(found.select(F.col("c").alias("a"), F.col("members").alias("x")), "a")
     whole = left.join(found.select(F.col("c").alias("b"), F.col("members").alias("y")), "b")
-    return stored(whole.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long").distinct(), "near-links")
+    return stored(whole.select("a", "b", "x", "y").mapInArrow(sparing(similar), "a long, b long").distinct(), "near-links")
 
 
 def _met(members: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ def _tested(members: DataFrame, num: int, den: int, nearest: bool = False) -> Da
             x, y = (np.concatenate([np.zeros(0, np.int64), *(f[s] for f in found)]) for s in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
 
-    return cells.mapInArrow(run, "a long, b long").distinct()
+    return cells.mapInArrow(sparing(run), "a long, b long").distinct()
 
 
 def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:

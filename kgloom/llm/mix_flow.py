@@ -19,6 +19,7 @@ import heapq
 from collections import defaultdict
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,10 +174,13 @@ def mix_sources(
         for p, flow in zip(group, min_cost_flow([words[p] for p in group], [members[p] for p in group], quota, copies), strict=True):
             at, spans = defaultdict(int), []
             for (s, r), n in sorted(flow.items(), key=lambda x: (x[0][1], x[0][0])):
-                spans.append((r, at[r], at[r] + n, names[s]))
+                spans.append({"copy": r, "lo": at[r], "hi": at[r] + n, "source": names[s]})
                 at[r] += n
             rows.append((found[p]["pattern"], sum(sizes[s] for s in members[p]), float(sum(targets[s] for s in members[p])), spans))
-    plan = spark.createDataFrame(rows, "pattern string, source_size long, target double, spans array<struct<copy:int,lo:long,hi:long,source:string>>")
+    span = pa.struct([("copy", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64()), ("source", pa.string())])
+    kinds = {"pattern": pa.string(), "source_size": pa.int64(), "target": pa.float64(), "spans": pa.list_(span)}
+    # as Arrow columns: rows of Python objects would start Python workers on every executor to be read
+    plan = spark.createDataFrame(pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=list(kinds)))
 
     buckets = 1 << max(6, (max(1, sum(x["rows"] for x in found)) >> 16).bit_length())
     placed = narrow.withColumn("bucket", F.shiftrightunsigned("o", 64 - (buckets.bit_length() - 1)))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import U, counter_hash, mix64, string_buffers
-from .shared import give_back, stored
+from .shared import give_back, sparing, stored
 
 MAGIC = b"RPG2"
 STRIDE = 256
@@ -543,7 +543,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                     names=["doc_id", "at", "n_tokens", "ids_crc32", "part", "seq"],
                 )
 
-    rows = shards.select("part", "seq", "doc_ids", "blob").mapInArrow(run, "doc_id long, at long, n_tokens long, ids_crc32 long, part long, seq long")
+    rows = shards.select("part", "seq", "doc_ids", "blob").mapInArrow(sparing(run), "doc_id long, at long, n_tokens long, ids_crc32 long, part long, seq long")
     # ids before each shard: totals of the few parts first, then the shards inside each part
     sizes = shards.select("part", "seq", "n_ids")
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import U, slices
 from .features import StemIndex, sample_rows, sigmoid, unique_stems
-from .shared import stored
+from .shared import sparing, stored
 
 
 #: Weak labels: words of abuse in the four languages (fixed values), by their beginnings, and text in capitals under exclamation marks.
@@ -152,7 +152,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(marks[c] if c in marks else rows.column(c) for c in names), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found.view(np.int64)))], names=["doc_id", *names, "words"])
 
     kind = ", ".join(f"`{c}` int" for c in names)
-    sample = stored(texts.select("doc_id", *known, "text").mapInArrow(words, f"doc_id long, {kind}, words array<long>"), "chain-sample")
+    sample = stored(texts.select("doc_id", *known, "text").mapInArrow(sparing(words), f"doc_id long, {kind}, words array<long>"), "chain-sample")
     totals = sample.agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in names)).first()
     n = totals["n"]
     seen = stored(sample.select(*names, F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in names)).filter("n >= 3"), "chain-words")
@@ -182,7 +182,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "fold", *names)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(p[has], pa.int32()))], names=["doc_id", "fold", *names, "places"])
 
     # as Arrow columns: a few MB, where rows of Python lists would be many times that
-    rows = sample.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("fold"), *names, "words").mapInArrow(places, f"doc_id long, fold long, {kind}, places array<int>").toArrow().sort_by("doc_id").combine_chunks()
+    rows = sample.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("fold"), *names, "words").mapInArrow(sparing(places), f"doc_id long, fold long, {kind}, places array<int>").toArrow().sort_by("doc_id").combine_chunks()
     if not rows.num_rows:
         return chain.fit([], np.zeros((0, len(names))), np.zeros(0))
     lists = rows["places"].combine_chunks()
@@ -206,7 +206,7 @@ def score_chain(docs: DataFrame, chain: ClassifierChain, keep: Sequence[str] = (
 
     rows = docs.select(*(F.col(c).alias(k) for c, k in zip(keep, inside, strict=True)), "text")
     kind = ", ".join([f"{k} {rows.schema[k].dataType.simpleString()}" for k in inside] + [f"p{i} double" for i in range(len(chain.names))])
-    found = rows.mapInArrow(run, kind)
+    found = rows.mapInArrow(sparing(run), kind)
     return found.select(*(F.col(k).alias(c) for c, k in zip(keep, inside, strict=True)), *(F.col(f"p{i}").alias(f"p_{c}") for i, c in enumerate(chain.names)))
 
 
@@ -222,4 +222,4 @@ def drop_toxic(docs: DataFrame, chain: ClassifierChain, category: str = "toxic",
                 start += len(part)
                 yield rows.filter(pa.array(sent.value.probabilities(part)[:, c] < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(sparing(run), docs.schema)

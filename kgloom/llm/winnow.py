@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import ALNUM, U, gram_hashes, word_hashes, word_slices
-from .shared import stored
+from .shared import sparing, stored
 
 WINDOW = 10
 K = 6
@@ -162,7 +162,7 @@ def find_spans(docs: DataFrame, items: DataFrame, max_item_words: int = 1 << 20)
                     names=["row", "doc_id", "n_words", "spans", "items"],
                 )
 
-        found = numbered.mapInArrow(run, _FOUND)
+        found = numbered.mapInArrow(sparing(run), _FOUND)
         many, out = (True, out.unionByName(found)) if out is not None else (False, found)
     return out if not many else stored(out, "leak-spans").groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
@@ -199,9 +199,11 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, max_item_words: int = 1
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = ItemIndex(*sent.value)
             for batch in batches:
-                found = (index.spans(h[a:b])[0] for h, rows in word_slices(batch.column("text"), ALNUM) for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True))
-                clean = [not len(x) for x in found]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+                start = 0
+                for h, rows in word_slices(batch.column("text"), ALNUM):  # a slice goes out before the next is read
+                    clean = [not len(index.spans(h[a:b])[0]) for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
+                    yield batch.slice(start, len(clean)).filter(pa.array(clean, pa.bool_()))
+                    start += len(clean)
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(sparing(run), docs.schema)
     return docs

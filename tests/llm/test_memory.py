@@ -5,9 +5,10 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
-from kgloom.llm import repair_tokens, shared, substring_chains
+from kgloom.llm import mix_flow, repair_tokens, shared, substring_chains, toxicity_chain, winnow
 from kgloom.llm.bytewords import ALNUM, word_slices
 from kgloom.llm.queries import TOKENIZER, tokenizer_path
+from pyspark.sql import functions as F
 
 
 def peak(run):
@@ -83,3 +84,47 @@ def test_passage_workers_give_memory_back(monkeypatch):
         assert not calls
         sizes.append(out.num_rows)
     assert calls == [1] and len(sizes) > 8
+
+
+def test_filters_of_the_pipeline_give_memory_back(spark, monkeypatch):
+    """Rows go out a slice at a time, and free memory goes back when a task's last one is out."""
+    calls = []
+    monkeypatch.setattr(shared, "give_back", lambda: calls.append(1))
+
+    class Docs:
+        sparkSession, schema, run = spark, None, None
+
+        def mapInArrow(self, run, kind):
+            self.run = run
+            return self
+
+    texts = [f"row {i} " + "word " * 400 for i in range(1_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1_000)), pa.array(texts)], names=["doc_id", "text"])
+    items = spark.createDataFrame([(0, "row 7 word")], "item_id long, text string")
+    chain = toxicity_chain.ClassifierChain(["toxic"], np.zeros(0, np.uint64)).fit([], np.zeros((0, 1)), np.zeros(0))
+    for found, lost in ((winnow.drop_contaminated(Docs(), items), {7}), (toxicity_chain.drop_toxic(Docs(), chain), set())):
+        calls.clear()
+        kept, sizes = set(), []
+        for out in found.run(iter([batch])):
+            assert not calls
+            kept |= set(out.column(0).to_pylist())
+            sizes.append(out.num_rows)
+        assert calls == [1] and len(sizes) > 2 and kept == set(range(1_000)) - lost
+
+
+def test_the_mix_plan_starts_no_python_workers(spark, monkeypatch, capsys):
+    docs = spark.range(40).selectExpr("id AS doc_id", "repeat('word ', cast(id AS int)) AS text", "if(id % 3 = 0, 'a', 'b') AS source")
+    mix_flow.mix_sources(docs, F.array("source")).explain()
+    assert "ExistingRDD" not in capsys.readouterr().out
+
+
+def test_stages_bound_the_batches_that_the_caller_writes(spark, monkeypatch):
+    from kgloom.sources.store import small_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    session = spark.newSession()
+    small_batches(session)
+    assert int(session.conf.get(key)) <= 4 << 20
+    session.conf.set(key, "1000000")
+    small_batches(session)
+    assert session.conf.get(key) == "1000000"
