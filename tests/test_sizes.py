@@ -44,6 +44,45 @@ def test_more_pairs_than_go_at_once(spark, monkeypatch):
     assert {p: [x[i] for i in sorted(x)] for p, x in found.items()} == want
 
 
+def test_levels_of_many_pairs_stay_narrow(spark, monkeypatch):
+    """A thousand pairs at once, as plain Python finds them: rows of a level have a bound, and none is broadcast by the size of its file."""
+    import random
+
+    rng = random.Random(5)
+    links = [(i, rng.randrange(60)) for i in range(60) for _ in range(2)] + [(60, 61)]
+    near = {i: set() for i in range(63)}
+    for a, b in links:
+        near[a].add(b), near[b].add(a)
+    asked = [(7 * i, rng.randrange(63), rng.randrange(63)) for i in range(1000)]
+
+    def path(a, b):
+        dist, level = {b: 0}, [b]
+        while level and a not in dist:
+            level = [y for x in level for y in near[x] if dist.setdefault(y, dist[x] + 1) == dist[x] + 1 and y != x]
+        out = [a]
+        while a in dist and out[-1] != b:
+            out.append(min(y for y in near[out[-1]] if dist.get(y, -1) == dist[out[-1]] - 1))
+        return out if a in dist else None
+
+    plans, real = [], traverse.stored
+
+    def kept(df, name, by=None):
+        if name == "level":
+            plans.append((len(df.columns), df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")))
+        return real(df, name, by)
+
+    monkeypatch.setattr(traverse, "stored", kept)
+    kg = build(spark, [(f"e{i}", "k", []) for i in range(63)], [(f"e{a}", f"e{b}", "l") for a, b in links])
+    pairs = spark.createDataFrame([(p, f"e{a}", f"e{b}") for p, a, b in asked], "pair_id long, source string, target string")
+    found = {}
+    for r in traverse.find_paths(kg, pairs).collect():
+        found.setdefault(r["pair_id"], {})[r["pos"]] = int(r["name"][1:])
+    want = {p: w for p, a, b in asked if (w := path(a, b))}
+    assert {p: [x[i] for i in sorted(x)] for p, x in found.items()} == want and len(want) < len(asked)
+    # a broadcast has a row for each block of pairs (before: 17 columns, and each table broadcast)
+    assert plans and all(n <= 10 and sent <= 1 for n, sent in plans)
+
+
 def test_blocks_are_gathered_in_their_task():
     """Postings are the words of each text, in the order of their keys (before: gathered by three shuffles of every word)."""
     import pyarrow as pa
